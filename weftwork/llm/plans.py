@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.functions.common import table
+from weftwork.llm import mixing as MX
+from weftwork.llm import packing as PK
 from weftwork.llm import shared_spans as SS
 
 QUERIES: dict = {}
@@ -39,3 +41,37 @@ def p2_spans(s: SparkSession, d: str) -> DataFrame:
 @query
 def p2_kept(s: SparkSession, d: str) -> DataFrame:
     return SS.without_repeats(_bodies(s, d)).select(F.col("rid").alias("function_id"), F.col("text").alias("body_source"))
+
+
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    return PK.pack(table(s, d, "documents"), table(s, d, "pack_specs"))
+
+
+@query
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    return _packed(s, d).filter("spec_name = 'standard' and piece_no = 1").select("doc_id")
+
+
+@query
+def p8_assigned(s: SparkSession, d: str) -> DataFrame:
+    return _packed(s, d).select("spec_name", "doc_id", "piece_no", "first_token", "size", "container_id")
+
+
+@query
+def p8_containers(s: SparkSession, d: str) -> DataFrame:
+    return PK.containers(_packed(s, d))
+
+
+@query
+def p8_bounds(s: SparkSession, d: str) -> DataFrame:
+    return PK.bounds(_packed(s, d))
+
+
+@query
+def p9_mix(s: SparkSession, d: str) -> DataFrame:
+    return MX.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0]
+
+
+@query
+def p9_shares(s: SparkSession, d: str) -> DataFrame:
+    return MX.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1]
