@@ -71,8 +71,8 @@ class Model:
     def __init__(self) -> None:
         n = len(STATES)
         size = 1 << _BITS
-        tri, bi, uni, scripts = (np.zeros((size, n), np.float32) for _ in range(3)), None, None, np.zeros((8, n))
-        t3, t2, t1 = tri
+        t3, t2, t1 = (np.zeros((size, n), np.float32) for _ in range(3))
+        scripts = np.zeros((8, n))
         for s, name in enumerate(STATES):
             texts = [CODE] if name == "code" else [PROSE[name]]
             if name not in ("code", "ru", "ja", "zh", "en"):
@@ -91,7 +91,6 @@ class Model:
         self.counts = t3, t2, t1
         self.total = t1.sum(0)
         self.script = (scripts + 0.02) / (scripts + 0.02).sum(0)
-        # contexts: how often a pair, or a character, is followed by anything
         self._cache: np.ndarray | None = None
 
     def emissions(self, c: np.ndarray) -> np.ndarray:
@@ -114,6 +113,32 @@ class Model:
         return np.log(p3)
 
 
+    def table(self) -> np.ndarray:
+        """[slots, states] log probabilities of the seeds' trigrams; unseen slots hold a floor. For whole sentences, where one lookup a character is enough."""
+        if self._cache is None:
+            t3, t2, t1 = self.counts
+            out = np.full(t3.shape, np.log(2e-4), np.float32)
+            for name in STATES:
+                for t in ([CODE] if name == "code" else [PROSE[name], fold(PROSE[name])]):
+                    c = codes(t)
+                    b = np.concatenate([[np.uint32(32)], c[:-1]])
+                    a = np.concatenate([[np.uint32(32)], b[:-1]])
+                    out[_hash(a, b, c)] = self.emissions(c)
+            self._cache = out
+        return self._cache
+
+    def sentence_scores(self, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """[sentences, states] summed log probabilities of the sentences that begin at ``starts`` in one array of codes."""
+        b = np.concatenate([[np.uint32(32)], c[:-1]])
+        a = np.concatenate([[np.uint32(32)], b[:-1]])
+        han = _kind(c)
+        e = self.table()[_hash(a, b, c)]
+        odd = (han >= 2) & (han <= 4)
+        if odd.any():  # other scripts: the script decides
+            e[odd] = np.log(self.script[han[odd]]).astype(np.float32)
+        return np.add.reduceat(e, starts, axis=0)
+
+
 @lru_cache(1)
 def model() -> Model:
     return Model()

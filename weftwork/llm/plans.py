@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftwork.functions.common import table
 from weftwork.llm import mixing as MX
 from weftwork.llm import packing as PK
+from weftwork.llm import reading as RL
 from weftwork.llm import shared_spans as SS
 
 QUERIES: dict = {}
@@ -75,3 +76,22 @@ def p9_mix(s: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(s: SparkSession, d: str) -> DataFrame:
     return MX.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1]
+
+
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    return RL.reading_levels(table(s, d, "documents"), table(s, d, "reading_labels"))
+
+
+@query
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return RL.demanding(_levels(s, d))
+
+
+@query
+def p10_levels(s: SparkSession, d: str) -> DataFrame:
+    return _levels(s, d).select("doc_id", "english_share", F.round("difficulty").cast("int").alias("reading_level"), "difficulty", "share_4")
+
+
+@query
+def p10_profile(s: SparkSession, d: str) -> DataFrame:
+    return RL.profile(_levels(s, d))
