@@ -60,10 +60,9 @@ def components(links: DataFrame) -> DataFrame:
     no row's depth lies between the two reaches, so every row left leads into a loop; the smallest key on
     that loop is the minimum over one full turn from a node already on it, found by doubling on those rows only.
     """
-    spark = links.sparkSession
     state = cut(links.select("node_key", "parent_key", F.coalesce("parent_key", "node_key").alias("ptr"),
                              F.when(F.col("parent_key").isNull(), 0).otherwise(1).alias("d"),
-                             F.col("parent_key").isNull().alias("done"), F.lit(1).alias("_g")))
+                             F.col("parent_key").isNull().alias("done")))
     done = state.filter("done")
     live = state.filter("not done")
     before, n = -1, live.count()
@@ -86,7 +85,6 @@ def components(links: DataFrame) -> DataFrame:
         reach *= 2
     to = loops.select(F.col("node_key").alias("_k"), F.col("low").alias("comp"))
     looped = loops.join(to, loops.ptr == to._k).select("node_key", "parent_key", "comp", F.lit(-1).alias("depth"), F.lit(True).alias("looped"))
-    del spark
     return trees.unionByName(looped)
 
 
@@ -215,10 +213,13 @@ def _loop_nodes(looped: DataFrame) -> DataFrame:
     return ptr.select(F.col("ptr").alias("_l")).distinct()
 
 
-def descendants(h: DataFrame) -> DataFrame:
-    """(ancestor_key, descendant_key, distance) of every proper ancestor pair: the paths unnested, so no join is needed."""
-    return (h.filter("depth > 0").select("node_key", "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("_p", "ancestor_key"))
-            .select("ancestor_key", F.col("node_key").alias("descendant_key"), (F.col("depth") - F.col("_p")).alias("distance")))
+def descendants(h: DataFrame, *also: str) -> DataFrame:
+    """(ancestor_key, descendant_key, distance) of every proper ancestor pair: the paths unnested, so no join is needed.
+
+    ``also`` names columns of ``h`` to carry along.
+    """
+    return (h.filter("depth > 0").select(*also, "node_key", "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("_p", "ancestor_key"))
+            .select(*also, "ancestor_key", F.col("node_key").alias("descendant_key"), (F.col("depth") - F.col("_p")).alias("distance")))
 
 
 def proposal_links(df: DataFrame) -> DataFrame:

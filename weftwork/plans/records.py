@@ -12,9 +12,15 @@ from weftwork.operators import orphans as O
 
 
 def _trees(s: SparkSession, d: str, with_path: bool) -> DataFrame:
-    p = H.hierarchy(H.proposal_links(table(s, d, "stacked_proposals")), with_path=with_path).withColumn("record_table", F.lit("stacked_proposals"))
-    c = H.hierarchy(H.commit_links(table(s, d, "git_commits")), with_path=with_path).withColumn("record_table", F.lit("git_commits"))
-    return p.unionByName(c)
+    """Both tables in one pass: keys carry their table's name in front, which keeps the order of keys within a table."""
+    mark = "\u0001"
+    both = None
+    for name, links in (("stacked_proposals", H.proposal_links), ("git_commits", H.commit_links)):
+        one = links(table(s, d, name)).select(*[F.concat(F.lit(name + mark), c).alias(c) for c in ("node_key", "parent_key")])
+        both = one if both is None else both.unionByName(one)
+    h = H.hierarchy(both, with_path=with_path)
+    return h.select(F.substring_index("node_key", mark, 1).alias("record_table"), *[F.substring_index(c, mark, -1).alias(c) for c in ("node_key", "parent_key", "root_key")],
+                    "depth", F.transform("path", lambda x: F.substring_index(x, mark, -1)).alias("path"), "on_loop", "back_edge")
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
@@ -26,9 +32,7 @@ def p3_paths(s: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(s: SparkSession, d: str) -> DataFrame:
-    h = _trees(s, d, True)
-    out = H.descendants(h.filter("record_table = 'stacked_proposals'")).withColumn("record_table", F.lit("stacked_proposals")) \
-        .unionByName(H.descendants(h.filter("record_table = 'git_commits'")).withColumn("record_table", F.lit("git_commits")))
+    out = H.descendants(_trees(s, d, True), "record_table")
     return out.select("record_table", "ancestor_key", "descendant_key", F.col("distance").cast("int").alias("distance"))
 
 
