@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.functions.common import table
+from weftwork.llm import docpairs as DP
 from weftwork.llm import mixing as MX
 from weftwork.llm import packing as PK
 from weftwork.llm import reading as RL
@@ -95,3 +96,18 @@ def p10_levels(s: SparkSession, d: str) -> DataFrame:
 @query
 def p10_profile(s: SparkSession, d: str) -> DataFrame:
     return RL.profile(_levels(s, d))
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    a = DP.pairs_of_functions(table(s, d, "code_functions")).withColumn("record_table", F.lit("code_functions"))
+    return a.unionByName(DP.pairs_of_files(table(s, d, "source_files")).withColumn("record_table", F.lit("source_files")))
+
+
+@query
+def p6_found(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).select("record_table", "record_id", "function_name").distinct()
+
+
+@query
+def p6_pairs(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).dropDuplicates(["record_table", "record_id", "function_name", "start"]).select("record_table", "record_id", "function_name", "start", "stop", "code", "description")
