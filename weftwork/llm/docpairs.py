@@ -196,7 +196,7 @@ def pairs_of_functions(df: DataFrame) -> DataFrame:
     The description is ``doc`` or, where that says nothing, the comment in front of the function in body_source. Rows with null, blank or
     commented-out sources, and functions without any code in their body, give nothing. A null name is taken from the source.
     """
-    return df.select(F.col("function_id").cast("bigint"), "language", "file_path", "function_name", "owner_name", F.transform("params", lambda p: F.concat_ws(" ", p["name"], p["type"])), "return_type", "doc", "body_source").mapInArrow(_from_functions, _OUT)
+    return df.select(F.col("function_id").cast("bigint"), "language", "file_path", "function_name", "owner_name", F.transform("params", lambda p: F.concat_ws(" ", p["name"], p["type"])).alias("params"), "return_type", "doc", "body_source").mapInArrow(_from_functions, _OUT)
 
 
 def pairs_of_files(df: DataFrame) -> DataFrame:
