@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.functions.common import table
+from weftwork.llm import credentials as CR
 from weftwork.llm import docpairs as DP
 from weftwork.llm import mixing as MX
 from weftwork.llm import packing as PK
@@ -111,3 +112,32 @@ def p6_found(s: SparkSession, d: str) -> DataFrame:
 @query
 def p6_pairs(s: SparkSession, d: str) -> DataFrame:
     return _pairs(s, d).dropDuplicates(["record_table", "record_id", "function_name", "start"]).select("record_table", "record_id", "function_name", "start", "stop", "code", "description")
+
+
+SECRET_TEXTS = {
+    "code_functions": ("function_id", "body_source", None), "sql_tables": ("table_id", "raw_ddl", None), "command_results": ("command_id", "stdout", None),
+    "php_fields": ("field_id", "default_value", "field_name"), "source_files": ("file_id", "content", None),
+}
+
+
+def _over_texts(s: SparkSession, d: str, f) -> DataFrame:
+    out = None
+    for name, (key, col, ctx) in SECRET_TEXTS.items():
+        one = f(table(s, d, name), F.col(key), F.col(col), F.col(ctx) if ctx else None).withColumn("record_table", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def p7_found(s: SparkSession, d: str) -> DataFrame:
+    return _over_texts(s, d, CR.credential_places).filter("begins").select("record_table", "record_id", "line_no").distinct()
+
+
+@query
+def p7_places(s: SparkSession, d: str) -> DataFrame:
+    return _over_texts(s, d, CR.credential_places).select("record_table", "record_id", "line_no", "start", "stop").distinct()
+
+
+@query
+def p7_redacted(s: SparkSession, d: str) -> DataFrame:
+    return _over_texts(s, d, CR.without_credentials).groupBy("record_table", "record_id").agg(F.max("text").alias("text"))
