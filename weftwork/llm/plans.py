@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftwork.functions.common import table
 from weftwork.llm import credentials as CR
 from weftwork.llm import docpairs as DP
+from weftwork.llm import hidden_prose as HP
 from weftwork.llm import mixing as MX
 from weftwork.llm import packing as PK
 from weftwork.llm import reading as RL
@@ -141,3 +142,31 @@ def p7_places(s: SparkSession, d: str) -> DataFrame:
 @query
 def p7_redacted(s: SparkSession, d: str) -> DataFrame:
     return _over_texts(s, d, CR.without_credentials).groupBy("record_table", "record_id").agg(F.max("text").alias("text"))
+
+
+def _prose(s: SparkSession, d: str) -> DataFrame:
+    c, g, f, z = (table(s, d, n) for n in ("java_classes", "graphql_types", "source_files", "code_functions"))
+    texts = F.array_join(F.transform(F.filter("fields", lambda x: x["description"].isNotNull()), lambda x: x["description"]), "\n\n")
+    parts = {"java_classes": HP.prose_of_docs(c, F.col("class_id"), F.col("doc")), "graphql_types": HP.prose_of_docs(g, F.col("type_id"), texts),
+             "code_functions": HP.prose_of_docs(z.filter("language = 'zig' and doc is not null"), F.col("function_id"), F.col("doc")),
+             "source_files": HP.prose_of_files(f, F.col("file_id"), F.col("language"), F.col("file_path"), F.col("content"))}
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn("record_table", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out.groupBy("record_table", "record_id", "nat_lang").agg(F.max("n_phrases").alias("n_phrases"), F.max("n_chars").alias("n_chars"), F.max("share").alias("share"))
+
+
+@query
+def p1_found(s: SparkSession, d: str) -> DataFrame:
+    return _prose(s, d).select("record_table", "record_id", "nat_lang")
+
+
+@query
+def p1_shares(s: SparkSession, d: str) -> DataFrame:
+    return _prose(s, d)
+
+
+@query
+def p1_languages(s: SparkSession, d: str) -> DataFrame:
+    return _prose(s, d).groupBy("record_table", "nat_lang").agg(F.count("*").alias("n_records"), F.sum("n_phrases").alias("n_phrases"), F.sum("n_chars").alias("n_chars"))

@@ -37,6 +37,7 @@ Asegúrese de que todos los ajustes se han cargado antes de iniciar el programa.
 Se decidió que los nombres antiguos se mantendrían durante al menos dos años, aunque la nueva interfaz ya no los usa. La mayoría de la gente no verá nunca este aviso. Lo que ocurre entonces se describe más abajo.
 Ella abrió la puerta y miró las cartas que había sobre la mesa. Los niños jugaban fuera, y nadie les había hablado de la tormenta que venía del norte. No podía recordar quién le había dado el libro.
 Crea un objeto nuevo y lo añade a la lista si todavía no existe. Quita todo lo que no se ha usado desde la última actualización. Comprueba si ambos lados tienen la misma versión. Lee la primera línea de la entrada y después espera más.
+El programa espera hasta que el campo esté completo y solo después muestra el resultado más reciente al usuario. El archivo del agente queda en la carpeta del proyecto y la respuesta del servidor llega más tarde. Ninguno de los campos es obligatorio, pero el nombre del cliente y la fecha del pedido no pueden quedar vacíos. La clase no quita el bloqueo, solo mira si la rama sigue abierta.
 de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien tiempo mismo ese ahora cada e vida otro después te otros aunque esa eso hace otra gobierno tan durante siempre día tanto ella tres sí dijo sido gran país según menos mientras nadie
 """,
     "it": """
@@ -46,6 +47,7 @@ Assicurarsi che tutte le impostazioni siano state caricate prima di avviare il p
 Si è deciso che i vecchi nomi rimangano per almeno due anni, anche se la nuova interfaccia non li usa più. La maggior parte della gente non vedrà mai questo avviso. Quello che succede allora è descritto qui sotto.
 Lei aprì la porta e guardò le lettere sul tavolo. I bambini giocavano fuori e nessuno aveva parlato loro della tempesta che arrivava dal nord. Non riusciva a ricordare chi gli avesse dato il libro.
 Crea un nuovo oggetto e lo aggiunge alla lista se non esiste già. Toglie tutto ciò che non è stato usato dopo l'ultimo aggiornamento. Verifica che le due parti abbiano la stessa versione. Legge la prima riga dell'ingresso e poi ne attende altre.
+Il programma aspetta che il campo sia compilato e soltanto dopo mostra il risultato più recente all'utente. L'archivio dell'agente resta nella cartella del progetto e la risposta del server arriva più tardi. Nessuno dei campi è obbligatorio, ma il nome del cliente e la data dell'ordine non possono restare vuoti. La classe non toglie il blocco, controlla soltanto se il ramo è ancora aperto.
 di e il la che in a per un è non una sono da del con si le al dei come della più i ma lo gli alla ha o anche nel delle se ad stato due dal questa suo essere hanno nella era ed su loro ai solo tra dopo ci molto sua questo quando prima fatto ancora dalla cui tutti quello tutto fra stata dove già sulla ogni perché ora senza fino contro così mentre degli alle poi sempre qui può chi anni parte però nessuno ciò agli oppure proprio cosa
 """,
     "pt": """
@@ -55,6 +57,8 @@ Certifique-se de que todas as configurações foram carregadas antes de iniciar
 Foi decidido que os nomes antigos seriam mantidos por pelo menos dois anos, embora já não sejam usados pela nova interface. A maioria das pessoas nunca verá este aviso. O que acontece então está descrito abaixo.
 Ela abriu a porta e olhou para as cartas em cima da mesa. As crianças brincavam lá fora, e ninguém lhes tinha falado da tempestade que vinha do norte. Ele não conseguia lembrar quem lhe tinha dado o livro.
 Cria um novo objeto e o acrescenta à lista se ainda não existir. Retira tudo o que não foi usado desde a última atualização. Verifica se os dois lados têm a mesma versão. Lê a primeira linha da entrada e depois espera por mais.
+O programa aguarda até que o campo seja preenchido e só então mostra o resultado mais recente ao utilizador. O arquivo do agente fica guardado na pasta do projeto, e a resposta do servidor chega mais tarde. Nenhum dos campos é obrigatório, mas o nome do cliente e a data do pedido não podem ficar vazios. A classe não remove o bloqueio, apenas verifica se o ramo ainda está aberto.
+O texto do aviso, o tempo de espera e o tamanho do bloco são lidos do ficheiro; o resto fica como está. Mais de metade do tempo foi gasto do lado do cliente, o que é muito.
 de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas me esse eles estão você tinha foram essa num nem suas meu às minha têm numa pelos elas havia seja qual será nós tenho lhe deles essas esses pelas este fosse dele então porque enquanto ninguém ainda outro cada
 """,
     "nl": """
