@@ -16,8 +16,7 @@ def bucket(w: Column, dim: int) -> Column:
 def embed(df: DataFrame, key: str, text: str, dim: int = 128) -> DataFrame:
     """key, vector: words count 2, their character trigrams 1, by bucket; L2-normalised, zero for empty and null texts.
 
-    All in built-in expressions: the counts of one text are gathered by folding its few hundred buckets into an array
-    within the row, so there is no shuffle.
+    All in built-in expressions; the one shuffle carries counts by text and bucket, combined before it, at most ``dim`` a text.
     """
     words = F.filter(F.split(F.lower(trim_white(F.coalesce(F.col(text), F.lit("")))), r"\s+"), lambda w: w != "")
     grams = F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))))

@@ -589,7 +589,7 @@ def vector_topk(s, d):
     return V.search(v, list(q.vector), where=F.substring("node_type", 2, 9).cast("int") % 2 == 0).select("vec_id", F.round("score", 6).alias("score"))
 
 
-_EMBED = """WITH w AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')), '\\s+')) AS w FROM documents WHERE length(text) < 400) WHERE w <> ''),
+_EMBED = """WITH w AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')), '\\s+')) AS w FROM documents) WHERE w <> ''),
 b AS (SELECT doc_id, w AS t, 2 AS n FROM w UNION ALL SELECT doc_id, substr(w, i, 3), 1 FROM (SELECT doc_id, w, unnest(range(1, length(w) - 1)) AS i FROM w WHERE length(w) >= 3)),
 h AS (SELECT doc_id, CAST(CAST('0x' || substr(sha256(t), 1, 8) AS BIGINT) % 128 AS INTEGER) AS bucket, sum(n) AS n FROM b GROUP BY ALL)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM h"""
