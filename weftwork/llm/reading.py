@@ -101,7 +101,8 @@ def features(sents: list[str]) -> Features:
         words = np.insert(words, word_at[n_words == 0], 0)
         of = np.insert(of, word_at[n_words == 0], np.flatnonzero(n_words == 0))
         word_at = np.searchsorted(of, np.arange(len(sents)))
-    langs = model().sentence_scores(c, np.concatenate([[0], start[1:]])).argmax(1)
+    # code is left out of sentences already: the most likely natural language
+    langs = model().sentence_scores(c, np.concatenate([[0], start[1:]]))[:, 1:].argmax(1) + 1
     return Features(chars, np.cumsum(size) - size, words, word_at, dense, n_words, langs)
 
 
