@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.functions.common import cut
+from weftwork.functions.common import cut, staged
 
 
 def scan_nodes(nodes: DataFrame, language: str = "", node_type: str = "") -> DataFrame:
@@ -33,6 +33,8 @@ def traverse(edges: DataFrame, starts: DataFrame, *, backward: bool = False, max
     frm, to = ("target_id", "source_id") if backward else ("source_id", "target_id")
     e = edges.filter(F.col("edge_type").isin(edge_types)) if edge_types else edges
     e = e.filter(F.col(frm).isNotNull() & F.col(to).isNotNull()).select(F.col(frm).alias("_f"), F.col(to).alias("_t"))
+    if max_depth != 1:
+        e = staged(e)  # every level reads it again: two columns, whatever the edges are made from
     frontier = cut(starts.select("node_id").filter("node_id is not null").distinct().select("node_id", F.array("node_id").alias("path")))
     levels = [frontier.withColumn("depth", F.lit(0))]
     seen = frontier.select("node_id")

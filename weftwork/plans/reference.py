@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
 from pyspark.sql import functions as F
 
-from weftwork.functions.common import table
+from weftwork.functions.common import shared_dir, table
+from weftwork.operators import codecs as CD
 from weftwork.operators import collab as CO
 from weftwork.operators import eventlog as EL
 from weftwork.operators import graph as G
@@ -19,6 +21,7 @@ from weftwork.operators import vectors as V
 from weftwork.operators import versions as VS
 from weftwork.plans import adapters as A
 from weftwork.sources import blobs as B
+from weftwork.streaming import jobs as ST
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -639,3 +642,61 @@ def interval_overlap(s, d):
 def active_leases(s, d):
     e = table(s, d, "events").filter("event_type = 'signup'").selectExpr("event_id", "CASE WHEN value IS NOT NULL THEN unix_millis(cast(ts AS timestamp)) + 600000 END AS expires_ms")
     return CO.active_leases(e, 1_705_276_800_000).select("event_id")
+
+
+# ---- codecs ------------------------------------------------------------------------------------------------------
+
+@query()
+def source_parse(s, d):
+    f = table(s, d, "source_files").select("file_id", "file_path", "language", "content").dropDuplicates(["file_id"])
+    return CD.parse_sources(f, F.col("file_id"), F.col("file_path"), F.col("language"), F.col("content")).select("record_id", "language", "node_type", "identifier", "line_no")
+
+
+@query(r"""WITH t AS (SELECT DISTINCT table_id, regexp_replace(raw_ddl, '--[^\n]*', '', 'g') AS raw_ddl FROM sql_tables), b AS (SELECT table_id, regexp_extract(raw_ddl, 'CREATE TABLE (\w+) \(', 1) AS table_name, regexp_extract(raw_ddl, 'CREATE TABLE \w+ \(\n(.*?)\n\);', 1, 's') AS body FROM t),
+c AS (SELECT table_id, table_name, unnest(string_split_regex(body, ',\s*\n')) AS col, generate_subscripts(string_split_regex(body, ',\s*\n'), 1) - 1 AS pos FROM b WHERE body <> '')
+SELECT table_id AS record_id, table_name, CAST(pos AS INTEGER) AS pos, regexp_extract(col, '^\s*(\w+)', 1) AS column_name, regexp_extract(col, '^\s*\w+ (\w+(\([^)]*\))?)', 1) AS data_type, contains(col, 'PRIMARY KEY') AS is_key,
+contains(col, 'PRIMARY KEY') OR contains(col, 'NOT NULL') AS not_null, nullif(regexp_extract(col, 'DEFAULT (\S+)', 1), '') AS default_value FROM c""")
+def sql_ddl_columns(s, d):
+    return CD.ddl_columns(table(s, d, "sql_tables").select("table_id", "raw_ddl").distinct(), F.col("table_id"), F.col("raw_ddl")).select("record_id", "table_name", "pos", "column_name", "data_type", "is_key", "not_null", "default_value")
+
+
+# ---- streams -----------------------------------------------------------------------------------------------------
+
+def _events_stream(s, d):
+    # a pattern, as a stream's plain path must be a directory and this may be one file
+    return ST.file_stream(s, f"{d}/events.parque[t]", s.read.parquet(f"{d}/events.parquet").schema)
+
+
+def _stream_dir(s):
+    return f"{shared_dir(s)}/weftwork-stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def stream_latest(s, d):
+    at = _stream_dir(s)
+    out = ST.run_to_table(ST.latest_state(_events_stream(s, d), ["user_id"], ["event_id"], ["event_id"]), f"{at}/out", f"{at}/ckpt", "update")
+    return out.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+
+
+@query()
+def stream_windows(s, d):
+    at = _stream_dir(s)
+    e = _events_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ST.run_to_table(ST.windowed_counts(e, "ts", ["event_type"], "1 day", "2 days"), f"{at}/out", f"{at}/ckpt")
+    return out.select("start", "event_type", "n")
+
+
+@query()
+def stream_leases(s, d):
+    at = _stream_dir(s)
+    e = _events_stream(s, d).selectExpr("concat('d', user_id % 20) AS domain", "concat('a', user_id) AS agent", "unix_millis(cast(ts AS timestamp)) AS ts_ms", "event_id")
+    return ST.run_to_table(ST.lease_stream(e, 3_600_000), f"{at}/out", f"{at}/ckpt").select("domain", "agent", "ts_ms", "event_id", "granted", "owner")
+
+
+@query("SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (SELECT file_path AS path, max(content) AS c FROM source_files WHERE file_path IS NOT NULL AND language <> 'zig' GROUP BY 1) a FULL OUTER JOIN (SELECT file_path AS path, max(CASE WHEN language = 'java' THEN content || ' ' ELSE content END) AS c FROM source_files WHERE file_path IS NOT NULL AND language <> 'swift' GROUP BY 1) b USING (path) WHERE a.c IS DISTINCT FROM b.c")
+def watch_delta(s, d):
+    """A listing without the Zig files against an earlier one without the Swift files, the Java files of which have changed."""
+    def listing(where, content):
+        f = table(s, d, "source_files").filter(f"file_path is not null and {where}").selectExpr("file_path AS path", f"{content} AS c").groupBy("path").agg(F.max("c").alias("c"))
+        return f.select("path", F.octet_length("c").alias("size"), F.lit(0).alias("modified"), F.sha2("c", 256).alias("sha256"))
+    return ST.directory_delta(listing("language <> 'zig'", "content"), listing("language <> 'swift'", "CASE WHEN language = 'java' THEN concat(content, ' ') ELSE content END"))
