@@ -4,72 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
-
-LANGUAGES = ("java", "kotlin", "rust", "swift", "zig")
-
-_LINE = r"//[^\n]*"
-_BLOCK = r"/\*.*?(?:\*/|\Z)"
-_STR = r'"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)'
-_CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,8}?)'"
-#: Literal forms by language, the longest first. Group 1 is a comment, group 2 a literal.
-_FORMS = {
-    "java": (rf"{_LINE}|{_BLOCK}", rf'"""(?:[^\\]|\\.)*?(?:"""|\Z)|{_STR}|{_CHAR}'),
-    "kotlin": (rf"{_LINE}|/\*", rf'""".*?(?:"""+|\Z)|{_STR}|{_CHAR}'),
-    "rust": (rf"{_LINE}|/\*", r'b?r(?P<h>#*)".*?(?:"(?P=h)|\Z)|b?"(?:[^"\\]|\\.)*(?:"|\Z)' + rf"|b?{_CHAR}"),
-    "swift": (rf"{_LINE}|/\*", rf'(?P<h>#+)"{{3}}.*?(?:"{{3}}(?P=h)|\Z)|"""(?:[^\\]|\\.)*?(?:"""|\Z)|(?P<g>#+)"[^\n]*?(?:"(?P=g)|(?=\n)|\Z)|{_STR}'),
-    "zig": (_LINE, rf"\\\\[^\n]*|{_STR}|{_CHAR}"),
-}
-
-
-@lru_cache(8)
-def _lexer(language: str) -> re.Pattern:
-    comment, literal = _FORMS[language]
-    return re.compile(f"({comment})|({literal})", re.S)
-
-
-_NEST = re.compile(r"/\*|\*/")
 
+from weftwork.functions.lexing import Span, masked, spans
 
-@dataclass
-class Span:
-    start: int
-    stop: int
-    comment: bool
-
-
-def spans(text: str, language: str) -> list[Span]:
-    """Comments and literals in order. Block comments nest where the language nests them; an unclosed one runs to the end."""
-    out: list[Span] = []
-    lex, at = _lexer(language), 0
-    for_nesting = language in ("kotlin", "rust", "swift")
-    while m := lex.search(text, at):
-        start, stop = m.span()
-        if m[1] and for_nesting and m[1] == "/*":
-            depth = 1
-            stop = len(text)
-            for n in _NEST.finditer(text, start + 2):
-                depth += 1 if n[0] == "/*" else -1
-                if not depth:
-                    stop = n.end()
-                    break
-        out.append(Span(start, stop, m[1] is not None))
-        at = max(stop, start + 1)
-    return out
-
-
-def masked(text: str, found: list[Span]) -> str:
-    """The text with comments and literals blanked, positions and line ends kept; a literal leaves a quote at each end."""
-    out, at = [], 0
-    for s in found:
-        out.append(text[at:s.start])
-        piece = text[s.start:s.stop]
-        blank = "".join(c if c == "\n" else " " for c in piece) if "\n" in piece else " " * len(piece)
-        out.append(blank if s.comment or len(blank) < 2 else '"' + blank[1:-1] + '"')
-        at = s.stop
-    out.append(text[at:])
-    return "".join(out)
-
+LANGUAGES = ("java", "kotlin", "rust", "swift", "zig")
 
 @dataclass
 class Node:
