@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.docpairs import _language, guess_language
-from weftwork.llm.language import CODE_STATE, STATES, viterbi
+from weftwork.llm.language import CODE_STATE, STATES, codes, fold, model, viterbi
 from weftwork.llm.prose import needs_repair, repaired
+from weftwork.llm.seed_texts import PROSE
 from weftwork.llm.syntax import spans
 
 LEAST_WORDS = 5
 LEAST_CHARS = 10
+MARGIN = 20.0
+WORD = 4.0
 _CHUNK = 400_000
 
 #: Parts that are no prose, blanked in place: inline tags and code, markup, links, paths, references, hashes, tags with their names.
@@ -32,7 +36,8 @@ _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*+/|/{2,}!?|\*(?!\*)|--(?=[ \t]))|\*
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SPLIT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\n\s*\n|\n(?=[ \t]*(?:[-*+•]|\d+[.)])[ \t])|[ \t]+[/|][ \t]+|\n(?=\S*[=;{}(\[]\S*)|(?<=[;{}])\s*\n")
 _TAG_LINE = re.compile(r"(?m)^[ \t]*[@:](?=\w)")
-_IDENT = re.compile(r"[a-z][A-Z]|_|\d")
+_IDENT = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]|_|\d")
+_CJ_STATES = [STATES.index("ja"), STATES.index("zh")]
 _CJ = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
@@ -51,46 +56,77 @@ def _sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+@lru_cache(1)
+def _vocabulary() -> list[frozenset[str]]:
+    """The words of each state's seeds, with and without diacritics."""
+    return [frozenset(w for t in ([] if x == "code" else [PROSE[x], fold(PROSE[x])]) for w in re.findall(r"[^\W\d_]+", t.lower())) for x in STATES]
+
+
+def _score(s: str, words: list[str]) -> np.ndarray:
+    """Evidence for each state: its characters' log probability, and WORD nats for every word its seeds hold."""
+    return model().sentence_scores(codes(s), np.array([0]))[0] + WORD * np.array([sum(w in v for w in words) for v in _vocabulary()])
+
+
+def _settled(s: str, words: list[re.Match], langs: list[int]) -> list[int]:
+    """Word states of a sentence: the sentence's language by _score; a run of another state keeps it if it has five words and speaks for it by MARGIN nats."""
+    if all(x == CODE_STATE for x in langs):
+        return langs
+    low = [m[0].lower() for m in words]
+    first, last = words[0].start(), words[-1].end()
+    main = int(_score(s[first:last], low)[1:].argmax()) + 1
+    out = [main if x != CODE_STATE else x for x in langs]
+    runs: list[list[int]] = []
+    for i, x in enumerate(langs):
+        if x != CODE_STATE:
+            if runs and langs[runs[-1][-1]] == x:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    for r in runs:
+        x = langs[r[0]]
+        if x != main and len(r) >= LEAST_WORDS:
+            p = _score(s[words[r[0]].start():words[r[-1]].end()], low[r[0]:r[-1] + 1])
+            if p[x] - p[main] >= MARGIN:
+                for i in r:
+                    out[i] = x
+    return out
+
+
 def _phrases(text: str, states: np.ndarray) -> dict[str, list[tuple[int, int, int]]]:
     """language -> spans (start, stop, letters) of its sentences, from the states of the characters."""
     out: dict[str, list[tuple[int, int, int]]] = {}
     for lo, hi in _sentences(text):
         s = text[lo:hi]
-        words = [m for m in _LETTERS.finditer(s)]
-        if not words:
-            continue
-        letters = np.concatenate([states[lo + m.start():lo + m.end()] for m in words])
-        n = np.bincount(letters, minlength=len(STATES))
-        lang = int(n.argmax())
-        if lang == CODE_STATE:
-            n[CODE_STATE] = 0
-            lang = int(n.argmax())
-            if n[lang] < 0.5 * len(letters):
-                # prose within code: judge its own run
-                if n[lang] < 12:
-                    continue
-        name = STATES[lang]
-        if name in ("ja", "zh"):
-            chars = len(_CJ.findall(s))
-            if chars >= LEAST_CHARS:
+        chars = len(_CJ.findall(s))
+        if chars:
+            at = states[lo:hi]
+            mine = np.isin(at, _CJ_STATES)
+            if chars >= LEAST_CHARS and mine.sum() >= 0.5 * chars:
                 kana = len(re.findall(r"[぀-ヿ]", s))
-                name = "ja" if kana >= max(1, chars // 20) else "zh"
-                out.setdefault(name, []).append((lo, hi, chars))
+                out.setdefault("ja" if kana >= max(1, chars // 20) else "zh", []).append((lo, hi, chars))
+            continue
+        words = list(_LETTERS.finditer(s))
+        if len(words) < LEAST_WORDS:
             continue
         plain = [not _IDENT.search(s[max(m.start() - 1, 0):m.end() + 1]) for m in words]
-        hit = [p and (states[lo + m.start():lo + m.end()] == lang).mean() > 0.5 for m, p in zip(words, plain, strict=True)]
-        if sum(hit) < 3:
+        langs = []
+        for m, p in zip(words, plain, strict=True):
+            n = np.bincount(states[lo + m.start():lo + m.end()], minlength=len(STATES))
+            langs.append(int(n.argmax()) if p else CODE_STATE)
+        langs = _settled(s, words, langs)
+        if sum(x != CODE_STATE for x in langs) < 3:
             continue
-        # a change of state costs several characters: plain words between or next to the language's own belong to it
+        # a change of state costs several characters: plain words between or next to a language's own belong to it
         for order in (range(1, len(words)), range(len(words) - 2, -1, -1)):
             for i in order:
                 k = i - 1 if order.step > 0 else i + 1
                 a, z = sorted((words[i], words[k]), key=lambda m: m.start())
-                if plain[i] and not hit[i] and hit[k] and not re.search(r"[^\s\d,:\-–'’\"()]", s[a.end():z.start()]):
-                    hit[i] = True
-        mine = [m for m, h in zip(words, hit, strict=True) if h]
-        if len(mine) >= LEAST_WORDS and n[lang] >= 0.4 * sum(m.end() - m.start() for m in mine):
-            out.setdefault(name, []).append((lo + mine[0].start(), lo + mine[-1].end(), sum(m.end() - m.start() for m in mine)))
+                if plain[i] and langs[i] == CODE_STATE and langs[k] != CODE_STATE and not re.search(r"[^\s\d,:\-–'’\"()]", s[a.end():z.start()]):
+                    langs[i] = langs[k]
+        for lang in set(langs) - {CODE_STATE}:
+            mine = [m for m, x in zip(words, langs, strict=True) if x == lang]
+            if len(mine) >= LEAST_WORDS:
+                out.setdefault(STATES[lang], []).append((lo + mine[0].start(), lo + mine[-1].end(), sum(m.end() - m.start() for m in mine)))
     return out
 
 

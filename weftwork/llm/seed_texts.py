@@ -10,6 +10,8 @@ Please make sure that all of the settings have been loaded before you start the
 It was decided that the old names should be kept for at least two years, even though they are not used by the new interface. Most people will never see this warning. What happens when they do is described below.
 She opened the door and looked at the letters on the table. The children were playing outside, and nobody had told them about the storm that was coming from the north. He could not remember who had given him the book.
 Creates a new object and adds it to the list unless it already exists. Removes everything that has not been used since the last update. Checks whether both sides have the same version. Reads the first line from the input, then waits for more.
+The documentation of this component is generated automatically, and every comment has to be completed by its author. Default implementation of the interface; subclasses may provide a different configuration. Describe the operation, its arguments and the condition under which an exception is thrown.
+Please do not modify this section, since all changes will be overwritten by the next release. Licensed under the terms of the agreement, without any warranty. Copyright of the contributors, all rights reserved. Adds a description of the method to the given class.
 the of and to in is that it for was on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first been call who its now find long down day did get come made may part
 """,
     "de": """
