@@ -14,7 +14,7 @@ _APOS = r"'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)"
 _CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,8}?)'"
 _LONG = r'"""(?:[^\\]|\\.)*?(?:"""|\Z)'
 _LONG1 = r"'''(?:[^\\]|\\.)*?(?:'''|\Z)"
-#: Fixed values: (comments, literals) by language.
+#: Fixed values: (comments, literals) by language. Zig has no block comments, but files headed by one are met.
 FORMS = {
     "java": (rf"{_LINE}|{_BLOCK}", rf"{_LONG}|{_STR}|{_CHAR}"),
     "csharp": (rf"{_LINE}|{_BLOCK}", rf'{_LONG}|[$@]+"(?:[^"]|"")*"|{_STR}|{_CHAR}'),
@@ -22,7 +22,7 @@ FORMS = {
     "kotlin": (rf"{_LINE}|/\*", rf'""".*?(?:"""+|\Z)|{_STR}|{_CHAR}'),
     "rust": (rf"{_LINE}|/\*", r'b?r(?P<h>#*)".*?(?:"(?P=h)|\Z)|b?"(?:[^"\\]|\\.)*(?:"|\Z)' + rf"|b?{_CHAR}"),
     "swift": (rf"{_LINE}|/\*", rf'(?P<h>#+)"{{3}}.*?(?:"{{3}}(?P=h)|\Z)|{_LONG}|(?P<g>#+)"[^\n]*?(?:"(?P=g)|(?=\n)|\Z)|{_STR}'),
-    "zig": (_LINE, rf"\\\\[^\n]*|{_STR}|{_CHAR}"),
+    "zig": (rf"{_LINE}|{_BLOCK}", rf"\\\\[^\n]*|{_STR}|{_CHAR}"),
     "go": (rf"{_LINE}|{_BLOCK}", rf"`[^`]*(?:`|\Z)|{_STR}|{_CHAR}"),
     "typescript": (rf"{_LINE}|{_BLOCK}", rf"`(?:[^`\\]|\\.)*(?:`|\Z)|{_STR}|{_APOS}"),
     "php": (rf"{_LINE}|#(?!\[)[^\n]*|{_BLOCK}", rf"{_STR}|{_APOS}"),
