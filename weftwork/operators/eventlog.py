@@ -64,3 +64,38 @@ def append(log: DataFrame, new: DataFrame, payload: list[str]) -> DataFrame:
     last = log.agg(F.coalesce(F.max("event_id"), F.lit(-1)).alias("_m"))
     one = W.orderBy("ts_ms", "entity_id", "action")  # a batch of new events
     return new.crossJoin(F.broadcast(last)).select((F.col("_m") + F.row_number().over(one)).alias("event_id"), "ts_ms", "universe_id", "action", "entity_id", F.to_json(F.struct(*payload)).alias("payload"))
+
+
+def create_universe(heads: DataFrame, new: str, parent: str) -> DataFrame:
+    """The row of a new branch with its parent's head; empty if the parent is missing or the branch exists."""
+    p = heads.filter(F.col("universe_id") == parent).select(F.lit(new).alias("universe_id"), "head", F.lit(parent).alias("parent_universe_id"))
+    return p.join(heads.filter(F.col("universe_id") == new).select("universe_id"), "universe_id", "left_anti")
+
+
+def move_head(heads: DataFrame, universe: str, head: str) -> DataFrame:
+    return heads.withColumn("head", F.when(F.col("universe_id") == universe, F.lit(head)).otherwise(F.col("head")))
+
+
+def revert_target(log: DataFrame, prefix: str) -> DataFrame:
+    """event_id, parent_event of the newest commit whose payload hash begins with ``prefix``: what a revert would restore."""
+    c = commit_parents(log).join(log.select("event_id", F.sha2("payload", 256).alias("h")), "event_id")
+    return c.filter(F.startswith("h", F.lit(prefix))).orderBy(F.desc("event_id")).limit(1).select("event_id", "universe_id", "parent_event")
+
+
+def climb(universes: DataFrame, commits: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """universe_id, source_id: the nearest branch up the parents that has commits; null where none has. One join per level, finished branches rest."""
+    from weftwork.functions.common import cut
+
+    own = commits.select(F.col("universe_id").alias("_u")).distinct()
+    parents = universes.select(F.col("universe_id").alias("_k"), F.col("parent_universe_id").alias("_p"))
+    live = cut(universes.select("universe_id", F.col("universe_id").alias("at")))
+    done = None
+    for _ in range(max_rounds):
+        tagged = cut(live.join(own, live.at == own._u, "left"))
+        hit = tagged.filter("_u is not null").select("universe_id", F.col("at").alias("source_id"))
+        done = hit if done is None else done.unionByName(hit)
+        rest = tagged.filter("_u is null").drop("_u")
+        live = cut(rest.join(parents, rest["at"] == parents._k).filter("_p is not null and _p <> at").select("universe_id", F.col("_p").alias("at")))
+        if live.isEmpty():
+            break
+    return universes.select("universe_id").join(done, "universe_id", "left")
