@@ -122,3 +122,12 @@ def test_scores(spark):
     df = spark.createDataFrame([(0.8, 0.7, 250.0, 1200.0), (1.0, 0.98, 50.0, 450.0)], "a double, b double, c double, d double")
     got = [round(r[0], 4) for r in df.select(S.composite_score(*[F.col(c) for c in "abcd"])).collect()]
     assert got == [0.773, 0.9845]
+
+
+def test_ranks_across_partitions(spark):
+    from weftwork.functions.common import ranked
+
+    rows = [("g", i * 37 % 101) for i in range(101)] + [("h", 5), ("h", 5), (None, 1), (None, 0)]
+    got = [tuple(r) for r in ranked(spark.createDataFrame(rows, "g string, v int"), ["g"], ["v"]).collect()]
+    assert sorted((v, p) for g, v, p in got if g == "g") == [(i, i) for i in range(101)]
+    assert sorted(p for g, v, p in got if g == "h") == [0, 1] and sorted((v, p) for g, v, p in got if g is None) == [(0, 0), (1, 1)]

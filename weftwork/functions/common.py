@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _WHITE = r"[\s   ﻿]+"
@@ -79,3 +80,20 @@ def latest_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str]
     rest = [c for c in cols if c not in order]
     pick = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])).alias("_r")
     return df.groupBy(*keys).agg(pick).select(*keys, *[F.col("_r")[c].alias(c) for c in cols])
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """``df`` with each row's 0-based position in its group by ``order``, without a group ever meeting in one task.
+
+    Rows are range-partitioned by group and order, numbered inside their partition, and moved by the counts
+    of the group's rows in earlier partitions, of which there is one per group and partition.
+    """
+    by = [*group, *order]
+    parts = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy(*group, "_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    local = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p", *group).orderBy(*order)) - 1)
+    on = (F.col("x._p") == F.col("y._p"))
+    for g in group:
+        on = on & F.col(f"x.{g}").eqNullSafe(F.col(f"y.{g}"))
+    return local.alias("x").join(before.alias("y"), on).select(*[F.col(f"x.{c}") for c in df.columns], (F.col("x._r") + F.col("y._b")).cast("bigint").alias(name))

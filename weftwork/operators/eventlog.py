@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.functions.common import cut, ranked
+
 
 def events_from(log: DataFrame, start: int = 0, universe: str = "", limit: int = 0) -> DataFrame:
     """Events from an id on, optionally of one universe, the first ``limit`` in id order."""
@@ -59,11 +61,9 @@ def commit_parents(log: DataFrame) -> DataFrame:
 
 def append(log: DataFrame, new: DataFrame, payload: list[str]) -> DataFrame:
     """New events with the next ids; ``new`` has ts_ms, universe_id, action, entity_id and the payload's columns. Order: ts_ms, entity_id."""
-    from pyspark.sql import Window as W
-
-    last = log.agg(F.coalesce(F.max("event_id"), F.lit(-1)).alias("_m"))
-    one = W.orderBy("ts_ms", "entity_id", "action")  # a batch of new events
-    return new.crossJoin(F.broadcast(last)).select((F.col("_m") + F.row_number().over(one)).alias("event_id"), "ts_ms", "universe_id", "action", "entity_id", F.to_json(F.struct(*payload)).alias("payload"))
+    last = log.agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]
+    rows = ranked(new.withColumn("_g", F.lit(0)), ["_g"], ["ts_ms", "entity_id", "action"])
+    return rows.select((F.lit(last + 1) + F.col("pos")).alias("event_id"), "ts_ms", "universe_id", "action", "entity_id", F.to_json(F.struct(*payload)).alias("payload"))
 
 
 def create_universe(heads: DataFrame, new: str, parent: str) -> DataFrame:
@@ -84,8 +84,6 @@ def revert_target(log: DataFrame, prefix: str) -> DataFrame:
 
 def climb(universes: DataFrame, commits: DataFrame, max_rounds: int = 64) -> DataFrame:
     """universe_id, source_id: the nearest branch up the parents that has commits; null where none has. One join per level, finished branches rest."""
-    from weftwork.functions.common import cut
-
     own = commits.select(F.col("universe_id").alias("_u")).distinct()
     parents = universes.select(F.col("universe_id").alias("_k"), F.col("parent_universe_id").alias("_p"))
     live = cut(universes.select("universe_id", F.col("universe_id").alias("at")))

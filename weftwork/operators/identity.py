@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.functions.common import cut
+from weftwork.functions.common import cut, ranked
 
 
 def sorted_pairs(m: Column) -> Column:
@@ -49,25 +49,16 @@ def merkle_roots(leaves: DataFrame, group: str, leaf: str) -> DataFrame:
     Leaves are ranked once; every further level halves the rows by their position, so no group is ever
     gathered in one row. The last of an odd level is paired with itself; a single leaf is hashed as such.
     """
-    from pyspark.sql import Window as W
-
-    pos = (F.row_number().over(W.partitionBy(group).orderBy(leaf)) - 1).cast("bigint")
-    level = cut(leaves.select(F.col(group), F.col(leaf).alias("h"), pos.alias("pos")))
-    sizes = level.groupBy(group).agg(F.count("*").alias("n"))
-    single = level.join(sizes.filter("n = 1"), group).select(group, F.sha2(F.concat(F.lit("merkle_leaf:"), F.col("h")), 256).alias("root"))
-    level = level.join(sizes.filter("n > 1").select(group), group, "left_semi")
-    done = None
-    while True:
-        top = level.agg(F.max("pos")).first()[0]
-        if top is None or top == 0:
-            break
-        pair = level.groupBy(group, F.floor(F.col("pos") / 2).alias("p")).agg(F.min(F.struct("pos", "h")).alias("a"), F.max(F.struct("pos", "h")).alias("b"))
-        nxt = pair.select(group, F.sha2(F.concat(F.lit("merkle_node:"), F.col("a.h"), F.lit(":"), F.col("b.h")), 256).alias("h"), F.col("p").alias("pos"))
-        nxt = cut(nxt.withColumn("n", F.count("*").over(W.partitionBy(group))))
-        ended = nxt.filter("n = 1").select(group, F.col("h").alias("root"))
-        done = ended if done is None else done.unionByName(ended)
-        level = nxt.filter("n > 1").drop("n")
-    return single if done is None else single.unionByName(done)
+    n = leaves.groupBy(group).agg(F.count("*").alias("n"))
+    level = cut(ranked(leaves.select(group, F.col(leaf).alias("h")), [group], ["h"]).join(n, group))
+    out = level.filter("n = 1").select(group, F.sha2(F.concat(F.lit("merkle_leaf:"), F.col("h")), 256).alias("root"))
+    level = level.filter("n > 1")
+    while not level.isEmpty():
+        pair = level.groupBy(group, "n", F.floor(F.col("pos") / 2).alias("p")).agg(F.min(F.struct("pos", "h")).alias("a"), F.max(F.struct("pos", "h")).alias("b"))
+        level = cut(pair.select(group, F.ceil(F.col("n") / 2).alias("n"), F.sha2(F.concat(F.lit("merkle_node:"), F.col("a.h"), F.lit(":"), F.col("b.h")), 256).alias("h"), F.col("p").alias("pos")))
+        out = out.unionByName(level.filter("n = 1").select(group, F.col("h").alias("root")))
+        level = level.filter("n > 1")
+    return out
 
 
 def state_fingerprint(df: DataFrame, name: str, content: str) -> DataFrame:

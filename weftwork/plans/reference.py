@@ -120,7 +120,8 @@ def blob_verify(s, d):
 def blob_prune(s, d):
     keep = table(s, d, "documents").filter("component = 'hub-core' and text is not null").select(F.sha2("text", 256).alias("hash"))
     kept, gone = B.prune(_blobs(s, d), keep)
-    return kept.agg(F.count("*").alias("kept")).crossJoin(gone.agg(F.count("*").alias("removed")))  # one row each
+    both = kept.select(F.lit(1).alias("k")).unionByName(gone.select(F.lit(0).alias("k")))
+    return both.agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("removed"))
 
 
 # ---- filters -----------------------------------------------------------------------------------------------------
@@ -382,10 +383,14 @@ def node_blast(s, d):
 
 @query("SELECT (SELECT count(DISTINCT universe_id) FROM heads) AS n_universes, (SELECT count(DISTINCT sha256(text)) FROM documents WHERE text IS NOT NULL) AS n_blobs, (SELECT count(DISTINCT lower(trim(change_id))) FROM stacked_proposals) AS n_proposals, (SELECT count(DISTINCT author_did) FROM stacked_proposals) AS n_agents")
 def hub_stats(s, d):
-    p = table(s, d, "stacked_proposals").agg(F.countDistinct(H.norm_key("change_id")).alias("n_proposals"), F.countDistinct("author_did").alias("n_agents"))
-    h = table(s, d, "heads").agg(F.countDistinct("universe_id").alias("n_universes"))
-    b = table(s, d, "documents").filter("text is not null").agg(F.countDistinct(F.sha2("text", 256)).alias("n_blobs"))
-    return h.crossJoin(b).crossJoin(p)  # one row each
+    p = table(s, d, "stacked_proposals")
+    parts = [("n_universes", table(s, d, "heads").select(F.col("universe_id").alias("x"))), ("n_blobs", table(s, d, "documents").filter("text is not null").select(F.sha2("text", 256).alias("x"))),
+             ("n_proposals", p.select(H.norm_key("change_id").alias("x"))), ("n_agents", p.select(F.col("author_did").alias("x")))]
+    rows = None
+    for name, df in parts:
+        one = df.filter("x is not null").distinct().select(F.lit(name).alias("name"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.agg(*[F.count_if(F.col("name") == n).alias(n) for n, _ in parts])
 
 
 @query(_with("NODES", "LINEAGE") + "SELECT count(*) FILTER (WHERE h) AS with_lineage, count(*) FILTER (WHERE NOT h) AS without_lineage FROM (SELECT node_id, node_id IN (SELECT node_id FROM lineage) AS h FROM nodes)")
@@ -533,14 +538,9 @@ _STACK = "SELECT k, max({'u': updated_at, 'i': ingested_at, 'p': p}).p AS p FROM
 @query(f"WITH RECURSIVE s AS ({_STACK}), roots AS (SELECT p AS k FROM s WHERE p IN (SELECT k FROM s) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), t AS (SELECT k AS root, k FROM roots UNION SELECT t.root, s.k FROM t JOIN s ON s.p = t.k) SELECT root, k AS change_id FROM t WHERE root <> k")
 def stack_descendants(s, d):
     links = H.proposal_links(table(s, d, "stacked_proposals"))
-    edges = links.filter("parent_key is not null").select(F.col("parent_key").alias("source_id"), F.col("node_key").alias("target_id"), F.lit("STACK").alias("edge_type"))
-    top = edges.groupBy("source_id").count().orderBy(F.desc("count"), "source_id").limit(5).select(F.col("source_id").alias("node_id"))
-    # one traversal for all: pairs of root and node are the nodes
-    start = top.select(F.concat("node_id", F.lit("\u0001"), "node_id").alias("node_id"))
-    roots = F.broadcast(top.withColumnRenamed("node_id", "root"))  # five rows
-    pairs = edges.crossJoin(roots).select(F.concat("root", F.lit("\u0001"), "source_id").alias("source_id"), F.concat("root", F.lit("\u0001"), "target_id").alias("target_id"), "edge_type")
-    t = G.traverse(pairs, start).filter("depth > 0")
-    return t.select(F.substring_index("node_id", "\u0001", 1).alias("root"), F.substring_index("node_id", "\u0001", -1).alias("change_id"))
+    top = links.filter("parent_key is not null").groupBy(F.col("parent_key").alias("ancestor_key")).count().orderBy(F.desc("count"), "ancestor_key").limit(5).select("ancestor_key")
+    below = H.descendants(H.hierarchy(links))
+    return below.join(top, "ancestor_key", "left_semi").select(F.col("ancestor_key").alias("root"), F.col("descendant_key").alias("change_id"))
 
 
 # ---- event log ---------------------------------------------------------------------------------------------------
