@@ -30,13 +30,43 @@ def quality(text: Column) -> Column:
     return F.lit(0.1) + F.lit(0.9) * F.when(solid > 0, letters / solid).otherwise(0.0)
 
 
+def _ranges(keyed: DataFrame, rest: dict[str, float], rounds: int) -> list[tuple[str, float, int, float, int, float]]:
+    """(source, from key and doc, up to key and doc, largest size) of what each budget takes: prefixes in key order, one a round.
+
+    A round sums tokens by bucket, finds the bucket in which the sum passes the budget, and in that bucket the document
+    that passes it; the next round begins behind it with what is left. Only one row a source comes to the driver.
+    """
+    spark, out = keyed.sparkSession, []
+    state = {n: (r, -1.0, -1) for n, r in rest.items()}
+    for _ in range(rounds):
+        if not state:
+            break
+        s = spark.createDataFrame([(n, *v) for n, v in state.items()], "source_name string, left double, lo double, lo_doc bigint")
+        cand = keyed.join(F.broadcast(s), "source_name").filter((F.col("n_tokens") <= F.col("left")) & (F.struct("key", "doc_id") > F.struct("lo", "lo_doc")))
+        sums = cand.groupBy("source_name", "bucket").agg(F.sum("n_tokens").alias("t"), F.first("left").alias("left"))
+        by = W.partitionBy("source_name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS rows a source
+        edge = sums.withColumn("before", F.coalesce(F.sum("t").over(by), F.lit(0))).filter("before <= left and before + t > left").select("source_name", "bucket", "before")
+        run = F.col("before") + F.sum("n_tokens").over(W.partitionBy("source_name").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+        over = cand.join(edge, ["source_name", "bucket"]).withColumn("run", run).filter("run > left")
+        cuts = {r.source_name: r.c for r in over.groupBy("source_name").agg(F.min(F.struct("key", "doc_id", "run", "n_tokens")).alias("c")).collect()}
+        after = {}
+        for n, (left, lo, lo_doc) in state.items():
+            c = cuts.get(n)
+            out.append((n, lo, lo_doc, float(c.key) if c else float("inf"), int(c.doc_id) if c else 0, left))
+            if c and left - (c.run - c.n_tokens) >= 1:
+                after[n] = (left - (c.run - c.n_tokens), float(c.key), int(c.doc_id))
+        state = after
+    return out
+
+
 def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, seed: int = 17, vocabulary: str = VOCABULARY,
-        weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        weight: Column | None = None, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares): doc_id, source_name, n_tokens, repeats; and per source what was reached.
 
     ``docs`` has unique doc_id, text and source, ``targets`` source_name, target_share and max_repeats (checked below 10,000 rows).
     The total is ``total_tokens``, or all tokens of the named sources where that is unset, lowered until every
     source can give its share within its cap; targets without any document cannot count and are reported with 0.
+    A document that would overrun its budget is passed over; the documents behind it that still fit follow, ``rounds`` times at most.
     Documents of unnamed or null source and of no tokens are not chosen. Ties of keys fall to the lower doc_id.
     """
     goals = [(r[0], float(r[1]), int(r[2])) for r in targets.select(source_name("source_name"), "target_share", "max_repeats").limit(10_001).collect() if r[0] is not None]
@@ -61,20 +91,16 @@ def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None,
     budgets = spark.createDataFrame(plan, "source_name string, epochs int, rest double")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = have.join(F.broadcast(budgets), "source_name").withColumn("key", -F.log(u) / F.col("w"))
-    keyed = keyed.withColumn("bucket", F.floor(F.lit(BUCKETS) * F.col("key") / (1 + F.col("key"))).cast("int"))
-    by_bucket = keyed.filter("rest > 0").groupBy("source_name", "bucket").agg(F.sum("n_tokens").alias("t"))
-    before = by_bucket.withColumn("before", F.coalesce(F.sum("t").over(W.partitionBy("source_name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = keyed.join(before, ["source_name", "bucket"], "left")
-    whole = placed.filter("rest <= 0 or before + t <= rest or before >= rest").withColumn("extra", F.when((F.col("rest") > 0) & (F.col("before") + F.col("t") <= F.col("rest")), 1).otherwise(0))
-    edge = placed.filter("rest > 0 and before < rest and before + t > rest")
-    run = F.col("before") + F.sum("n_tokens").over(W.partitionBy("source_name", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    # the document that crosses the budget's end is taken if that lands nearer to it
-    edge = edge.withColumn("run", run).withColumn("extra", F.when((F.col("run") <= F.col("rest")) | ((F.col("run") - F.col("n_tokens") < F.col("rest")) & (F.col("run") - F.col("rest") <= F.col("rest") - (F.col("run") - F.col("n_tokens")))), 1).otherwise(0)).drop("run")
-    chosen = whole.unionByName(edge).withColumn("repeats", F.col("epochs") + F.col("extra")).filter("repeats > 0").select("doc_id", "source_name", "n_tokens", "repeats")
+    keyed = staged(keyed.withColumn("bucket", F.floor(F.lit(BUCKETS) * F.col("key") / (1 + F.col("key"))).cast("int")).select("doc_id", "source_name", "n_tokens", "epochs", "rest", "key", "bucket"))
+    ranges = _ranges(keyed, {n: r for n, _, r in plan if r > 0}, rounds)
+    r = spark.createDataFrame(ranges, "source_name string, lo double, lo_doc bigint, hi double, hi_doc bigint, most double")
+    at = F.struct("key", "doc_id")
+    inside = keyed.join(F.broadcast(r), "source_name").filter((F.col("n_tokens") <= F.col("most")) & (at > F.struct("lo", "lo_doc")) & (at < F.struct("hi", "hi_doc"))).select("doc_id", F.lit(1).alias("extra"))
+    chosen = keyed.join(inside, "doc_id", "left").withColumn("repeats", F.col("epochs") + F.coalesce("extra", F.lit(0))).filter("repeats > 0").select("doc_id", "source_name", "n_tokens", "repeats")
     chosen = staged(chosen)
-    got = chosen.groupBy("source_name").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
-    everything = chosen.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("all_tokens"))
-    shares = (F.broadcast(goal).join(got, "source_name", "left").crossJoin(F.broadcast(everything))  # one row
-              .select("source_name", "target_share", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+    reached = chosen.groupBy("source_name").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
+    everything = sum(r.tokens for r in reached.collect()) or 1  # one row per goal
+    shares = (F.broadcast(goal).join(reached, "source_name", "left")
+              .select("source_name", "target_share", F.coalesce(F.col("tokens") / F.lit(everything), F.lit(0.0)).alias("actual_share"),
                       F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_repeats", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats")))
     return chosen, shares
