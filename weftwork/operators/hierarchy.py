@@ -65,15 +65,17 @@ def components(links: DataFrame) -> DataFrame:
                              F.col("parent_key").isNull().alias("done")))
     done = state.filter("done")
     live = state.filter("not done")
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a round's rows come from as many files as rounds before; tasks stay as many as partitions
     before, n = -1, live.count()
     while n and n != before:
         to = done.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("d").alias("_d"), F.lit(True).alias("_done")).unionByName(
-            live.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("d").alias("_d"), F.lit(False).alias("_done")))
+            live.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("d").alias("_d"), F.lit(False).alias("_done"))).coalesce(parts)
         stepped = cut(live.join(to, live.ptr == to._k).select("node_key", "parent_key", F.col("_ptr").alias("ptr"),
                                                              (F.col("d") + F.col("_d")).alias("d"), F.col("_done").alias("done")))
         done = done.select("node_key", "parent_key", "ptr", "d").unionByName(stepped.filter("done").drop("done")).withColumn("done", F.lit(True))
         live = stepped.filter("not done")
         before, n = n, live.count()
+    done = done.coalesce(parts)
     trees = done.select("node_key", "parent_key", F.col("ptr").alias("comp"), F.col("d").cast("int").alias("depth"), F.lit(False).alias("looped"))
     if not n:
         return trees
