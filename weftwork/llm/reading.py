@@ -12,13 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.language import STATES, codes, model
+from weftwork.llm.language import STATES, codes, fold, model
+from weftwork.llm.seed_texts import PROSE
 
 LEVELS = 4
 #: Bounds of the training sample: labelled documents, and sentences used of each document. Everything else covers all data.
@@ -70,6 +72,28 @@ class Features:
     langs: np.ndarray
 
 
+def _word_slots(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, start, stop) of the words in one array of codes."""
+    u = c.astype(np.uint64)
+    letter = ((c >= 97) & (c <= 122)) | (c >= 0xC0) & (c != 0xD7) & (c != 0xF7) | (c == 39)
+    edge = np.diff(np.concatenate([[0], letter.astype(np.int8), [0]]))
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power = np.cumprod(np.full(len(u), np.uint64(0x100000001B3)))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(u * power)])
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(u), np.uint64(pow(0x100000001B3, -1, 1 << 64)))]))
+    return _h((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64)), lo, hi
+
+
+@lru_cache(1)
+def _vocabulary() -> np.ndarray:
+    """[slots, languages]: which languages' seeds hold a word."""
+    out = np.zeros((1 << _BITS, len(STATES) - 1), np.int8)
+    for k, name in enumerate(STATES[1:]):
+        for t in (PROSE[name], fold(PROSE[name])):
+            out[_word_slots(codes(t))[0], k] = 1
+    return out
+
+
 def features(sents: list[str]) -> Features:
     text = " " + "  ".join(sents) + " "
     size = np.array([len(s) for s in sents], np.int64)
@@ -82,12 +106,7 @@ def features(sents: list[str]) -> Features:
     own = np.repeat(np.arange(len(sents)), size)
     pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + start[own]
     chars = _h(g[pos - 1])
-    letter = ((c >= 97) & (c <= 122)) | (c >= 0xC0) & (c != 0xD7) & (c != 0xF7) | (c == 39)
-    edge = np.diff(np.concatenate([[0], letter.astype(np.int8), [0]]))
-    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(u * np.cumprod(np.full(len(u), np.uint64(0x100000001B3))))])
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(u), np.uint64(pow(0x100000001B3, -1, 1 << 64)))]))
-    words = _h((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64))
+    words, lo, hi = _word_slots(c)
     of = np.searchsorted(start, lo, "right") - 1
     n_words = np.bincount(of, minlength=len(sents))
     length = hi - lo
@@ -101,8 +120,15 @@ def features(sents: list[str]) -> Features:
         words = np.insert(words, word_at[n_words == 0], 0)
         of = np.insert(of, word_at[n_words == 0], np.flatnonzero(n_words == 0))
         word_at = np.searchsorted(of, np.arange(len(sents)))
-    # code is left out of sentences already: the most likely natural language
-    langs = model().sentence_scores(c, np.concatenate([[0], start[1:]]))[:, 1:].argmax(1) + 1
+    # a sentence's natural language: by the words its seeds hold where they settle it, else by characters
+    hits = np.add.reduceat(_vocabulary()[words], word_at, axis=0)
+    langs = hits.argmax(1) + 1
+    top = np.sort(hits, axis=1)
+    open_ = np.flatnonzero((top[:, -1] < 3) | (top[:, -1] - top[:, -2] < 2))
+    if len(open_):
+        pick = np.concatenate([c[start[i]:start[i] + max(size[i], 1)] for i in open_])
+        n = np.maximum(size[open_], 1)
+        langs[open_] = model().sentence_scores(pick, np.cumsum(n) - n)[:, 1:].argmax(1) + 1
     return Features(chars, np.cumsum(size) - size, words, word_at, dense, n_words, langs)
 
 
