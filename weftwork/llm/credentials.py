@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 import re
 import string
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALLOW = "cosm:allow-secret"
-_BITS = 15
 #: Lines made for training. The model sees no table.
 N_EXAMPLES = 6_000
 
@@ -94,11 +93,7 @@ def kind_of(s: str) -> str:
 @dataclass
 class Line:
     tokens: list[tuple[int, int]]
-    slots: list[list[int]]
-
-
-def _slot(f: str) -> int:
-    return zlib.crc32(f.encode()) & ((1 << _BITS) - 1)
+    features: list[list[str]]
 
 
 def _key_state(key: str | None) -> str:
@@ -109,12 +104,13 @@ def _key_state(key: str | None) -> str:
     return "harmless" if _HARMLESS.search(key) else "secret"
 
 
+_ASSIGN = re.compile(r"\s*[=:]")
 _CALL = re.compile(r"([\w.]+)\s*\(\s*$")
 _LAST_KEY = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\\]*\s*(=>|:=|==|[=:,]|\bIS\b|\bBY\b)?\s*(?:[\"'\\({\[]|new\s+\w+\()*\s*$")
 
 
 def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
-    """Tokens of a line and their hashed features. ``context`` is the name the whole text is a value of; ``pem`` says which key block the line is in."""
+    """Tokens of a line and their features. ``context`` is the name the whole text is a value of; ``pem`` says which key block the line is in."""
     segs: list[tuple[int, int, str, str, str, str, str]] = []  # start, stop, kind, key state, delimiter, call, word before
     key, seen_key = None, False
     prev_word, prev_kind = "", ""
@@ -126,7 +122,7 @@ def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
         if hi <= lo:
             continue
         quoted = g < 5
-        before = line[:m.start()]
+        before = line[max(0, m.start() - 200):m.start()]
         k = _LAST_KEY.search(before[-90:])
         delim = (k[2] or " ") if k else ""
         named = k[1] if k else None
@@ -173,11 +169,11 @@ def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
         if re.search(r"[A-Za-z]", s) and kind_of(s) in ("ident", "ident_digit", "dotted"):
             if _SECRET.search(s):
                 key = s
-            elif not quoted and re.match(r"\s*[=:]", line[m.end():]):
+            elif not quoted and _ASSIGN.match(line, m.end()):
                 key = None
         seen_key = seen_key or state == "secret"
         prev_word, prev_kind = s.lower()[:12], kind_of(s)
-    tokens, slots, j = [], [], 0
+    tokens, feats, j = [], [], 0
     prev_tok = ""
     for m in _TOKEN.finditer(line):
         a, b = m.span()
@@ -197,8 +193,8 @@ def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
         fs.append(f"pt={prev_tok if not prev_tok[:1].isalnum() else 'w'}")
         prev_tok = t
         tokens.append((a, b))
-        slots.append([_slot(f) for f in fs])
-    return Line(tokens, slots)
+        feats.append(fs)
+    return Line(tokens, feats)
 
 
 # ---- the field -------------------------------------------------------------------------------------------------
@@ -207,17 +203,16 @@ class Field:
     """Linear-chain conditional random field with labels 0 (outside) and 1 (secret)."""
 
     def __init__(self) -> None:
-        self.w = np.zeros((1 << _BITS, 2))
+        self.index: dict[str, int] = {}  # features of training; others say nothing, so rare names cannot vote
+        self.w = np.zeros((0, 2))
         self.trans = np.zeros((2, 2))
         self.start = np.zeros(2)
 
-    def _emit(self, slots: list[list[int]]) -> np.ndarray:
-        return np.array([self.w[s].sum(0) for s in slots])
-
-    def viterbi(self, slots: list[list[int]]) -> list[int]:
-        if not slots:
+    def viterbi(self, features: list[list[str]]) -> list[int]:
+        if not features:
             return []
-        e = self._emit(slots)
+        at = [[i for f in fs if (i := self.index.get(f)) is not None] for fs in features]
+        e = np.array([self.w[i].sum(0) for i in at])
         v, back = self.start + e[0], []
         for x in e[1:]:
             s = v[:, None] + self.trans
@@ -228,10 +223,13 @@ class Field:
             y.append(int(b[y[-1]]))
         return y[::-1]
 
-    def fit(self, data: list[tuple[list[list[int]], list[int]]], *, epochs: int = 6, l2: float = 2e-6, batch: int = 128, seed: int = 3) -> Field:
+    def fit(self, lines: list[tuple[list[list[str]], list[int]]], *, least: int = 3, epochs: int = 6, l2: float = 2e-6, batch: int = 128, seed: int = 3) -> Field:
         """Conditional likelihood by AdaGrad over batches of lines of like length."""
         rng = np.random.default_rng(seed)
-        data = sorted((d for d in data if d[0]), key=lambda d: len(d[0]))
+        seen = Counter(f for d in lines for fs in d[0] for f in fs)
+        self.index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
+        self.w = np.zeros((len(self.index), 2))
+        data = sorted((([[self.index[f] for f in fs if f in self.index] for fs in d[0]], d[1]) for d in lines if d[0]), key=lambda d: len(d[0]))
         groups = [data[i:i + batch] for i in range(0, len(data), batch)]
         gw, gt, gs = np.full(self.w.shape, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)
         for _ in range(epochs):
@@ -265,7 +263,7 @@ class Field:
                 r /= n
                 per_feature = np.repeat(r, per, axis=0)
                 used = np.unique(flat)
-                grad = np.stack([np.bincount(flat, per_feature[:, k], minlength=1 << _BITS) for k in range(2)], axis=1)[used] + l2 * self.w[used]
+                grad = np.stack([np.bincount(flat, per_feature[:, k], minlength=len(self.w)) for k in range(2)], axis=1)[used] + l2 * self.w[used]
                 pair = np.exp(fw[:, :-1, :, None] + self.trans + (e[:, 1:] + bw[:, 1:])[:, :, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
                 tg = pair.sum((0, 1))
                 np.add.at(tg, (y[:, :-1][live[:, 1:]], y[:, 1:][live[:, 1:]]), -1)
@@ -412,10 +410,10 @@ def _uuid(r: random.Random) -> str:
     return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
 
 
-def labelled(ex: tuple) -> tuple[list[list[int]], list[int]]:
+def labelled(ex: tuple) -> tuple[list[list[str]], list[int]]:
     line, ctx, pem, spans = ex
     f = line_features(line, ctx, pem)
-    return f.slots, [int(any(a < e and s < b for s, e in spans)) for a, b in f.tokens]
+    return f.features, [int(any(a < e and s < b for s, e in spans)) for a, b in f.tokens]
 
 
 @lru_cache(1)
@@ -474,7 +472,7 @@ def scan(text: str, context: str | None, field: Field) -> list[Finding]:
             continue
         if here or at in worth:
             f = line_features(line, context, here)
-            y = field.viterbi(f.slots)
+            y = field.viterbi(f.features)
             i = 0
             while i < len(y):
                 if y[i]:

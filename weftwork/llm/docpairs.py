@@ -8,6 +8,7 @@ function's own names, tags and stock phrases do not.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,7 @@ _CODE = re.compile(r"[;{}]\s*$|^\s*[{}]|^\s*[\w.]+\([^()]*(?:\([^()]*\))?[^()]*\
 _STOP = re.compile(r"(?<=[.!?。！？])(?:\s+|(?<=[。！？]))|\n\s*\n|(?<=[.!?]\*/)")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*", re.U)
 _IDENT = re.compile(r"[a-z][A-Z]|_|\d")
+_OWNER = re.compile(r"\b(?:class|struct|impl|enum|interface|object|const)\s+(\w+)")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]{2,}")
 _HEADER = re.compile(r"(?i)^\s*(?:parameters?|params|args|arguments|returns?|throws|raises|yields)\s*:\s*$")
@@ -179,12 +181,14 @@ def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rid, lang, path, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if not text:
                 continue
+            owners = [(m.start(), m[1]) for m in _OWNER.finditer(text)]
+            places = [a for a, _ in owners]
             for f in functions(text, _language(lang, path) or guess_language(text)):
                 if f.empty or not f.docs:
                     continue
                 head = text[f.start:f.stop - len(f.body)]
-                owners = re.findall(r"\b(?:class|struct|impl|enum|interface|object|const)\s+(\w+)", text[:f.start])
-                own = name_words(f.name, *re.findall(r"\w+", head[head.find("(") + 1:]), owners[-1] if owners else None)
+                k = bisect_left(places, f.start)
+                own = name_words(f.name, *re.findall(r"\w+", head[head.find("(") + 1:]), owners[k - 1][1] if k else None)
                 if says_something(f.docs, own):
                     out.append((rid, f.name, text[f.start:f.stop], bare(repaired(f.docs)), f.start, f.stop))
         yield _batch(out)

@@ -144,35 +144,44 @@ def model() -> Model:
     return Model()
 
 
-def _decode(e: list[np.ndarray]) -> list[np.ndarray]:
-    """Viterbi paths of several emission arrays at once, longest first; padded positions cost nothing."""
-    n, states = len(e), len(STATES)
-    order = sorted(range(n), key=lambda i: -len(e[i]))
-    size = np.array([len(e[i]) for i in order])
+#: Cells (characters by texts by states) whose emissions are held at once.
+_BLOCK_CELLS = 6_000_000
+
+
+def _decode(c: list[np.ndarray]) -> list[np.ndarray]:
+    """Viterbi paths of several texts' codes at once, longest first. Emissions are made block by block, so a long text costs three bytes a character."""
+    m, n, states = model(), len(c), len(STATES)
+    order = sorted(range(n), key=lambda i: -len(c[i]))
+    size = np.array([len(c[i]) for i in order])
     longest = int(size[0]) if n else 0
     v = np.zeros((n, states), np.float32)
     v[:, CODE_STATE] = 3.0
     jump = np.zeros((longest, n), np.int8)  # best state before, if one changes
     stay = np.zeros((longest, n), np.uint16)  # bit per state: it was kept
     bits = (1 << np.arange(states)).astype(np.uint16)
-    alive = n
-    pad = np.zeros((longest, n, states), np.float32)
-    for k, i in enumerate(order):
-        pad[: len(e[i]), k] = e[i]
-    final = np.zeros((n, states), np.float32)
-    for t in range(longest):
-        while alive and size[alive - 1] <= t:
-            alive -= 1
-            final[alive] = v[alive]
-        x = v[:alive]
-        best = x.argmax(1)
-        top = x[np.arange(alive), best][:, None] - _SWITCH
-        kept = x >= top
-        jump[t, :alive] = best
-        stay[t, :alive] = kept @ bits
-        np.maximum(x, top, out=x)
-        x += pad[t, :alive]
-        x -= x.max(1, keepdims=True)
+    alive, final, rows = n, np.zeros((n, states), np.float32), np.arange(n)
+    step = max(256, _BLOCK_CELLS // max(1, n * states))
+    for t0 in range(0, longest, step):
+        t1 = min(longest, t0 + step)
+        pad = np.zeros((t1 - t0, n, states), np.float32)
+        for k, i in enumerate(order):
+            if len(c[i]) <= t0:
+                break
+            back = min(2, t0)
+            e = m.emissions(c[i][t0 - back:t1])[back:]
+            pad[: len(e), k] = e
+        for t in range(t0, t1):
+            while alive and size[alive - 1] <= t:
+                alive -= 1
+                final[alive] = v[alive]
+            x = v[:alive]
+            best = x.argmax(1)
+            top = x[rows[:alive], best][:, None] - _SWITCH
+            jump[t, :alive] = best
+            stay[t, :alive] = (x >= top) @ bits
+            np.maximum(x, top, out=x)
+            x += pad[t - t0, :alive]
+            x -= x.max(1, keepdims=True)
     final[:alive] = v[:alive]
     out: list[np.ndarray] = [np.zeros(0, np.int8)] * n
     state = np.zeros(n, np.int64)
@@ -186,19 +195,17 @@ def _decode(e: list[np.ndarray]) -> list[np.ndarray]:
         kept = (stay[t, :live].astype(np.int64) >> state[:live]) & 1
         state[:live] = np.where(kept == 1, state[:live], jump[t, :live])
     for k, i in enumerate(order):
-        out[i] = path[: size[k], k]
+        out[i] = path[: size[k], k].copy()
     return out
 
 
 def viterbi(texts: list[str], cells: int = 1_500_000) -> list[np.ndarray]:
     """The state of every character of every text; texts of like length are decoded together."""
-    m = model()
     out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
     group: list[int] = []
-    width = 0
 
     def flush() -> None:
-        for i, p in zip(group, _decode([m.emissions(codes(texts[i])) for i in group]), strict=True):
+        for i, p in zip(group, _decode([codes(texts[i]) for i in group]), strict=True):
             out[i] = p
         group.clear()
 
@@ -206,7 +213,6 @@ def viterbi(texts: list[str], cells: int = 1_500_000) -> list[np.ndarray]:
         if group and (len(group) + 1) * len(texts[i]) * len(STATES) > cells * 4:
             flush()
         group.append(i)
-        width = max(width, len(texts[i]))
     if group:
         flush()
     return out

@@ -240,6 +240,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, max_documents: int =
 _OUT = "doc_id bigint, n_sentences int, n_words bigint, english_share double, share_1 double, share_2 double, share_3 double, share_4 double, difficulty double"
 
 
+def _pieces(texts: list[str | None], chars: int = 400_000) -> Iterator[tuple[list[str], list[int]]]:
+    """(sentences, rows they belong to) in pieces of bounded length; a long text spans several, a long sentence is cut."""
+    sents, own, n = [], [], 0
+    for i, t in enumerate(texts):
+        for s in sentences(t) if t else []:
+            for a in range(0, len(s), chars):
+                sents.append(s[a:a + chars])
+                own.append(i)
+                n += len(sents[-1])
+                if n >= chars:
+                    yield sents, own
+                    sents, own, n = [], [], 0
+    if sents:
+        yield sents, own
+
+
 def _levels(c: Classifier):
     english = STATES.index("en")
 
@@ -247,40 +263,26 @@ def _levels(c: Classifier):
         level = np.arange(1, LEVELS + 1)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            todo: list[tuple[list[str], list[int], list[int]]] = [([], [], [])]
-            chars = 0
-            for i, t in enumerate(texts):
-                ss = sentences(t) if t else []
-                todo[-1][1].append(i)
-                todo[-1][0].extend(ss)
-                todo[-1][2].extend([len(todo[-1][1]) - 1] * len(ss))
-                chars += sum(map(len, ss))
-                if chars > 400_000:
-                    todo.append(([], [], []))
-                    chars = 0
-            for sents, rows, own in todo:
-                if not rows:
-                    continue
-                n = len(rows)
-                share, eng, words, count = np.zeros((n, LEVELS)), np.zeros(n), np.zeros(n), np.bincount(np.array(own, np.int64), minlength=n)
-                if sents:
-                    f = features(sents)
-                    o = np.array(own)
-                    en = (f.langs == english).astype(float)
-                    np.add.at(share, o, c.proba(f) * (f.n_words * en)[:, None])
-                    eng = np.bincount(o, f.n_words * en, minlength=n)
-                    # scripts without blanks: a character is about half a word
-                    size = np.array([len(s) for s in sents])
-                    w = np.where(np.isin(f.langs, [STATES.index("ja"), STATES.index("zh")]), np.maximum(f.n_words, size // 2), f.n_words)
-                    words = np.bincount(o, w, minlength=n)
-                total = share.sum(1, keepdims=True)
-                share = np.divide(share, total, out=np.zeros_like(share), where=total > 0)
-                hard = np.interp(share @ level, c.knots[:, 0], c.knots[:, 1])
-                hard[total[:, 0] == 0] = np.nan
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[i] for i in rows], pa.int64()), pa.array(count.astype(np.int32)), pa.array(words.astype(np.int64)),
-                    pa.array(np.divide(eng, words, out=np.zeros(n), where=words > 0)), *[pa.array(share[:, k]) for k in range(LEVELS)],
-                    pa.array(hard, mask=np.isnan(hard))], names=[x.split()[0] for x in _OUT.split(", ")])
+            n = len(ids)
+            share, eng, words, count = np.zeros((n, LEVELS)), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+            for sents, own in _pieces(texts):
+                f, o = features(sents), np.array(own)
+                en = (f.langs == english).astype(float)
+                np.add.at(share, o, c.proba(f) * (f.n_words * en)[:, None])
+                eng += np.bincount(o, f.n_words * en, minlength=n)
+                # scripts without blanks: a character is about half a word
+                size = np.array([len(s) for s in sents])
+                w = np.where(np.isin(f.langs, [STATES.index("ja"), STATES.index("zh")]), np.maximum(f.n_words, size // 2), f.n_words)
+                words += np.bincount(o, w, minlength=n)
+                count += np.bincount(o, minlength=n)
+            total = share.sum(1, keepdims=True)
+            share = np.divide(share, total, out=np.zeros_like(share), where=total > 0)
+            hard = np.interp(share @ level, c.knots[:, 0], c.knots[:, 1])
+            hard[total[:, 0] == 0] = np.nan
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array(count.astype(np.int32)), pa.array(words.astype(np.int64)),
+                pa.array(np.divide(eng, words, out=np.zeros(n), where=words > 0)), *[pa.array(share[:, k]) for k in range(LEVELS)],
+                pa.array(hard, mask=np.isnan(hard))], names=[x.split()[0] for x in _OUT.split(", ")])
 
     return go
 

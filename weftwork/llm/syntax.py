@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from weftwork.functions.lexing import Span, masked, spans
@@ -111,6 +112,7 @@ def functions(text: str, language: str) -> list[Function]:
     found = spans(text, language)
     plain = masked(text, found)
     comments = [s for s in found if s.comment]
+    places = [s.start for s in comments]
     out: list[Function] = []
     todo = parse(text, language, found, plain)[::-1]
     while todo:
@@ -122,7 +124,7 @@ def functions(text: str, language: str) -> list[Function]:
         edge = max(plain.rfind(c, 0, n.start) for c in "{};") + 1
         start = declaration_start(plain, n.start, edge)
         docs, at = [], start
-        for s in reversed([s for s in comments if edge <= s.start < start]):
+        for s in reversed(comments[bisect_left(places, edge):bisect_left(places, start)]):
             gap = text[s.stop:at]
             line = plain[plain.rfind("\n", 0, s.start) + 1:s.start]
             if gap.strip() or gap.count("\n") > 1 or line.strip():  # apart, or behind other code on its line
