@@ -170,3 +170,13 @@ def p1_shares(s: SparkSession, d: str) -> DataFrame:
 @query
 def p1_languages(s: SparkSession, d: str) -> DataFrame:
     return _prose(s, d).groupBy("record_table", "nat_lang").agg(F.count("*").alias("n_records"), F.sum("n_phrases").alias("n_phrases"), F.sum("n_chars").alias("n_chars"))
+
+
+_P2 = """WITH f AS (SELECT DISTINCT function_id, body_source AS t FROM code_functions WHERE language IN ('java', 'rust', 'swift') AND body_source IS NOT NULL),
+w AS (SELECT function_id, i, substr(t, i, 150) AS g FROM (SELECT function_id, t, unnest(range(1, length(t) - 148)) AS i FROM f WHERE length(t) >= 150)),
+s AS (SELECT g FROM w GROUP BY g HAVING count(DISTINCT function_id) > 1), m AS (SELECT w.* FROM w JOIN s USING (g)) """
+SQL["p2_found"] = _P2 + "SELECT DISTINCT a.function_id AS function_id_a, b.function_id AS function_id_b FROM m a JOIN m b ON a.g = b.g AND a.function_id < b.function_id"
+SQL["p2_spans"] = _P2 + """, p AS (SELECT DISTINCT function_id, i - 1 AS pos FROM m), n AS (SELECT *, CASE WHEN pos > lag(pos) OVER (PARTITION BY function_id ORDER BY pos) + 150 THEN 1 ELSE 0 END AS new FROM p),
+k AS (SELECT *, sum(new) OVER (PARTITION BY function_id ORDER BY pos) AS k FROM n) SELECT function_id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) + 150 AS INTEGER) AS stop FROM k GROUP BY function_id, k"""
+SQL["p2_shares"] = _P2 + """, c AS (SELECT function_id, count(DISTINCT pos) AS n FROM (SELECT function_id, unnest(range(i, i + 150)) AS pos FROM m) GROUP BY 1)
+SELECT f.function_id, max(length(t)) AS n_chars, coalesce(max(n), 0) AS shared_chars, CASE WHEN max(length(t)) > 0 THEN coalesce(max(n), 0) / max(length(t)) ELSE 0.0 END AS share FROM f LEFT JOIN c USING (function_id) GROUP BY 1"""
