@@ -9,6 +9,10 @@ from weftwork.operators import eventlog as EL
 from weftwork.operators import graph as G
 from weftwork.operators import hierarchy as H
 from weftwork.operators import identity as ID
+from weftwork.operators import linker as LK
+from weftwork.operators import nested as N
+from weftwork.operators import proposals as PR
+from weftwork.operators import rules as R
 from weftwork.operators import scoring as S
 from weftwork.operators import symbols as SY
 from weftwork.operators import vectors as V
@@ -288,3 +292,98 @@ def impact_risk(s, d):
 def cumulative_tokens(s, d):
     o = table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.struct("o_orderdate", "o_orderkey").alias("at"), F.char_length("o_orderpriority").cast("bigint").alias("n"))
     return S.running_context(o.withColumnRenamed("at", "step"), "o_custkey", "step", "n").select("o_custkey", F.col("step.o_orderkey").alias("o_orderkey"), F.col("total").alias("running"))
+
+
+_WALK = """WITH RECURSIVE s AS (SELECT k, max({'u': updated_at, 'i': ingested_at, 'p': p, 'v': v}) AS r FROM (SELECT lower(trim(change_id)) AS k, lower(trim(parent_change_id)) AS p, universe_id AS v, updated_at, ingested_at FROM stacked_proposals) WHERE k <> '' GROUP BY 1),
+l AS (SELECT k, r.p AS p FROM s), t AS (SELECT p AS root, k FROM l WHERE p IN (SELECT k FROM s) UNION SELECT t.root, l.k FROM t JOIN l ON l.p = t.k), o1 AS (SELECT k FROM t WHERE root = k), z AS (SELECT root, k FROM t WHERE k NOT IN (SELECT k FROM o1) AND k NOT IN (SELECT k FROM t WHERE root IN (SELECT k FROM o1))),
+v AS (SELECT k, r.v AS v FROM s WHERE r.v IS NOT NULL), """
+
+
+@query(_WALK + """pr AS (SELECT DISTINCT a.v AS f, b.v AS t FROM z JOIN v a ON a.k = z.root JOIN v b ON b.k = z.k WHERE a.v <> b.v), c AS (SELECT DISTINCT universe_id, file_path FROM code_functions WHERE universe_id IS NOT NULL AND file_path IS NOT NULL),
+o AS (SELECT universe_id, file_path FROM c WHERE universe_id IN (SELECT t FROM pr) UNION SELECT pr.t, c.file_path FROM pr JOIN c ON c.universe_id = pr.f) SELECT universe_id, count(*) AS n_components FROM o GROUP BY 1""")
+def evolve_stack(s, d):
+    """Every stack is rebased: each change's components go into the universes of all its descendants; changes below a loop have no place in a stack."""
+    p = table(s, d, "stacked_proposals")
+    links = H.proposal_links(p)
+    below = H.descendants(H.hierarchy(links)).select(F.col("ancestor_key").alias("root"), F.col("descendant_key").alias("change_id"))
+    own = VS.latest_by(p.select(H.norm_key("change_id").alias("change_id"), "updated_at", "ingested_at", H.norm_key("parent_change_id").alias("p"), "universe_id"), ["change_id"], ["updated_at", "ingested_at", "p"], ["universe_id"]).filter("universe_id is not null")
+    comps = table(s, d, "code_functions").filter("universe_id is not null and file_path is not null").select("universe_id", F.col("file_path").alias("component_id")).distinct()
+    return PR.evolve(below, own, comps).groupBy("universe_id").agg(F.count("*").alias("n_components"))
+
+
+@query("SELECT k AS change_id, count(*) AS n_revisions, count(DISTINCT a) AS n_authors, arg_max(t, {'u': u, 'h': h}) AS title FROM (SELECT lower(trim(change_id)) AS k, author_did AS a, title AS t, epoch_us(updated_at) AS u, manifest_hash AS h FROM stacked_proposals) WHERE t IS NOT NULL GROUP BY 1")
+def proposal_fold(s, d):
+    p = table(s, d, "stacked_proposals").filter("title is not null").select(H.norm_key("change_id").alias("change_id"), F.col("author_did").alias("author"), "title", F.unix_micros("updated_at").alias("u"), F.col("manifest_hash").alias("h"))
+    return PR.fold(p, "change_id", ["u", "h"], "title").drop("first_at")
+
+
+@query("""WITH l AS (SELECT user_id, event_id % 2 AS side, max({'e': event_id, 't': event_type}) AS r FROM events GROUP BY ALL), x AS (SELECT user_id, r FROM l WHERE side = 0), y AS (SELECT user_id, r FROM l WHERE side = 1)
+SELECT user_id, greatest(x.r, y.r).t AS event_type, x.r IS NOT NULL AND y.r IS NOT NULL AND x.r.t <> y.r.t AS conflict FROM x FULL OUTER JOIN y USING (user_id)""")
+def offline_wal(s, d):
+    e = table(s, d, "events")
+    return PR.reconcile(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", ["event_id"], "event_type")
+
+
+@query("SELECT source_id, target_id, r.e AS event_id FROM (SELECT 'n' || (user_id % 60) AS source_id, 'n' || (user_id % 41) AS target_id, max({'e': event_id, 't': event_type}) AS r FROM events GROUP BY 1, 2) WHERE r.t <> 'error'")
+def upsert_delete_edge(s, d):
+    e = table(s, d, "events").selectExpr("concat('n', user_id % 60) AS source_id", "concat('n', user_id % 41) AS target_id", "event_id", "event_type")
+    return VS.latest_by(e, ["source_id", "target_id"], ["event_id"], ["event_id", "event_type"]).filter("event_type <> 'error'").select("source_id", "target_id", "event_id")
+
+
+@query("WITH b AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text IS NOT NULL), x AS (SELECT DISTINCT sha256(body_source) AS hash FROM code_functions WHERE body_source IS NOT NULL UNION SELECT DISTINCT sha256(text) FROM documents WHERE lang = 'de' AND text IS NOT NULL) SELECT hash, hash IN (SELECT hash FROM b) AS has FROM x")
+def blob_has(s, d):
+    docs = table(s, d, "documents").filter("text is not null")
+    b = docs.select(F.sha2("text", 256).alias("hash")).distinct().withColumn("h", F.lit(True))
+    x = table(s, d, "code_functions").filter("body_source is not null").select(F.sha2("body_source", 256).alias("hash")).unionByName(docs.filter("lang = 'de'").select(F.sha2("text", 256).alias("hash"))).distinct()
+    return x.join(b, "hash", "left").select("hash", F.coalesce("h", F.lit(False)).alias("has"))
+
+
+@query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL)")
+def blob_delete(s, d):
+    docs = table(s, d, "documents").filter("text is not null").select("lang", F.sha2("text", 256).alias("hash"))
+    return docs.select("hash").distinct().join(docs.filter("lang = 'en'").select("hash").distinct(), "hash", "left_anti")
+
+
+@query("""WITH c AS (SELECT payload_id, unnest(json_extract(json_extract(payload_json, '$.components'), '$.*')) AS comp FROM publish_payloads WHERE json_valid(payload_json)),
+n AS (SELECT DISTINCT payload_id, unnest(json_extract_string(comp, '$.symbol_nodes[*]')) AS node_id FROM c), y AS (SELECT DISTINCT payload_id, node_id FROM (SELECT payload_id, unnest(json_keys(payload_json, '$.symbols')) AS node_id FROM publish_payloads WHERE json_valid(payload_json) AND json_type(payload_json, '$.symbols') = 'OBJECT'
+UNION ALL SELECT payload_id, unnest(json_extract_string(payload_json, '$.symbols[*].node_id')) FROM publish_payloads WHERE json_valid(payload_json) AND json_type(payload_json, '$.symbols') = 'ARRAY'))
+SELECT payload_id, count(*) AS n_symbols FROM n JOIN y USING (payload_id, node_id) GROUP BY 1""")
+def snapshot_state(s, d):
+    """Components to their symbols; ids without a symbol are passed over."""
+    p = table(s, d, "publish_payloads")
+    listed = N.nested_elements(p, F.col("payload_id"), F.col("payload_json"), ["components", "*", "symbol_nodes"]).select("row_id", F.from_json(F.concat(F.lit("["), "child_value", F.lit("]")), "array<string>")[0].alias("node_id")).distinct()
+    there = N.nested_elements(p, F.col("payload_id"), F.col("payload_json"), ["symbols", "*"], "node_id").select("row_id", F.col("parent_key").alias("node_id")).distinct()
+    return listed.join(there, ["row_id", "node_id"]).groupBy(F.col("row_id").alias("payload_id")).agg(F.count("*").alias("n_symbols"))
+
+
+@query(f"""WITH f AS ({_FN}), e AS (SELECT DISTINCT function_id, trim(regexp_replace(trim(c), '\\(\\)$', '')) AS callee FROM (SELECT function_id, unnest(called_methods) AS c FROM code_functions WHERE language = 'java'))
+SELECT a.file_path, min({{'s': a.function_id, 't': b.function_id}}).t AS target_id FROM e JOIN f a USING (function_id) JOIN f b ON b.identifier = e.callee WHERE a.file_path IS NOT NULL GROUP BY 1""")
+def lsp_definition(s, d):
+    """Per file the target of its first call that resolves."""
+    f = _functions(s, d)
+    calls = table(s, d, "code_functions").filter("language = 'java'").select("function_id", F.explode("called_methods").alias("c"))
+    callee = calls.select("function_id", F.trim(F.regexp_replace(F.trim("c"), r"\(\)$", "")).alias("identifier")).distinct()
+    j = callee.join(f.select("identifier", F.col("function_id").alias("t")), "identifier").join(f.filter("file_path is not null").select("function_id", "file_path"), "function_id")
+    return j.groupBy("file_path").agg(F.min(F.struct("function_id", "t")).alias("m")).select("file_path", F.col("m.t").alias("target_id"))
+
+
+@query("WITH c AS (SELECT universe_id, count(DISTINCT file_path) AS n_files, count(DISTINCT function_id) AS n_symbols FROM code_functions WHERE universe_id IS NOT NULL GROUP BY 1), h AS (SELECT DISTINCT universe_id FROM heads WHERE deleted_at IS NULL) SELECT universe_id, coalesce(n_files, 0) AS n_files, coalesce(n_symbols, 0) AS n_symbols FROM h LEFT JOIN c USING (universe_id)")
+def status_report(s, d):
+    c = table(s, d, "code_functions").filter("universe_id is not null").groupBy("universe_id").agg(F.countDistinct("file_path").alias("n_files"), F.countDistinct("function_id").alias("n_symbols"))
+    h = table(s, d, "heads").filter("deleted_at is null").select("universe_id").distinct()
+    return h.join(c, "universe_id", "left").select("universe_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
+
+
+@query("SELECT DISTINCT field_id, upper(field_name) AS env_var, class_name AS env_value FROM php_fields WHERE field_name IS NOT NULL AND class_name IS NOT NULL")
+def hcl_env_collect(s, d):
+    """Environment blocks two levels deep in resources made of the fields."""
+    pay = F.expr("concat('{\"block_type\": \"resource\", \"nested_blocks\": [{\"block_type\": \"container\", \"nested_blocks\": [{\"block_type\": \"env\", \"attributes\": {\"name\": {\"value\": \"', upper(field_name), '\"}, \"value\": {\"value\": \"', class_name, '\"}}, \"nested_blocks\": []}]}]}')")
+    f = table(s, d, "php_fields").filter("field_name is not null and class_name is not null").select("field_id", F.explode(LK.env_names(pay)).alias("e"))
+    return f.select("field_id", F.col("e.name").alias("env_var"), F.col("e.value").alias("env_value")).distinct()
+
+
+@query("SELECT DISTINCT field_id, CASE WHEN field_id % 3 = 0 THEN true WHEN field_id % 3 = 1 THEN field_name = 'apiKey' ELSE false END AS suppressed FROM php_fields WHERE field_name IS NOT NULL")
+def inline_directive(s, d):
+    f = table(s, d, "php_fields").filter("field_name is not null")
+    text = F.when(F.col("field_id") % 3 == 0, "CALLS, all").when(F.col("field_id") % 3 == 1, "BINDS_ENV:apiKey").otherwise(None)
+    return f.select("field_id", R.directive_hits(text, F.lit("BINDS_ENV"), F.col("field_name")).alias("suppressed")).distinct()

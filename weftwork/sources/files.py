@@ -86,3 +86,25 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def export(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
+
+
+def export_tar(df: DataFrame, path: str) -> int:
+    """path and content rows as a gzipped tar file in path order, streamed through the driver one partition at a time. Returns the number of files."""
+    import io
+    import tarfile
+
+    n = 0
+    with tarfile.open(path, "w:gz") as tar:
+        for r in df.select("path", F.col("content").cast("binary").alias("content")).filter("path is not null").orderBy("path").toLocalIterator():
+            data = bytes(r.content or b"")
+            info = tarfile.TarInfo(r.path)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+            n += 1
+    return n
+
+
+def export_flags(new: DataFrame, old: DataFrame) -> DataFrame:
+    """path, is_new, modified of an export against what is there already (path, sha256)."""
+    j = new.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("h")).join(old.select("path", "sha256"), "path", "left")
+    return j.select("path", F.col("sha256").isNull().alias("is_new"), F.coalesce(F.col("sha256") != F.col("h"), F.lit(False)).alias("modified"))
