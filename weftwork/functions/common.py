@@ -46,14 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Like cut, as a written Parquet table in the shared folder: smaller, and later reads prune columns.
-
-    The table is removed when the session's process ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the session's process ends: plans made from it may be read until then."""
     path = f"{shared_dir(spark)}/weftwork-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
 
     def remove() -> None:
@@ -65,7 +60,14 @@ def staged(df: DataFrame) -> DataFrame:
                 shutil.rmtree(path.split("file://")[-1], ignore_errors=True)
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Like cut, as a written Parquet table in the shared folder: smaller, and later reads prune columns."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

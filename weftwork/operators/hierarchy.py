@@ -90,8 +90,8 @@ def components(links: DataFrame) -> DataFrame:
     return trees.unionByName(looped)
 
 
-def _walk(nodes: list[str], parents: list[str | None]) -> Iterator[tuple]:
-    """Iterative depth-first walk of one component; white 0, grey 1, black 2. Yields HIERARCHY rows."""
+def _walk(nodes: list[str], parents: list[str | None], with_path: bool) -> Iterator[tuple]:
+    """Iterative depth-first walk of one component; white 0, grey 1, black 2. Yields HIERARCHY rows, paths only if asked for."""
     children: dict[str | None, list[str]] = {}
     up = dict(zip(nodes, parents, strict=True))
     for k, p in up.items():
@@ -107,7 +107,7 @@ def _walk(nodes: list[str], parents: list[str | None]) -> Iterator[tuple]:
             del trail[d:]
             trail.append(k)
             colour[k] = 2
-            yield k, up[k], root, d, list(trail), False, False
+            yield k, up[k], root, d, list(trail) if with_path else None, False, False
             stack += [(c, d + 1) for c in reversed(children.get(k, ()))]
     if all(colour.values()):
         return
@@ -130,35 +130,44 @@ def _walk(nodes: list[str], parents: list[str | None]) -> Iterator[tuple]:
         yield k, up[k], low, -1, None, k in loop, back is not None and back == (k, up[k])
 
 
-def _walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows and path elements a walked batch holds at most.
+_ROWS, _CELLS = 20_000, 1_000_000
+
+
+def _walk_batches(with_path: bool):
     schema = pa.schema([("node_key", pa.string()), ("parent_key", pa.string()), ("root_key", pa.string()), ("depth", pa.int32()),
                         ("path", pa.list_(pa.string())), ("on_loop", pa.bool_()), ("back_edge", pa.bool_())])
-    held: tuple[list, list] = ([], [])
-    comp = None
-    out: list[tuple] = []
 
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[] for _ in schema]
-        out.clear()
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    for b in batches:
-        for c, k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if c != comp:
-                if held[0]:
-                    for row in _walk(*held):
-                        out.append(row)
-                        if len(out) >= 20_000:
-                            yield flush()
-                held, comp = ([], []), c
-            held[0].append(k)
-            held[1].append(p)
-    if held[0]:
-        for row in _walk(*held):
-            out.append(row)
-            if len(out) >= 20_000:
-                yield flush()
-    yield flush()
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+        """The sorted rows, one component at a time."""
+        nodes, parents, comp = [], [], None
+        for b in batches:
+            for c, k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if c != comp and nodes:
+                    yield nodes, parents
+                    nodes, parents = [], []
+                comp = c
+                nodes.append(k)
+                parents.append(p)
+        if nodes:
+            yield nodes, parents
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, cells = [], 0
+        for nodes, parents in members(batches):
+            for row in _walk(nodes, parents, with_path):
+                rows.append(row)
+                cells += len(row[4]) if row[4] else 0
+                if len(rows) >= _ROWS or cells >= _CELLS:
+                    yield batch(rows)
+                    rows, cells = [], 0
+        yield batch(rows)
+
+    return go
 
 
 def hierarchy(links: DataFrame, *, max_component: int = MAX_COMPONENT, with_path: bool = True) -> DataFrame:
@@ -169,7 +178,7 @@ def hierarchy(links: DataFrame, *, max_component: int = MAX_COMPONENT, with_path
     empty table gives an empty result. Components of up to ``max_component`` nodes are co-located and
     walked depth first, several to a task; larger ones, which may hold any share of the rows, never
     meet in one task: their depth and root are the doubling's, and their paths are joined from
-    doubled segments (``with_path``; a path is as long as the node is deep in any result form).
+    doubled segments. Without ``with_path`` all paths are null, and no row is longer for being deep.
     """
     found = cut(components(links))
     sizes = found.groupBy("comp").agg(F.count("*").alias("_n"))
@@ -177,7 +186,7 @@ def hierarchy(links: DataFrame, *, max_component: int = MAX_COMPONENT, with_path
     n_giants = giants.count()
     small = found if not n_giants else found.join(giants, "comp", "left_anti")
     walked = (small.select("comp", "node_key", "parent_key").repartition("comp").sortWithinPartitions("comp", "node_key")
-              .mapInArrow(_walk_batches, HIERARCHY))
+              .mapInArrow(_walk_batches(with_path), HIERARCHY))
     if not n_giants:
         return walked
     big = cut(found.join(giants, "comp", "left_semi"))

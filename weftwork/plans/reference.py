@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from weftwork.functions.common import shared_dir, table
+from weftwork.functions.common import scratch, table
 from weftwork.operators import codecs as CD
 from weftwork.operators import collab as CO
 from weftwork.operators import eventlog as EL
@@ -667,20 +665,16 @@ def _events_stream(s, d):
     return ST.file_stream(s, f"{d}/events.parque[t]", s.read.parquet(f"{d}/events.parquet").schema)
 
 
-def _stream_dir(s):
-    return f"{shared_dir(s)}/weftwork-stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_latest(s, d):
-    at = _stream_dir(s)
+    at = scratch(s)
     out = ST.run_to_table(ST.latest_state(_events_stream(s, d), ["user_id"], ["event_id"], ["event_id"]), f"{at}/out", f"{at}/ckpt", "update")
     return out.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
 
 
 @query()
 def stream_windows(s, d):
-    at = _stream_dir(s)
+    at = scratch(s)
     e = _events_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
     out = ST.run_to_table(ST.windowed_counts(e, "ts", ["event_type"], "1 day", "2 days"), f"{at}/out", f"{at}/ckpt")
     return out.select("start", "event_type", "n")
@@ -688,7 +682,7 @@ def stream_windows(s, d):
 
 @query()
 def stream_leases(s, d):
-    at = _stream_dir(s)
+    at = scratch(s)
     e = _events_stream(s, d).selectExpr("concat('d', user_id % 20) AS domain", "concat('a', user_id) AS agent", "unix_millis(cast(ts AS timestamp)) AS ts_ms", "event_id")
     return ST.run_to_table(ST.lease_stream(e, 3_600_000), f"{at}/out", f"{at}/ckpt").select("domain", "agent", "ts_ms", "event_id", "granted", "owner")
 
