@@ -150,13 +150,6 @@ def _elements(path: list[str], key_field: str | None):
     star = path.index("*")
     head, tail = path[:star], path[star + 1:]
 
-    def follow(spans: Spans, at: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[Spans, np.ndarray]]]:
-        row = np.arange(len(at))
-        for n in names:
-            r, at = spans.member(at, n)
-            row = row[r]
-        return row, at, {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -169,8 +162,9 @@ def _elements(path: list[str], key_field: str | None):
 
     def _rows(s: Spans, ids: list, out: list[list]) -> None:
         at = np.flatnonzero(s.parent < 0)
-        _, at, _ = follow(s, at, head)
-        row, parents = s.children(at)
+        for name in head:
+            _, at = s.member(at, name)
+        _, parents = s.children(at)
         parents = parents[(s.kind[parents] == 123)]
         keys: list[str] = []
         by_key = dict(zip(*(x.tolist() for x in s.member(parents, key_field)), strict=True)) if key_field else {}
