@@ -113,7 +113,7 @@ def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
     """Tokens of a line and their features. ``context`` is the name the whole text is a value of; ``pem`` says which key block the line is in."""
     segs: list[tuple[int, int, str, str, str, str, str]] = []  # start, stop, kind, key state, delimiter, call, word before
     key, seen_key = None, False
-    prev_word, prev_kind = "", ""
+    prev_word = ""
     ctx = _key_state(context) if context else "none"
     for m in _SEGMENT.finditer(line):
         g = next(i for i in range(1, 6) if m[i] is not None)
@@ -172,7 +172,7 @@ def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
             elif not quoted and _ASSIGN.match(line, m.end()):
                 key = None
         seen_key = seen_key or state == "secret"
-        prev_word, prev_kind = s.lower()[:12], kind_of(s)
+        prev_word = s.lower()[:12]
     tokens, feats, j = [], [], 0
     prev_tok = ""
     for m in _TOKEN.finditer(line):

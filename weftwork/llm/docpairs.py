@@ -119,9 +119,6 @@ def says_something(doc: str | None, own: set[str]) -> bool:
     return False
 
 
-_VERB = re.compile(r"^(?:the|this|every|each|one|all|a|an)\b(?:\s+[\w-]+){1,3}\s+\w+s\b|^[A-Z][\w-]*s\s+(?:the|all|both|a|an|that|any|for|no)\b|[.。]$")
-
-
 def _declares(note: str) -> bool:
     """Whether the text behind a to-do mark is a full statement on its own, not a task: five words or more, not in the imperative."""
     words = _WORD.findall(note)

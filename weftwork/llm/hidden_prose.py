@@ -35,7 +35,6 @@ _NO_PROSE = re.compile(r"""(?x) \{@\w+[^{}\n]*\} | `[^`\n]*` | <(?:code|pre|tt)>
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*+/|/{2,}!?|\*(?!\*)|--(?=[ \t]))|\*+/")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SPLIT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\n\s*\n|\n(?=[ \t]*(?:[-*+•]|\d+[.)])[ \t])|[ \t]+[/|][ \t]+|\n(?=\S*[=;{}(\[]\S*)|(?<=[;{}])\s*\n")
-_TAG_LINE = re.compile(r"(?m)^[ \t]*[@:](?=\w)")
 _IDENT = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]|_|\d")
 _CJ_STATES = [STATES.index("ja"), STATES.index("zh")]
 _CJ = re.compile(r"[぀-ヿ㐀-鿿]")
