@@ -29,7 +29,7 @@ WORD = 4.0
 _CHUNK = 400_000
 
 #: Parts that are no prose, blanked in place: inline tags and code, markup, links, paths, references, hashes, tags with their names.
-_NO_PROSE = re.compile(r"""(?x) \{@\w+[^{}\n]*\} | `[^`\n]*` | <(?:code|pre|tt)>.*?</(?:code|pre|tt)> | </?\w[^<>\n]{0,80}> | https?://\S+ | \b\w+\#\w+(?:\([^()\n]*\))?
+_NO_PROSE = re.compile(r"""(?x) \{@\w+[^{}\n]*\} | `[^`\n]*` | <(?:code|pre|tt)>[^<]{0,400}</(?:code|pre|tt)> | </?\w[^<>\n]{0,80}> | https?://\S+ | \b\w+\#\w+(?:\([^()\n]*\))?
  | (?<![\w/])(?:/[\w.{}?=&-]+){2,}/? | @(?:param|throws|exception|see|since|author|version|tparam|property|arg)\b[ \t]*[\w.\#<>()]*(?:[ \t]+\d[\d.]*)? | @[A-Za-z]\w*(?:\.\w+)*
  | :\w+(?:[ ]\w+)?:(?=\s) | \b[0-9a-fA-F]{7,}\b | \[v[\d.]+\] | \(\#\d+\)""")
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*+/|/{2,}!?|\*(?!\*)|--(?=[ \t]))|\*+/")

@@ -33,6 +33,8 @@ _JAVA_TYPED = re.compile(r"[\w>\]]\s*\Z")
 #: Words before a parenthesis that open a statement, not a method.
 _JAVA_NOT = frozenset("if for while switch catch synchronized try return new else do throw assert super this yield case".split())
 _TYPE = re.compile(r"\b(?:class|interface|enum|record|struct|trait|impl|object|protocol|extension|actor|union|mod|namespace)\b")
+#: Characters of a declaration looked at before its brace.
+_HEADER = 20_000
 _BRACES = re.compile(r"[{};]")
 
 
@@ -67,6 +69,7 @@ def parse(text: str, language: str, found: list[Span] | None = None, plain: str
     for m in _BRACES.finditer(plain):
         c, at = m[0], m.start()
         if c == "{":
+            edge = max(edge, at - _HEADER)
             header = plain[edge:at]
             in_code = bool(stack) and stack[-1].kind != "type"
             kind, name, word = _classify(header, language, in_code)
