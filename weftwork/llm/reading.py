@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from weftwork.llm.seed_texts import PROSE
 LEVELS = 4
 #: Bounds of the training sample: labelled documents, and sentences used of each document. Everything else covers all data.
 MAX_DOCUMENTS = 2_000
-MAX_SENTENCES = 24
+MAX_SENTENCES = 12
 _BITS = 16
 _DENSE = 4
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.S | re.M)
-_DROP = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,80}>|\b\S*[/_]\S*/\S*|\b[0-9a-f]{7,}\b")
+_DROP = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,80}>|(?<!\S)[^\s/_]*[/_][^\s/]*/\S*|\b[0-9a-f]{7,}\b")
 _BLOCK = re.compile(r"\n[ \t]*\n|\n(?=[ \t]*(?:[-*+]|\d+[.)])[ \t])|(?:^|(?<=\n))[ \t]*#{1,6}[^\n]*\n?|(?:^|(?<=\n))[ \t]*(?:={3,}|-{3,}|\*{3,})[ \t]*(?:\n|$)")
 _MARK = re.compile(r"^[ \t>]*(?:(?:[-*+]|\d+[.)])[ \t]+)?")
 _END = re.compile(r"(?<=[.!?。！？])[\"')\]]*\s+(?=[^\Wa-z_]|[\"'(\[])|(?<=[。！？])")
@@ -47,7 +48,7 @@ def sentences(text: str) -> list[str]:
             continue
         line = " ".join(_DROP.sub(" ", _MARK.sub("", block)).split())
         for s in _END.split(line):
-            if s and len(_WORD.findall(s)) >= 3 or s and any(ord(c) > 0x3000 for c in s) and len(s) >= 8:
+            if s and sum(1 for _ in islice(_WORD.finditer(s), 3)) == 3 or s and any(ord(c) > 0x3000 for c in s) and len(s) >= 8:
                 out.append(s)
     return out
 
@@ -191,7 +192,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([[p[0], p[1]] for p in pools])
 
 
-def fit(labelled: list[tuple[str, list[float]]], *, rounds: int = 3, steps: int = 60, l2: float = 1e-6, max_sentences: int = MAX_SENTENCES) -> Classifier:
+def fit(labelled: list[tuple[str, list[float]]], *, rounds: int = 2, steps: int = 30, l2: float = 1e-6, max_sentences: int = MAX_SENTENCES) -> Classifier:
     """``labelled``: texts with a distribution over levels each. At least two levels must occur."""
     docs = [(s, y) for t, y in labelled if (s := sentences(t))]
     sents, owner = [], []
