@@ -51,7 +51,7 @@ def _elements(s: SparkSession, d: str, name: str, parents: bool = False) -> Data
     key, col, path, key_field = P4_SOURCES[name]
     df = table(s, d, name)
     text = N.as_json(F.col(col)) if col else F.col("payload_json")
-    got = N.nested_elements(df, F.col(key), text, path[:path.index("*") + 1] if parents else path, key_field)
+    got = N.nested_elements(df, F.col(key), text, path[:path.index("*") + 1] if parents else path, key_field, valid=bool(col))
     # a row delivered twice gives the same elements twice; the last value text settles differing ones
     return got.groupBy("row_id", "parent_key", "child_pos").agg(F.max("child_value").alias("child_value"), F.min("parent_pos").alias("parent_pos"))
 
