@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: lines with this mark are passed over.
 ALLOW = "cosm:allow-secret"
 #: Lines made for training. The model sees no table.
 N_EXAMPLES = 6_000
