@@ -42,3 +42,12 @@ def test_exports(spark, tmp_path):
     old = df.limit(0).selectExpr("path", "content AS sha256").unionByName(spark.createDataFrame([("a.txt", "other")], "path string, sha256 string"))
     got = {r.path: (r.is_new, r.modified) for r in FS.export_flags(df, old).collect()}
     assert got["a.txt"] == (False, True) and got["b/x.txt"] == (True, False)
+
+
+def test_stack_order_holds_every_change(spark):
+    rows = [(f" C{i} ", i, 0, None if i == 7 else i % 5, "universe-main" if i % 3 else f"c{i - 1}", i % 4) for i in range(90)]
+    rows += [("c5", 900, 0, 77, "c1", 1), ("", 1, 0, 0, None, 0), (None, 1, 0, 0, None, 0)]
+    df = spark.createDataFrame(rows, "change_id string, updated_at int, ingested_at int, order_index int, parent_change_id string, created_at int")
+    want = [(None, 3, "c7"), *sorted([(i % 5, i % 4, f"c{i}") for i in range(90) if i not in (5, 7)] + [(77, 1, "c5")])]
+    got = PR.stack_order(df.repartition(5)).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(90)) and [(r.order_index, r.change_id) for r in got] == [(o, k) for o, _, k in want]

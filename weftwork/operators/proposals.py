@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.functions.common import latest_row, norm_key, ranked
+
 
 def fold(events: DataFrame, key: str, at: list[str], title: str) -> DataFrame:
     """key, n_revisions, n_authors, first_at, title: each proposal's events folded, the newest title counting."""
@@ -24,6 +26,13 @@ def evolve(descendants: DataFrame, universe_of: DataFrame, components: DataFrame
     return kept.select("universe_id", "component_id").unionByName(given).distinct()
 
 
+def stack_order(proposals: DataFrame) -> DataFrame:
+    """change_id, order_index, pos: every change, its latest row counting, with its 0-based place by order_index, created_at, change_id (nulls first)."""
+    p = proposals.select(norm_key("change_id").alias("change_id"), "updated_at", "ingested_at", "order_index", norm_key("parent_change_id").alias("p"), "created_at").filter("change_id <> ''")
+    one = latest_row(p, ["change_id"], ["updated_at", "ingested_at"], ["updated_at", "ingested_at", "order_index", "p", "created_at"]).withColumn("_g", F.lit(0))
+    return ranked(one, ["_g"], ["order_index", "created_at", "change_id"]).select("change_id", "order_index", "pos")
+
+
 def reconcile(a: DataFrame, b: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """key, value, conflict: two offline logs, the last write of both wins; a key that both wrote with other last values is a conflict."""
     last = lambda d, p: d.groupBy(key).agg(F.max(F.struct(*order, value)).alias(p))

@@ -229,6 +229,12 @@ def stack_order(s, d):
     return one.filter("p = 'universe-main'").orderBy(F.col("order_index").asc_nulls_first(), "created_at", "change_id").limit(25).select("change_id", "order_index")
 
 
+@query("SELECT k AS change_id, r.o AS order_index, row_number() OVER (ORDER BY r.o NULLS FIRST, r.c NULLS FIRST, k) - 1 AS pos FROM (SELECT lower(trim(change_id)) AS k, max({'u': updated_at, 'i': ingested_at, 'o': order_index, 'p': lower(trim(parent_change_id)), 'c': created_at}) AS r FROM stacked_proposals GROUP BY 1) WHERE k <> ''")
+def stack_order_all(s, d):
+    """Every change with its place in the whole list; changes without an id are none."""
+    return PR.stack_order(table(s, d, "stacked_proposals"))
+
+
 @query("SELECT DISTINCT component_id FROM (SELECT 'comp-' || p_partkey AS component_id FROM part WHERE p_partkey % 3 <> 0) INTERSECT SELECT 'comp-' || p_partkey FROM part WHERE p_partkey % 5 <> 0")
 def intersect(s, d):
     m = A.manifests(s, d)
