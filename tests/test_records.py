@@ -1,3 +1,4 @@
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -131,3 +132,17 @@ def test_ranks_across_partitions(spark):
     got = [tuple(r) for r in ranked(spark.createDataFrame(rows, "g string, v int"), ["g"], ["v"]).collect()]
     assert sorted((v, p) for g, v, p in got if g == "g") == [(i, i) for i in range(101)]
     assert sorted(p for g, v, p in got if g == "h") == [0, 1] and sorted((v, p) for g, v, p in got if g is None) == [(0, 0), (1, 1)]
+
+
+def test_many_queries_in_blocks_match_single_searches(spark):
+    r = random.Random(3)
+    rows = [(i, [float(r.randrange(-2, 3)) for _ in range(4)]) for i in range(117)] + [(117, [0.0] * 4), (118, []), (119, None), (120, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, vector array<float>").repartition(3)
+    q = v.filter("vec_id % 20 = 0")
+    for block, kw in ((None, {}), (13, {}), (13, {"min_score": 0.6})):
+        got = {}
+        for x in V.search_many(v, q, k=6, block=block, **kw).orderBy("query", "pos").collect():
+            got.setdefault(x.query, []).append((x.vec_id, x.score))
+        for i in range(0, 121, 20):
+            assert got.get(i, []) == [(x.vec_id, x.score) for x in V.search(v, rows[i][1], k=6, **kw).collect()]
+    assert V.search_many(v, q.limit(0)).count() == V.search_many(v.limit(0), q).count() == 0

@@ -590,6 +590,14 @@ def vector_topk(s, d):
     return V.search(v, list(q.vector), where=F.substring("node_type", 2, 9).cast("int") % 2 == 0).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
+SELECT query, vec_id, round(score, 6) AS score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS pos FROM s) WHERE pos <= 10""")
+def vector_topk_all(s, d):
+    """Every row with an id divisible by 20 as a query against all rows."""
+    v = A.vectors(s, d)
+    return V.search_many(v, v.filter("vec_id % 20 = 0")).withColumn("score", F.round("score", 6))
+
+
 _EMBED = """WITH w AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')), '\\s+')) AS w FROM documents) WHERE w <> ''),
 b AS (SELECT doc_id, w AS t, 2 AS n FROM w UNION ALL SELECT doc_id, substr(w, i, 3), 1 FROM (SELECT doc_id, w, unnest(range(1, length(w) - 1)) AS i FROM w WHERE length(w) >= 3)),
 h AS (SELECT doc_id, CAST(CAST('0x' || substr(sha256(t), 1, 8) AS BIGINT) % 128 AS INTEGER) AS bucket, sum(n) AS n FROM b GROUP BY ALL)
