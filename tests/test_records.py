@@ -146,3 +146,18 @@ def test_many_queries_in_blocks_match_single_searches(spark):
         for i in range(0, 121, 20):
             assert got.get(i, []) == [(x.vec_id, x.score) for x in V.search(v, rows[i][1], k=6, **kw).collect()]
     assert V.search_many(v, q.limit(0)).count() == V.search_many(v.limit(0), q).count() == 0
+
+
+def test_edge_diff_all_compares_every_edge_of_every_type(spark, tmp_path):
+    from weftwork.plans import reference as RF
+
+    tables = {"orders": ("o_orderkey, o_custkey", [(i, i % 4) for i in range(40)]), "customer": ("c_custkey, c_nationkey", [(i, i % 3) for i in range(40)]),
+              "supplier": ("s_suppkey, s_nationkey", [(i, i % 3) for i in range(40)]), "nation": ("n_nationkey, n_regionkey", [(i, i % 2) for i in range(40)]),
+              "lineitem": ("l_orderkey, l_partkey", [(i, j) for i in range(40) for j in (1, 2, 2)])}
+    edges = []
+    for (name, (cols, rows)), (x, y, kind) in zip(tables.items(), (("O", "C", "CALLS"), ("C", "N", "DEPLOYS_TO"), ("S", "N", "DEPLOYS_TO"), ("N", "R", "DEPENDS_ON"), ("O", "P", "CONSUMES_API")), strict=True):
+        spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in cols.split(", "))).write.parquet(f"{tmp_path}/{name}.parquet")
+        edges += [(f"{x}:{i}", f"{y}:{j}", kind, i) for i, j in set(rows)]
+    want = {("removed", a, b, k) for a, b, k, n in edges if n % 7 == 0 or n % 5 == 0} | {("added", a, b + "~", k) for a, b, k, n in edges if n % 7 and n % 5 == 0}
+    got = [tuple(r) for r in RF.edge_diff_all(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {r[3] for r in got} == {"CALLS", "DEPLOYS_TO", "DEPENDS_ON", "CONSUMES_API"}

@@ -305,6 +305,16 @@ def edge_diff(s, d):
     return VS.set_diff(e.filter("n % 4 = 0"), e.filter("n % 3 = 0"), ["source_id", "target_id", "edge_type"])
 
 
+@query(_with("EDGES") + """, a AS (SELECT DISTINCT source_id, target_id, edge_type, CAST(split_part(source_id, ':', 2) AS BIGINT) AS n FROM edges),
+b AS (SELECT source_id, CASE WHEN n % 5 = 0 THEN target_id || '~' ELSE target_id END AS target_id, edge_type FROM a WHERE n % 7 <> 0)
+SELECT 'added' AS change, * FROM (SELECT * FROM b EXCEPT SELECT source_id, target_id, edge_type FROM a) UNION ALL SELECT 'removed', * FROM (SELECT source_id, target_id, edge_type FROM a EXCEPT SELECT * FROM b)""")
+def edge_diff_all(s, d):
+    """All edges of all types against a later version: every seventh source has lost its edges, every fifth points elsewhere."""
+    a, n = A.edges(s, d), F.split("source_id", ":")[1].cast("bigint")
+    b = a.filter(n % 7 != 0).withColumn("target_id", F.when(n % 5 == 0, F.concat("target_id", F.lit("~"))).otherwise(F.col("target_id")))
+    return VS.set_diff(a, b, ["source_id", "target_id", "edge_type"])
+
+
 @query(_M + ", a AS (SELECT component_name AS k, max(component_id) AS v FROM manifests WHERE universe_id = 'a' GROUP BY 1), b AS (SELECT component_name AS k, max(component_id) AS v FROM manifests WHERE universe_id = 'b' GROUP BY 1) SELECT coalesce(a.k, b.k) AS component_name, CASE WHEN a.k IS NULL THEN 'ADDED' WHEN b.k IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS change FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 def symbol_diff(s, d):
     return VS.keyed_diff(*_ab(s, d), "component_name", "component_id")
