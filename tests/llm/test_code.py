@@ -113,6 +113,23 @@ def test_credential_model_on_held_out_lines():
     assert right >= 780
 
 
+def test_gate_passes_every_line_with_a_sign():
+    lost = [(line, ctx) for seed in (11, 77) for line, ctx, pem, spans in CR.examples(6_000, seed) if spans and not pem and not CR._worth(line, ctx)]
+    assert not lost
+    values = ["0f" * 16, "Maple#4821!garden", "abc$123XY", "aB3" * 9, "aB3+" * 7 + "==", AWS, "sk_live_" + "aB3" * 8, "eyJ" + "aB3" * 10 + ".eyJ" + "aB3" * 12 + "." + "xY7" * 14]
+    for k in CR._KEYS:
+        for name in (k, k.upper(), k.replace("_", "-"), "order" + k[:1].upper() + k[1:], "order_" + k):
+            for v in values:
+                assert CR._worth(f"x;\n{name} = '{v}'", None) == {3} and CR._worth(v, name), (name, v)
+
+
+def test_private_keys_are_found_and_redacted():
+    for line, v in (('privateKey = "{}"', "0123456789abcdef" * 2), ("private_key: '{}'", "Maple#4821!garden"), ("PRIVATE_KEY={}", "Maple#4821!garden")):
+        text = "x = 1\n" + line.format(v)
+        found = CR.scan(text, None, CR.fitted())
+        assert [(f.line_no, text[f.start:f.stop]) for f in found] == [(2, v)] and v not in CR.redacted(text, found)
+
+
 def test_viterbi_of_mixed_text():
     a, b = "The reader waits until all of the changes have been written. ", "int pos = cell.size() - 36; map.put(\"a1{\", x.y(3));"
     p = LG.viterbi([a + b, "", "Die Prüfung wartet, bis alle Änderungen geschrieben sind."])

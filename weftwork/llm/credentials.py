@@ -37,9 +37,10 @@ _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _USERINFO = re.compile(r"(?<=://)([^\s/@:'\"<>]*):([^\s/@'\"]+)@")
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|\\[nrt\"']|\S")
 _SEGMENT = re.compile(r'\\"((?:(?!\\").)*)\\"|"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\.)*)\'|`([^`]*)`|([^\s"\'`,;(){}=<>\[\]:]+(?:[=:]+(?=[^\s"\'`,;(){}<>\[\]]*:)[^\s"\'`,;(){}<>\[\]]*)?=*)')
-_CAND_WORD = re.compile(r"(?i)secret|passw|passphrase|pwd|pass(?![a-z])|token|api[-_]?key|access[-_]?key|signing|credential|auth(?!or)|bearer|identified|basic ")
+#: Every word of _SECRET, in any spelling, and those that name a secret without a key.
+_CAND_WORD = re.compile(_SECRET.pattern.replace("_?", "[-_]?") + "|signing|identified|basic ")
 _DIGIT = re.compile(r"\d")
-_CAND_SHAPE = re.compile(r"-----BEGIN|://[^\s/@:]*:[^\s/@]+@|[A-Za-z0-9+/_-]{16,}={0,2}|\b(?:AKIA|AIza|xox[abeprs]-|gh[pousr]_|glpat-|eyJ)\w*")
+_CAND_SHAPE = re.compile(r"-----BEGIN|://[^\s/@:]*:[^\s/@]+@|[A-Za-z0-9+/_-]{16,}={0,2}|\b(?:AKIA|ASIA|AIza|xox[abeprs]-|gh[pousr]_|glpat-|ya29\.|[sr]k_live_|SG\.|eyJ)\w*")
 
 
 def _turns(s: str) -> float:
@@ -426,7 +427,7 @@ def fitted() -> Field:
 
 def _worth(text: str, context: str | None) -> set[int]:
     """Starts of the lines that show any sign the field could act on; all other lines are outside by construction."""
-    if context and _SECRET.search(context):
+    if context and _CAND_WORD.search(context):
         return {0} | {m.end() for m in re.finditer("\n", text)}
     out = {text.rfind("\n", 0, m.start()) + 1 for m in _CAND_WORD.finditer(text)}
     for m in _CAND_SHAPE.finditer(text):
