@@ -91,3 +91,19 @@ def test_each_loop_has_one_back_edge(spark):
     assert got.filter("back_edge").count() == 1 and got.filter("on_loop").count() == 3
     assert {r.root_key for r in got.collect()} == {"a"}
     assert got.agg(F.max("depth")).first()[0] == -1
+
+
+def test_all_descendants_of_every_node_with_loops(spark):
+    r = random.Random(8)
+    rows = [(f"k{i}", r.choice([None, "root", f"k{r.randrange(120)}", f"k{max(0, i - 1)}"]), 0) for i in range(120)] + [("s", "s", 0), ("s1", "s", 0), ("s2", "s1", 0), ("s3", "s2", 0)]
+    up = dict((k, p) for k, p, _ in rows)
+    want = set()
+    for k in up:
+        x, seen = up[k], set()
+        while x in up and x not in seen:
+            seen.add(x)
+            x = up[x]
+        want |= {(a, k) for a in seen}
+    got = [tuple(x) for x in H.all_descendants(links(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("s", "s") in want and len({a for a, _ in want}) > 5
+    assert H.all_descendants(links(spark, [])).count() == 0

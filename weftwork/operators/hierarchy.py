@@ -233,6 +233,23 @@ def descendants(h: DataFrame, *also: str) -> DataFrame:
             .select(*also, "ancestor_key", F.col("node_key").alias("descendant_key"), (F.col("depth") - F.col("_p")).alias("distance")))
 
 
+def all_descendants(links: DataFrame) -> DataFrame:
+    """(ancestor_key, descendant_key) of every pair, loops included: all nodes of a loop are above each other, themselves and all below the loop.
+
+    What hangs below a loop is taken as trees, whose roots are the children of the loop's nodes; their paths are doubled.
+    """
+    h = cut(hierarchy(links))
+    pairs = descendants(h).select("ancestor_key", "descendant_key")
+    looped = h.filter("depth < 0").select("node_key", "parent_key", "root_key", "on_loop")
+    if looped.isEmpty():
+        return pairs
+    ring = looped.filter("on_loop").select(F.col("root_key").alias("_r"), F.col("node_key").alias("ancestor_key"))
+    around = looped.join(ring, looped.root_key == ring._r).select("ancestor_key", F.col("node_key").alias("descendant_key"))
+    tails = looped.filter("not on_loop").join(ring, F.col("parent_key") == F.col("ancestor_key"), "left")
+    tails = _doubled_paths(tails.select("node_key", F.when(F.col("ancestor_key").isNull(), F.col("parent_key")).alias("parent_key")))
+    return pairs.unionByName(around).unionByName(descendants(tails.withColumn("depth", F.size("path") - 1)).select("ancestor_key", "descendant_key"))
+
+
 def proposal_links(df: DataFrame) -> DataFrame:
     return parent_links(df, norm_key("change_id"), norm_key("parent_change_id"), ["updated_at", "ingested_at"])
 

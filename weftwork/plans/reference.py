@@ -551,6 +551,13 @@ def stack_descendants(s, d):
     return below.join(top, "ancestor_key", "left_semi").select(F.col("ancestor_key").alias("root"), F.col("descendant_key").alias("change_id"))
 
 
+@query(f"WITH RECURSIVE s AS ({_STACK}), l AS (SELECT k, p FROM s WHERE p IN (SELECT k FROM s) AND p NOT IN ('root', 'universe-main', repeat('0', 40))), t AS (SELECT p AS root, k FROM l UNION SELECT t.root, l.k FROM t JOIN l ON l.p = t.k) SELECT root, k AS change_id FROM t")
+def stack_descendants_all(s, d):
+    """The descendants of every change that has any; on a loop a change is its own."""
+    below = H.all_descendants(H.proposal_links(table(s, d, "stacked_proposals")))
+    return below.select(F.col("ancestor_key").alias("root"), F.col("descendant_key").alias("change_id"))
+
+
 # ---- event log ---------------------------------------------------------------------------------------------------
 
 @query(_with("OPLOG") + "SELECT event_id, action, entity_id FROM oplog WHERE event_id >= 500 AND universe_id = 'u3' ORDER BY event_id LIMIT 50")
