@@ -45,3 +45,10 @@ def test_branches(spark):
     assert EL.create_universe(h, "new", "a").first().head == "h1" and EL.create_universe(h, "a", "main").count() == 0 and EL.create_universe(h, "n", "none").count() == 0
     c = spark.createDataFrame([("main",)], "universe_id string")
     assert {r.universe_id: r.source_id for r in EL.climb(h, c).collect()} == {"main": "main", "a": "main", "b": "main", "lost": None, "self": None}
+
+
+def test_climb_has_no_limit_and_ends_in_loops(spark):
+    rows = [("n0", None)] + [(f"n{i}", f"n{i - 1}") for i in range(1, 71)] + [("x", "y"), ("y", "z"), ("z", "x"), ("t", "x")]
+    h = spark.createDataFrame(rows, "universe_id string, parent_universe_id string").coalesce(1)
+    got = {r.universe_id: r.source_id for r in EL.climb(h, spark.createDataFrame([("n0",)], "universe_id string")).collect()}
+    assert got == {k: "n0" if k[0] == "n" else None for k, _ in rows}

@@ -82,18 +82,21 @@ def revert_target(log: DataFrame, prefix: str) -> DataFrame:
     return c.filter(F.startswith("h", F.lit(prefix))).orderBy(F.desc("event_id")).limit(1).select("event_id", "universe_id", "parent_event")
 
 
-def climb(universes: DataFrame, commits: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """universe_id, source_id: the nearest branch up the parents that has commits; null where none has. One join per level, finished branches rest."""
+def climb(universes: DataFrame, commits: DataFrame) -> DataFrame:
+    """universe_id, source_id: the nearest branch up the parents that has commits; null where none has. One join per level, finished branches rest.
+
+    Chains may have any length. A branch met at the last round that was a power of two is remembered; a climb that returns to it runs in a loop and ends.
+    """
     own = commits.select(F.col("universe_id").alias("_u")).distinct()
     parents = universes.select(F.col("universe_id").alias("_k"), F.col("parent_universe_id").alias("_p"))
-    live = cut(universes.select("universe_id", F.col("universe_id").alias("at")))
-    done = None
-    for _ in range(max_rounds):
+    live = cut(universes.select("universe_id", F.col("universe_id").alias("at"), F.lit(None).cast("string").alias("mark")))
+    done, n = None, 0
+    while done is None or not live.isEmpty():
+        n += 1
         tagged = cut(live.join(own, live.at == own._u, "left"))
         hit = tagged.filter("_u is not null").select("universe_id", F.col("at").alias("source_id"))
         done = hit if done is None else done.unionByName(hit)
         rest = tagged.filter("_u is null").drop("_u")
-        live = cut(rest.join(parents, rest["at"] == parents._k).filter("_p is not null and _p <> at").select("universe_id", F.col("_p").alias("at")))
-        if live.isEmpty():
-            break
+        mark = F.col("at") if n & (n - 1) == 0 else F.col("mark")
+        live = cut(rest.join(parents, rest["at"] == parents._k).select("universe_id", F.col("_p").alias("at"), mark.alias("mark")).filter("at is not null and at <> mark"))
     return universes.select("universe_id").join(done, "universe_id", "left")

@@ -202,7 +202,7 @@ def set_head(s, d):
 w AS (SELECT universe_id, universe_id AS u, 0 AS n FROM h UNION ALL SELECT w.universe_id, h.p, w.n + 1 FROM w JOIN h ON h.universe_id = w.u WHERE w.u NOT IN (SELECT universe_id FROM c) AND h.p IS NOT NULL AND h.p <> w.u AND w.n < 60),
 b AS (SELECT universe_id, arg_min(u, n) AS source_id FROM w WHERE u IN (SELECT universe_id FROM c) GROUP BY 1) SELECT h.universe_id, b.source_id FROM h LEFT JOIN b USING (universe_id)""")
 def log_ancestry(s, d):
-    return EL.climb(_heads(s, d), table(s, d, "stacked_proposals").filter("universe_id is not null"), 60)
+    return EL.climb(_heads(s, d), table(s, d, "stacked_proposals").filter("universe_id is not null"))
 
 
 @query("WITH RECURSIVE " + f"oplog AS ({A.OPLOG}), c AS (SELECT event_id, universe_id, sha256(payload) AS h, lag(event_id) OVER (PARTITION BY universe_id ORDER BY event_id) AS parent_event FROM oplog WHERE action = 'COMMIT') SELECT event_id, universe_id, parent_event FROM c WHERE prefix(h, 'a') ORDER BY event_id DESC LIMIT 1")
