@@ -154,6 +154,12 @@ def test_hidden_prose(spark):
     assert HP.prose_of_docs(df.limit(0), F.col("i"), F.col("t")).count() == 0
 
 
+def test_prose_next_to_cjk_characters():
+    for text, want in (("The reader waits until all of the changes called 変更 have been written to the disk before it closes.", {"en"}), ("Der Leser wartet, bis alle Änderungen namens 変更 auf die Platte geschrieben sind, und schließt dann.", {"de"}),
+                       ("The reader waits until all of the changes have been written\nすべての変更が書き込まれるまで待ちます。", {"en", "ja"}), ("この関数は HTTP リクエスト を JSON に変換してから返します。", {"ja"}), ("変更写入之后 reader 会关闭 the file 并返回。", {"zh"})):
+        assert set(HP._phrases(text, LG.viterbi([text])[0])) == want
+
+
 def test_repair():
     assert repaired("La comparaison Ã©crit") == "La comparaison écrit" and repaired("\\u00e9t\\u00e9") == "été" and repaired("naïve é»") == "naïve é»"
     assert bare("/**\n * A.\n * B.\n */") == "A.\nB."

@@ -103,8 +103,7 @@ def _phrases(text: str, states: np.ndarray) -> dict[str, list[tuple[int, int, in
             if chars >= LEAST_CHARS and mine.sum() >= 0.5 * chars:
                 kana = len(re.findall(r"[぀-ヿ]", s))
                 out.setdefault("ja" if kana >= max(1, chars // 20) else "zh", []).append((lo, hi, chars))
-            continue
-        words = list(_LETTERS.finditer(s))
+        words = [m for m in _LETTERS.finditer(s) if not _CJ.search(m[0])]
         if len(words) < LEAST_WORDS:
             continue
         plain = [not _IDENT.search(s[max(m.start() - 1, 0):m.end() + 1]) for m in words]
@@ -124,7 +123,7 @@ def _phrases(text: str, states: np.ndarray) -> dict[str, list[tuple[int, int, in
                     langs[i] = langs[k]
         for lang in set(langs) - {CODE_STATE}:
             mine = [m for m, x in zip(words, langs, strict=True) if x == lang]
-            if len(mine) >= LEAST_WORDS:
+            if len(mine) >= LEAST_WORDS and not (chars and lang in _CJ_STATES):
                 out.setdefault(STATES[lang], []).append((lo + mine[0].start(), lo + mine[-1].end(), sum(m.end() - m.start() for m in mine)))
     return out
 
