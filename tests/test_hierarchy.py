@@ -93,6 +93,17 @@ def test_each_loop_has_one_back_edge(spark):
     assert got.agg(F.max("depth")).first()[0] == -1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_small_and_large_components_give_the_same_rows(spark, seed):
+    r = random.Random(seed)
+    rows = [(f"k{i}", r.choice([None, f"k{r.randrange(90)}", f"k{r.randrange(90)}", f"k{max(0, i - 1)}"]), 0) for i in range(90)]
+    rows += [("a", "c", 0), ("b", "c", 0), ("c", "d", 0), ("d", "b", 0)]
+    one = lambda bound: sorted((v.node_key, v.parent_key, v.root_key, v.depth, tuple(v.path or ()), v.on_loop, v.back_edge) for v in run(spark, rows, max_component=bound).values())
+    small = one(100_000)
+    assert small == one(1) and ("b", "c", "b", -1, (), True, True) in small
+    assert {x[0] for x in small if x[6]} == {x[2] for x in small if x[3] == -1}
+
+
 def test_all_descendants_of_every_node_with_loops(spark):
     r = random.Random(8)
     rows = [(f"k{i}", r.choice([None, "root", f"k{r.randrange(120)}", f"k{max(0, i - 1)}"]), 0) for i in range(120)] + [("s", "s", 0), ("s1", "s", 0), ("s2", "s1", 0), ("s3", "s2", 0)]

@@ -1,9 +1,9 @@
 """Parent-child rows to full hierarchies.
 
-Plan: components by pointer doubling (a row has one parent, so a component has exactly one root or
+Plan: components by pointer jumping (a row has one parent, so a component has exactly one root or
 one loop), small components co-located and walked depth first with node colours, components above
-``max_component`` finished by the doubling alone, which carries the same figures. The doubling runs
-log2(depth) rounds; rows that have reached their root leave the iterated side.
+``max_component`` finished by the jumps alone, which carry the same figures by the same rules. A round
+triples the reach in one job; rows that have reached their root leave the iterated side.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftwork.functions.common import cut, latest_row, norm_key
+from weftwork.functions.common import dropped, latest_row, norm_key, staged
 
 #: The spellings of "no parent", after trimming and lower-casing.
 NO_PARENT = ("", "root", "universe-main", "0" * 40)
@@ -47,87 +47,99 @@ def parent_links(df: DataFrame, key: Column, parent: Column, order: list[str] |
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
     ).filter(F.col("node_key").isNotNull() & (F.col("node_key") != ""))
     one = latest_row(raw, ["node_key"], [f"_o{i}" for i in range(len(order))], [*[f"_o{i}" for i in range(len(order))], "parent_key"]).select("node_key", "parent_key")
-    one = cut(one)
+    one = staged(one)
     have = one.select(F.col("node_key").alias("_p"))
     return one.join(have, one.parent_key == have._p, "left").select("node_key", F.col("_p").alias("parent_key"))
 
 
+def _jumped(side: DataFrame, to: DataFrame, extra: str | None = None) -> DataFrame:
+    """``side`` with every pointer moved on by three of the pointers of ``to`` in one job: ptr, d and, where told, the least key on the way."""
+    a = to.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("d").alias("_d"), F.col("done").alias("_done"), *([F.col(extra).alias("_x")] if extra else []))
+    for _ in range(2):
+        x = [F.least(extra, "_x").alias(extra)] if extra else []
+        # a pointer that rests on a root stays there: the root points to itself over no distance
+        side = side.join(a, side.ptr == a._k).select("node_key", "parent_key", F.col("_ptr").alias("ptr"), (F.col("d") + F.col("_d")).alias("d"), F.col("_done").alias("done"), *x)
+    return side
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node_key, parent_key, comp, depth, looped: the component's root (or the smallest key of its loop).
+    """node_key, parent_key, comp, depth, on_loop: the component's root (or the smallest key of its loop).
 
-    ``depth`` is the distance to the root, or -1 where the ancestors lead into a loop. A row drops out of
-    the iterated side once its pointer rests on a root. When a round leaves as many rows as the one before,
-    no row's depth lies between the two reaches, so every row left leads into a loop; the smallest key on
-    that loop is the minimum over one full turn from a node already on it, found by doubling on those rows only.
+    ``depth`` is the distance to the root, or -1 where the ancestors lead into a loop. A round triples the reach of all rows whose
+    pointer does not rest on a root yet, in one job that writes the state anew; the old state is removed. When a round
+    leaves as many rows as the one before, no row's depth lies between the two reaches, so every row left leads into a loop.
+    Those rows start again with the least key on their way, until their pointers only meet nodes of loops (the set of nodes pointed
+    at no longer shrinks) and no loop's least key changes, which is when the reach has gone round every loop.
     """
-    state = cut(links.select("node_key", "parent_key", F.coalesce("parent_key", "node_key").alias("ptr"),
-                             F.when(F.col("parent_key").isNull(), 0).otherwise(1).alias("d"),
-                             F.col("parent_key").isNull().alias("done")))
-    done = state.filter("done")
-    live = state.filter("not done")
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a round's rows come from as many files as rounds before; tasks stay as many as partitions
-    before, n = -1, live.count()
+    root = F.col("parent_key").isNull()
+    state = staged(links.select("node_key", "parent_key", F.coalesce("parent_key", "node_key").alias("ptr"), F.when(root, 0).otherwise(1).cast("bigint").alias("d"), root.alias("done")))
+    before, n = -1, state.filter("not done").count()
     while n and n != before:
-        to = done.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("d").alias("_d"), F.lit(True).alias("_done")).unionByName(
-            live.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("d").alias("_d"), F.lit(False).alias("_done"))).coalesce(parts)
-        stepped = cut(live.join(to, live.ptr == to._k).select("node_key", "parent_key", F.col("_ptr").alias("ptr"),
-                                                             (F.col("d") + F.col("_d")).alias("d"), F.col("_done").alias("done")))
-        done = done.select("node_key", "parent_key", "ptr", "d").unionByName(stepped.filter("done").drop("done")).withColumn("done", F.lit(True))
-        live = stepped.filter("not done")
-        before, n = n, live.count()
-    done = done.coalesce(parts)
-    trees = done.select("node_key", "parent_key", F.col("ptr").alias("comp"), F.col("d").cast("int").alias("depth"), F.lit(False).alias("looped"))
+        new = staged(state.filter("done").unionByName(_jumped(state.filter("not done"), state)))
+        dropped(state)
+        state, before, n = new, n, new.filter("not done").count()
+    trees = state.filter("done").select("node_key", "parent_key", F.col("ptr").alias("comp"), F.col("d").cast("int").alias("depth"), F.lit(False).alias("on_loop"))
     if not n:
         return trees
-    loops = live.select("node_key", "parent_key", F.col("parent_key").alias("ptr"), F.least("node_key", "parent_key").alias("low"))
-    reach = 1
-    while reach < n:  # after this, ptr is on the loop and low covers a full turn
-        to = loops.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"))
-        loops = cut(loops.join(to, loops.ptr == to._k).select("node_key", "parent_key", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low")))
-        reach *= 2
-    to = loops.select(F.col("node_key").alias("_k"), F.col("low").alias("comp"))
-    looped = loops.join(to, loops.ptr == to._k).select("node_key", "parent_key", "comp", F.lit(-1).alias("depth"), F.lit(True).alias("looped"))
+    loops = staged(state.filter("not done").select("node_key", "parent_key", F.col("parent_key").alias("ptr"), F.lit(1).cast("bigint").alias("d"), F.lit(False).alias("done"), F.col("node_key").alias("low")))
+    was = None
+    while True:
+        met = loops.select(F.col("ptr").alias("_l")).distinct()
+        ring = loops.join(met, loops.node_key == met._l, "left_semi").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node_key", "low").cast("decimal(38,0)")).alias("s")).first()
+        if was is not None and was == (ring.n, ring.s):
+            break
+        was = (ring.n, ring.s)
+        new = staged(_jumped(loops, loops, "low"))
+        dropped(loops)
+        loops = new
+    met = loops.select(F.col("ptr").alias("_l")).distinct()
+    to = loops.join(met, loops.node_key == met._l, "left_semi").select(F.col("node_key").alias("_k"), F.col("low").alias("comp"))
+    looped = loops.join(to, loops.ptr == to._k).join(met, loops.node_key == met._l, "left").select("node_key", "parent_key", "comp", F.lit(-1).alias("depth"), F.col("_l").isNotNull().alias("on_loop"))
     return trees.unionByName(looped)
 
 
+_WHITE, _GREY, _BLACK = 0, 1, 2
+
+
 def _walk(nodes: list[str], parents: list[str | None], with_path: bool) -> Iterator[tuple]:
-    """Iterative depth-first walk of one component; white 0, grey 1, black 2. Yields HIERARCHY rows, paths only if asked for."""
-    children: dict[str | None, list[str]] = {}
+    """Iterative depth-first walk of one component with node colours. Yields HIERARCHY rows, paths only if asked for.
+
+    A tree is walked down from its root; a component without one from the smallest key of its loop, which a climb finds. A node is
+    grey while its branch is open; a step down to a grey node closes a loop and is the back edge.
+    """
     up = dict(zip(nodes, parents, strict=True))
+    children: dict[str | None, list[str]] = {}
     for k, p in up.items():
         children.setdefault(p, []).append(k)
     for v in children.values():
         v.sort()
-    colour = dict.fromkeys(up, 0)
-    for root in children.get(None, []):
-        stack: list[tuple[str, int]] = [(root, 0)]
-        trail: list[str] = []
-        while stack:
-            k, d = stack.pop()
-            del trail[d:]
-            trail.append(k)
-            colour[k] = 2
-            yield k, up[k], root, d, list(trail) if with_path else None, False, False
-            stack += [(c, d + 1) for c in reversed(children.get(k, ()))]
-    if all(colour.values()):
-        return
-    # No root: climb with colours; meeting a grey node closes the loop, and that step is the back edge.
     loop: set[str] = set()
-    back: tuple[str, str] | None = None
-    for start in sorted(up):
-        k, seen = start, []
-        while colour[k] == 0:
-            colour[k] = 1
-            seen.append(k)
+    if None not in children:
+        k, trail = min(up), {}
+        while k not in trail:
+            trail[k] = len(trail)
             k = up[k]
-        if colour[k] == 1:
-            loop = set(seen[seen.index(k):])
-            back = (seen[-1], k)
-        for s in seen:
-            colour[s] = 2
-    low = min(loop)
-    for k in up:
-        yield k, up[k], low, -1, None, k in loop, back is not None and back == (k, up[k])
+        loop = set(list(trail)[trail[k]:])
+    colour = dict.fromkeys(up, _WHITE)
+    back: set[str] = set()
+    for root in children.get(None, []) or [min(loop)]:
+        stack, path = [(root, iter(children.get(root, ())))], [root]
+        colour[root] = _GREY
+        while stack:
+            k, rest = stack[-1]
+            for c in rest:
+                if colour[c] == _GREY:
+                    back.add(c)
+                elif colour[c] == _WHITE:
+                    colour[c] = _GREY
+                    stack.append((c, iter(children.get(c, ()))))
+                    path.append(c)
+                    break
+            else:
+                stack.pop()
+                yield k, up[k], root, -1 if loop else len(path) - 1, list(path) if with_path and not loop else None, k in loop, k in back
+                path.pop()
+                colour[k] = _BLACK
 
 
 #: Rows and path elements a walked batch holds at most.
@@ -174,54 +186,40 @@ def hierarchy(links: DataFrame, *, max_component: int = MAX_COMPONENT, with_path
     """Per node: node_key, parent_key, root_key, depth, path, on_loop, back_edge.
 
     ``links`` has one row per node_key and a parent_key that is null or a node (see ``parent_links``).
-    Nodes on a loop, or below one, get depth -1, the loop's smallest key as root and a null path. An
-    empty table gives an empty result. Components of up to ``max_component`` nodes are co-located and
-    walked depth first, several to a task; larger ones, which may hold any share of the rows, never
-    meet in one task: their depth and root are the doubling's, and their paths are joined from
-    doubled segments. Without ``with_path`` all paths are null, and no row is longer for being deep.
+    Nodes on a loop, or below one, get depth -1, the loop's smallest key as root and a null path. A loop's back edge is the
+    link of its smallest key, at any size: what a walk down from that key meets last. An empty table gives an empty result.
+    Components of up to ``max_component`` nodes are co-located and walked depth first, several to a task; larger ones, which may
+    hold any share of the rows, never meet in one task: their depth, root and loop are the pointers', and their
+    paths are joined from segments. Without ``with_path`` all paths are null, and no row is longer for being deep.
     """
-    found = cut(components(links))
-    sizes = found.groupBy("comp").agg(F.count("*").alias("_n"))
-    giants = sizes.filter(F.col("_n") > max_component).select("comp")
-    n_giants = giants.count()
-    small = found if not n_giants else found.join(giants, "comp", "left_anti")
+    found = staged(components(links))
+    giants = found.groupBy("comp").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_component).select("comp")
+    some = not giants.isEmpty()
+    small = found.join(giants, "comp", "left_anti") if some else found
     walked = (small.select("comp", "node_key", "parent_key").repartition("comp").sortWithinPartitions("comp", "node_key")
               .mapInArrow(_walk_batches(with_path), HIERARCHY))
-    if not n_giants:
+    if not some:
         return walked
-    big = cut(found.join(giants, "comp", "left_semi"))
-    rows = big.select("node_key", "parent_key", F.col("comp").alias("root_key"), "depth")
+    big = staged(found.join(giants, "comp", "left_semi"))
+    rows = big.select("node_key", "parent_key", F.col("comp").alias("root_key"), "depth", "on_loop")
     if with_path:
-        rows = rows.join(_doubled_paths(big.filter("not looped")), "node_key", "left")
+        rows = rows.join(_doubled_paths(big.filter("depth >= 0")), "node_key", "left")
     else:
         rows = rows.withColumn("path", F.lit(None).cast("array<string>"))
-    on = _loop_nodes(big.filter("looped"))
-    rows = (rows.join(on, rows.node_key == on._l, "left")
-            .select("node_key", "parent_key", "root_key", "depth", "path", F.col("_l").isNotNull().alias("on_loop"),
-                    (F.col("_l").isNotNull() & (F.col("parent_key") == F.col("root_key"))).alias("back_edge")))
+    rows = rows.select("node_key", "parent_key", "root_key", "depth", "path", "on_loop", (F.col("on_loop") & (F.col("node_key") == F.col("root_key"))).alias("back_edge"))
     return walked.unionByName(rows)
 
 
 def _doubled_paths(trees: DataFrame) -> DataFrame:
     """node_key, path for tree nodes: segments (ancestors above, self last) doubled until the root heads them."""
-    seg = cut(trees.select("node_key", F.col("parent_key").alias("ptr"), F.array("node_key").alias("path")))
-    done, live = seg.filter("ptr is null"), seg.filter("ptr is not null")
-    while not live.isEmpty():
-        to = done.unionByName(live).select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("path").alias("_path"))
-        step = cut(live.join(to, live.ptr == to._k).select("node_key", F.col("_ptr").alias("ptr"), F.concat("_path", "path").alias("path")))
-        done, live = done.unionByName(step.filter("ptr is null")), step.filter("ptr is not null")
-    return done.select("node_key", "path")
-
-
-def _loop_nodes(looped: DataFrame) -> DataFrame:
-    """_l: the nodes on a loop, found by doubling: after as many steps as there are nodes, every pointer rests on a loop."""
-    n, reach = looped.count(), 1
-    ptr = looped.select("node_key", F.col("parent_key").alias("ptr"))
-    while reach < n:
-        to = ptr.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"))
-        ptr = cut(ptr.join(to, ptr.ptr == to._k).select("node_key", F.col("_ptr").alias("ptr")))
-        reach *= 2
-    return ptr.select(F.col("ptr").alias("_l")).distinct()
+    seg = staged(trees.select("node_key", F.col("parent_key").alias("ptr"), F.array("node_key").alias("path")))
+    while not (live := seg.filter("ptr is not null")).isEmpty():
+        to = seg.select(F.col("node_key").alias("_k"), F.col("ptr").alias("_ptr"), F.col("path").alias("_path"))
+        step = live.join(to, live.ptr == to._k).select("node_key", F.col("_ptr").alias("ptr"), F.concat("_path", "path").alias("path"))
+        new = staged(seg.filter("ptr is null").unionByName(step))
+        dropped(seg)
+        seg = new
+    return seg.select("node_key", "path")
 
 
 def descendants(h: DataFrame, *also: str) -> DataFrame:
@@ -238,7 +236,7 @@ def all_descendants(links: DataFrame) -> DataFrame:
 
     What hangs below a loop is taken as trees, whose roots are the children of the loop's nodes; their paths are doubled.
     """
-    h = cut(hierarchy(links))
+    h = staged(hierarchy(links))
     pairs = descendants(h).select("ancestor_key", "descendant_key")
     looped = h.filter("depth < 0").select("node_key", "parent_key", "root_key", "on_loop")
     if looped.isEmpty():

@@ -40,6 +40,11 @@ def p3_loops(s: SparkSession, d: str) -> DataFrame:
     return _trees(s, d, False).filter("on_loop").select("record_table", F.col("root_key").alias("loop_key"), "node_key", F.col("parent_key").alias("next_key"))
 
 
+def p3_back_edges(s: SparkSession, d: str) -> DataFrame:
+    """The link that closes each loop: that of its smallest key, to a parent that is its own descendant."""
+    return _trees(s, d, False).filter("back_edge").select("record_table", "node_key", "parent_key")
+
+
 P4_SOURCES = {
     "java_classes": ("class_id", "methods", ["v", "*", "params"], None),
     "graphql_types": ("type_id", "fields", ["v", "*", "arguments"], None),
@@ -105,7 +110,7 @@ def p5_report(s: SparkSession, d: str) -> DataFrame:
     return O.orphan_report(_orphans(s, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_loops, p4_found, p4_methods, p4_params, p4_arguments, p4_symbols, p4_symbol_params, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p3_loops, p3_back_edges, p4_found, p4_methods, p4_params, p4_arguments, p4_symbols, p4_symbol_params, p5_found, p5_report)}
 
 _NORM = "lower(regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', ''))"
 _NONE = "('', 'root', 'universe-main', '0000000000000000000000000000000000000000')"
@@ -181,6 +186,7 @@ SQL = {
     "p3_found": _P3 + "SELECT record_table, k AS node_key, CASE WHEN low IS NOT NULL THEN low ELSE coalesce(top, k) END AS root_key, CAST(CASE WHEN low IS NOT NULL THEN -1 ELSE n END AS INTEGER) AS depth FROM info",
     "p3_descendants": _P3 + ", n AS (SELECT record_table, k, n FROM info WHERE low IS NULL) SELECT w.record_table, w.a AS ancestor_key, w.k AS descendant_key, CAST(x.n - y.n AS INTEGER) AS distance FROM walk w JOIN n x ON x.record_table = w.record_table AND x.k = w.k JOIN n y ON y.record_table = w.record_table AND y.k = w.a",
     "p3_loops": _P3 + "SELECT i.record_table, i.low AS loop_key, i.k AS node_key, i.p AS next_key FROM info i JOIN loops l ON l.record_table = i.record_table AND l.k = i.k",
+    "p3_back_edges": _P3 + "SELECT i.record_table, i.k AS node_key, i.p AS parent_key FROM info i WHERE i.low = i.k",
     "p3_paths": _P3 + ", n AS (SELECT record_table, k, n, low FROM info), up AS (SELECT w.record_table, w.k, string_agg(w.a, '/' ORDER BY y.n) AS path FROM walk w JOIN n y ON y.record_table = w.record_table AND y.k = w.a GROUP BY ALL) SELECT x.record_table, x.k AS node_key, CASE WHEN x.low IS NULL THEN coalesce(u.path || '/', '') || x.k END AS path, l.k IS NOT NULL AS on_loop FROM n x LEFT JOIN up u ON u.record_table = x.record_table AND u.k = x.k LEFT JOIN loops l ON l.record_table = x.record_table AND l.k = x.k",
     "p4_found": f"SELECT DISTINCT 'java_classes' AS record_table, class_id AS record_id, CAST(m_pos AS VARCHAR) AS parent_key, CAST(p_pos AS INTEGER) AS child_pos FROM ({_PARAMS}) WHERE p IS NOT NULL UNION ALL SELECT DISTINCT 'graphql_types', type_id, CAST(f_pos AS VARCHAR), CAST(a_pos AS INTEGER) FROM ({_ARGS}) WHERE a IS NOT NULL UNION ALL SELECT DISTINCT 'publish_payloads', payload_id, node_id, CAST(pos AS INTEGER) FROM ({_SYMBOL_PARAMS}) WHERE json_type(e) <> 'NULL'",
     "p4_methods": "SELECT DISTINCT class_id, CAST(m_pos AS INTEGER) AS method_pos, m.name AS name, m.visibility AS visibility, m.return_type AS return_type, m.route_path AS route_path FROM (SELECT class_id, unnest(methods) AS m, generate_subscripts(methods, 1) - 1 AS m_pos FROM java_classes) WHERE m IS NOT NULL",
