@@ -1,43 +1,58 @@
 """References to records that do not exist, or did not when the reference arrived.
 
-All distinct keys of parents and references are range-partitioned and numbered in sort order, so
-parent keys become integers that are contiguous wherever no foreign key lies between them. They are
-compressed to runs; a reference matches the run that starts at or before it and is an orphan beyond
-the run's end. Keys within a run are checked against the time their target was there by an as-of
-match on (key, day, time): hot keys are split by day, and only a prefix maximum per key and day
-crosses days.
+A key is read as a stem and an integer: the number its final digits spell. Sorted integers of the parents' keys are compressed
+to contiguous runs, one row a run. A reference is matched as of its integer to the last run that starts at or
+before it, and is an orphan where there is none or where it lies beyond that run's end. References inside a run are
+matched once more, as of their arrival, to what their target's rows say about that time.
+
+Both matches sort rows over range partitions and carry the last value over partition borders, so all references to one key,
+whatever their share and however they crowd in time, are spread over as many tasks as they fill.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.functions.common import cut, norm_key, trim_white
+from weftwork.functions.common import carried, in_order, norm_key, ranked, staged, trim_white
 from weftwork.operators.hierarchy import NO_PARENT
 
 FOREVER = "9999-12-31 00:00:00"
 ALWAYS = "0001-01-01 00:00:00"
 
 
-def key_runs(parents: DataFrame, refs: DataFrame) -> DataFrame:
-    """domain, key, kid, run_start, run_end, missing for every distinct key of either side.
+#: Final digits read as the integer: what a bigint surely holds. Digits before them belong to the stem.
+DIGITS = 18
+
+
+def integer_key(key: Column) -> tuple[Column, Column]:
+    """(stem, n) of a key, in both directions one to one: the stem holds what stands before the final digits and how many they are, so 07 is not 7."""
+    digits = F.regexp_extract(key, rf"([0-9]{{0,{DIGITS}}})$", 1)
+    n = F.char_length(digits)
+    return F.concat(F.substr(key, F.lit(1), F.char_length(key) - n), F.lit("#"), n.cast("string")), F.coalesce(digits.try_cast("bigint"), F.lit(-1).cast("bigint"))
+
 
-    ``parents`` and ``refs`` have domain and key. Numbering is per range partition, so a run never spans two
-    of them and every window stays inside a task that holds a balanced share of the distinct keys.
+def key_runs(parents: DataFrame) -> DataFrame:
+    """domain, stem, run_start, run_end, n_keys: the contiguous runs of the parents' integer keys, one row a run.
+
+    ``parents`` has domain and key; repeated keys count once, null keys not at all. Within a run an integer and its rank rise together, so
+    their difference names the run, also across the borders of range partitions.
     """
-    keys = (parents.select("domain", "key", F.lit(1).alias("p")).unionByName(refs.select("domain", "key", F.lit(0).alias("p")))
-            .groupBy("domain", "key").agg(F.max("p").alias("p")))
-    # checkpointed: numbers given by position must never be given twice
-    kid = cut(keys.repartitionByRange("domain", "key").sortWithinPartitions("domain", "key")
-              .select("domain", "key", "p", F.monotonically_increasing_id().alias("kid"), F.spark_partition_id().alias("part")))
-    by = W.partitionBy("part").orderBy("kid")
-    started = kid.withColumn("run_start", F.when((F.col("p") == 1) & (F.coalesce(F.lag("p").over(by), F.lit(0)) == 0), F.col("kid")))
-    asof = started.withColumn("run_start", F.last("run_start", True).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    ends = asof.withColumn("run_end", F.max(F.when(F.col("p") == 1, F.col("kid"))).over(W.partitionBy("part", "run_start")))
-    return ends.select("domain", "key", "kid", "run_start", "run_end",
-                       (F.col("run_start").isNull() | (F.col("kid") > F.col("run_end"))).alias("missing"))
+    stem, n = integer_key(F.col("key"))
+    keys = parents.filter("key is not null").select("domain", stem.alias("stem"), n.alias("n")).distinct()
+    return ranked(keys, ["domain", "stem"], ["n"], "rank").groupBy("domain", "stem", F.col("n") - F.col("rank")).agg(
+        F.min("n").alias("run_start"), F.max("n").alias("run_end"), F.count("*").alias("n_keys")).select("domain", "stem", "run_start", "run_end", "n_keys")
+
+
+def outside_runs(refs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``refs`` (domain, key and any other columns but _ ones) with ``missing``: no run starts at or before the key, or the last that does ends before it."""
+    stem, n = integer_key(F.col("key"))
+    held = [c for c in refs.columns if c != "domain"]
+    rows = (refs.select("domain", stem.alias("_stem"), n.alias("_n"), F.lit(1).alias("_o"), F.xxhash64(*held).alias("_salt"), F.lit(None).cast("bigint").alias("_end"), *held)
+            .unionByName(runs.select("domain", F.col("stem").alias("_stem"), F.col("run_start").alias("_n"), F.lit(0).alias("_o"), F.lit(0).cast("bigint").alias("_salt"), F.col("run_end").alias("_end")), allowMissingColumns=True))
+    order = ["_n", "_o", "_salt"]
+    at = carried(in_order(rows, ["domain", "_stem", *order]), ["domain", "_stem"], order, {"_run_end": ("last", "_end", True)})
+    return at.filter("_o = 1").select(*refs.columns, (F.col("_run_end").isNull() | (F.col("_n") > F.col("_run_end"))).alias("missing"))
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -47,31 +62,19 @@ def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     A repeated reference counts once, at its earliest arrival. Null keys are no references. A null ``at`` never
     finds a target. ``reason`` is never_came, came_later or deleted. Empty tables give their natural results.
     """
-    one = (refs.filter(F.col("key").isNotNull()).groupBy("record_table", "record_key", "ref_field", "domain", "key").agg(F.min("at").alias("at")))
-    one = cut(one)
+    one = refs.filter(F.col("key").isNotNull()).groupBy("record_table", "record_key", "ref_field", "domain", "key").agg(F.min("at").alias("at"))
     there = targets.filter(F.col("key").isNotNull()).select("domain", "key", "since", F.coalesce("until", F.to_timestamp(F.lit(FOREVER))).alias("until"))
-    runs = cut(key_runs(there, one))
-    tagged = one.join(runs.select("domain", "key", "missing"), ["domain", "key"])
-    never = tagged.filter("missing").select("record_table", "record_key", "ref_field", "key", "at", F.lit("never_came").alias("reason"))
-    check = tagged.filter("not missing").drop("missing")
-    # as-of over time, hot keys split by day
-    needed = there.join(runs.filter("not missing").select("domain", "key"), ["domain", "key"], "left_semi")
-    day = F.unix_date
-    spans = needed.filter("since is not null").groupBy("domain", "key", "since").agg(F.max("until").alias("until")).withColumn("m", day(F.to_date("since")))
-    lines = (spans.select("domain", "key", "m", F.col("since").alias("at"), F.lit(0).alias("o"), "until",
-                          F.lit(None).cast("string").alias("record_table"), F.lit(None).cast("string").alias("record_key"), F.lit(None).cast("string").alias("ref_field"))
-             .unionByName(check.select("domain", "key", day(F.to_date("at")).alias("m"), "at", F.lit(1).alias("o"), F.lit(None).cast("timestamp").alias("until"), "record_table", "record_key", "ref_field")))
-    per_day = spans.groupBy("domain", "key", "m").agg(F.max("until").alias("mx"))
-    # a key has few days, so this window's groups are bounded by the calendar, not by the rows
-    days = per_day.unionByName(check.select("domain", "key", day(F.to_date("at")).alias("m"), F.lit(None).cast("timestamp").alias("mx")).distinct()) \
-        .groupBy("domain", "key", "m").agg(F.max("mx").alias("mx"))
-    prior = days.withColumn("before", F.max("mx").over(W.partitionBy("domain", "key").orderBy("m").rowsBetween(W.unboundedPreceding, -1))).select("domain", "key", "m", "before")
-    inside = lines.withColumn("cur", F.max("until").over(W.partitionBy("domain", "key", "m").orderBy("at", "o").rowsBetween(W.unboundedPreceding, 0)))
-    hits, prior = inside.filter("o = 1").alias("i"), prior.alias("q")
-    same = (F.col("i.domain") == F.col("q.domain")) & (F.col("i.key") == F.col("q.key")) & F.col("i.m").eqNullSafe(F.col("q.m"))
-    got = hits.join(prior, same, "left").select("i.record_table", "i.record_key", "i.ref_field", "i.key", "i.at", F.greatest("i.cur", "q.before").alias("last_until"))
-    late = got.filter(F.col("at").isNull() | F.col("last_until").isNull() | (F.col("last_until") <= F.col("at"))) \
-        .select("record_table", "record_key", "ref_field", "key", "at", F.when(F.col("last_until").isNull() | F.col("at").isNull(), "came_later").otherwise("deleted").alias("reason"))
+    tagged = staged(outside_runs(one, key_runs(there)))
+    held = ["record_table", "record_key", "ref_field", "key", "at"]
+    never = tagged.filter("missing").select(*held, F.lit("never_came").alias("reason"))
+    check = tagged.filter("not missing")
+    # what a target's rows say from a time on: until when it is there
+    spans = there.filter("since is not null").groupBy("domain", "key", "since").agg(F.max("until").alias("_until"))
+    lines = (check.select("domain", *held, F.lit(1).alias("_o"), F.xxhash64("record_table", "record_key", "ref_field").alias("_salt"))
+             .unionByName(spans.select("domain", "key", F.col("since").alias("at"), F.lit(0).alias("_o"), F.lit(0).cast("bigint").alias("_salt"), "_until"), allowMissingColumns=True))
+    order = ["at", "_o", "_salt"]  # a null arrival sorts before every row of its key, and so finds none
+    got = carried(in_order(lines, ["domain", "key", *order]), ["domain", "key"], order, {"_last": ("max", "_until", True)}).filter("_o = 1")
+    late = got.filter(F.col("_last").isNull() | (F.col("_last") <= F.col("at"))).select(*held, F.when(F.col("_last").isNull(), "came_later").otherwise("deleted").alias("reason"))
     return never.unionByName(late).withColumnRenamed("key", "ref_key")
 
 
