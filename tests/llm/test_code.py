@@ -163,3 +163,15 @@ def test_prose_next_to_cjk_characters():
 def test_repair():
     assert repaired("La comparaison Ã©crit") == "La comparaison écrit" and repaired("\\u00e9t\\u00e9") == "été" and repaired("naïve é»") == "naïve é»"
     assert bare("/**\n * A.\n * B.\n */") == "A.\nB."
+
+
+def test_headers_of_any_length():
+    from weftwork.llm.syntax import functions
+
+    many = ", ".join(f"@Named(\"n{i}\") final Map<String, List<Integer>> parameterNumber{i}" for i in range(500))
+    for params in ("int a", many, many * 8):
+        src = f"class A {{\n  /** Keeps the ledger in step with the outside world. */\n  public int join({params}) throws IOException, java.lang.Error {{ return 1; }}\n}}"
+        got = functions(src, "java")
+        assert [f.name for f in got] == ["join"] and "in step" in got[0].docs
+    kt = "/** Keeps order. */ fun <T : Comparable<T>> List<T>.arrange(" + ", ".join(f"p{i}: Map<String, Int>" for i in range(3000)) + "): Int { return 1 }"
+    assert [f.name for f in functions(kt, "kotlin")] == ["arrange"]

@@ -106,3 +106,39 @@ def test_mix_empty(spark):
     goals = spark.createDataFrame([("a", 1.0, 2)], "source_name string, target_share double, max_repeats int")
     chosen, shares = MX.mix(docs, goals)
     assert chosen.count() == 0 and shares.first().tokens == 0
+
+
+@pytest.mark.parametrize("total", [100, 487])
+def test_budgets_are_filled_until_nothing_fits(spark, total):
+    from pyspark.sql import functions as F
+
+    r = random.Random(total)
+    docs = spark.createDataFrame([(i, " ".join(["token"] * r.choice([1, 2, 7, 30, 45])), "a") for i in range(300)], "doc_id bigint, text string, source string")
+    goals = spark.createDataFrame([("a", 1.0, 1)], "source_name string, target_share double, max_repeats int")
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11).cast("double") + 0.5) / float(1 << 53)
+    order = [x.doc_id for x in docs.orderBy(-F.log(u), "doc_id").collect()]
+    size = {x.doc_id: x.n_tokens for x in token_counts(docs).collect()}
+    want, left = set(), total
+    for i in order:
+        if size[i] <= left:
+            want.add(i)
+            left -= size[i]
+    chosen, shares = MX.mix(docs, goals, total_tokens=total, weight=F.lit(1.0))
+    assert {x.doc_id for x in chosen.collect()} == want and shares.first().tokens == total - left
+
+
+def test_mix_keeps_documents_without_weight_and_takes_many_sources(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "one two three", f"s{i % 3}", [None, 0.0, -1.0, float("nan"), 2.0][i % 5]) for i in range(30)], "doc_id bigint, text string, source string, w double")
+    goals = spark.createDataFrame([(f"s{i}", 1.0 / 3 if i < 3 else 0.0, 1) for i in range(10_005)], "source_name string, target_share double, max_repeats int")
+    chosen, shares = MX.mix(docs, goals, weight=F.col("w"))
+    assert chosen.count() == 30 and shares.count() == 10_005
+
+
+def test_pack_many_capacities(spark, monkeypatch):
+    monkeypatch.setattr(PK, "SPECS", 2)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a")], "doc_id bigint, text string")
+    specs = spark.createDataFrame([(f"s{i}", i + 1) for i in range(5)], "spec_name string, capacity_tokens int")
+    got = PK.pack(docs, specs).groupBy("spec_name").sum("size").collect()
+    assert len(got) == 5 and len({x[1] for x in got}) == 1

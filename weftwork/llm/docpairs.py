@@ -40,7 +40,7 @@ _TODO = re.compile(r"(?i)^\W*(?:todo|fixme|xxx|tbd|wip|hack)\b\s*(?:\([^)]*\))?\
 #: Fixed value: tags whose text repeats the signature or points elsewhere.
 _BLOCK_TAG = re.compile(r"(?i)^[@:\\](?:param|parameter|return|returns|throws|throw|exception|see|since|author|version|type|rtype|raises|arg|argument|tparam|property|receiver|sample|serial\w*|link|date|category|override|inheritdoc)\b.*$|^-?\s*(?:parameters?|returns?|throws|args|raises|see also)\s*:.*$")
 _OTHER_TAG = re.compile(r"^[@\\][A-Za-z]+\b")
-_INLINE = re.compile(r"\{@\w+[^{}]*\}|<[^<>\n]{1,120}>|https?://\S+|`[^`\n]*`|(?<![\w.#])[\w.]{1,200}#\w+(?:\([^)]*\))?|\b[\w]+(?:/[\w{}.?=&-]+)+|\b[0-9a-f]{12,}\b")
+_INLINE = re.compile(r"\{@\w+[^{}]*\}|<[^<>\n]+>|https?://\S+|`[^`\n]*`|(?<![\w.#])[\w.]+#\w+(?:\([^)]*\))?|\b[\w]+(?:/[\w{}.?=&-]+)+|\b[0-9a-f]{12,}\b")
 _CODE = re.compile(r"[;{}]\s*$|^\s*[{}]|^\s*[\w.]+\((?:[^()]|\([^()]*\))*\)\s*$|^\s*(?:return|int|long|var|let|const|val|final|public|private|if|for|while)\b.*[;({=]|[=!<>]=|&&|\|\||->|=>|^\s*[\w.\[\]]+\s*=\s*\S|^\s*(?:import|package|use|SELECT|INSERT|UPDATE|DELETE)\b.*")
 _STOP = re.compile(r"(?<=[.!?。！？])(?:\s+|(?<=[。！？]))|\n\s*\n|(?<=[.!?]\*/)")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*", re.U)

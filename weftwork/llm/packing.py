@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from weftwork.functions.common import staged
 from weftwork.llm.tokens import VOCABULARY, token_counts
 
-#: Items a task packs at once, and rounds of exchange at most.
+#: Items a task packs at once, and capacities whose items are made in one step.
 PER_PARTITION = 100_000
-ROUNDS = 4
+SPECS = 1_000
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -123,33 +123,38 @@ def _deal(items: DataFrame, n: int, salt: int, prefix: str) -> DataFrame:
     return dealt.select(*_ITEM).repartition(*by).sortWithinPartitions(*by, F.col("size").desc(), "doc_id", "piece_no").mapInArrow(_pack(prefix), _PACKED)
 
 
-def pieces(counts: DataFrame, specs: list) -> DataFrame:
+def pieces(counts: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
     """spec_name, capacity_tokens, doc_id, piece_no, first_token, size: documents whole, larger ones in runs of a full capacity and a rest."""
     cap = F.col("capacity_tokens").cast("bigint")
-    specs = [(r[0], int(r[1])) for r in specs]
     both = counts.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(a).alias("spec_name"), F.lit(b).alias("capacity_tokens")) for a, b in specs]))).select("doc_id", "n_tokens", "_s.*")
     return (both.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / cap) - 1, F.lit(0)).cast("int"))))
             .select("spec_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens"), "doc_id", "piece_no", (F.col("piece_no") * cap).alias("first_token"),
                     F.least(F.col("n_tokens") - F.col("piece_no") * cap, cap).alias("size")))
 
 
-def pack(docs: DataFrame, specs: DataFrame, *, vocabulary: str = VOCABULARY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, specs: DataFrame, *, vocabulary: str = VOCABULARY, per_partition: int = PER_PARTITION) -> DataFrame:
     """spec_name, capacity_tokens, doc_id, piece_no, first_token, size, container_id, fill, gap.
 
-    ``docs`` has unique doc_id and text, ``specs`` spec_name and capacity_tokens (a handful of rows, checked below 1,000).
+    ``docs`` has unique doc_id and text, ``specs`` spec_name and capacity_tokens; capacities that are null or not above 0 do not count.
     Documents of null or empty text have size 0 and lie in containers like others. gap is how many containers the partition
-    that packed the item used beyond its certified lower bound.
+    that packed the item used beyond its certified lower bound. Partitions exchange items until a round saves no container.
     """
-    few = specs.select("spec_name", "capacity_tokens").filter("capacity_tokens > 0").distinct().limit(1001).collect()
-    if len(few) > 1000:
-        raise ValueError("more than 1000 capacities")
-    counts = staged(token_counts(docs, vocabulary=vocabulary))
-    items = pieces(counts, few)
+    counts, items, some = staged(token_counts(docs, vocabulary=vocabulary)), None, []
+    for r in specs.select("spec_name", "capacity_tokens").filter("capacity_tokens > 0").distinct().toLocalIterator():
+        some.append((r[0], int(r[1])))
+        if len(some) == SPECS:
+            items = pieces(counts, some) if items is None else items.unionByName(pieces(counts, some))
+            some = []
+    if some or items is None:
+        rest = pieces(counts, some) if some else pieces(counts, [("", 1)]).limit(0)
+        items = rest if items is None else items.unionByName(rest)
     n_docs = counts.count()
     parts = max(1, math.ceil(n_docs / per_partition))
     done = staged(_deal(items, parts, 0, "r0"))
     kept = [done]
-    for r in range(1, rounds + 1):
+    r = 0
+    while True:
+        r += 1
         last = kept.pop()
         loose = (F.col("gap") > 0) & (F.col("fill") < F.col("capacity_tokens"))
         pool = last.filter(loose)

@@ -31,7 +31,7 @@ _BITS = 16
 _DENSE = 4
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.S | re.M)
-_DROP = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,80}>|(?<!\S)[^\s/_]*[/_][^\s/]*/\S*|\b[0-9a-f]{7,}\b")
+_DROP = re.compile(r"`[^`\n]*`|https?://\S+|</?[A-Za-z!][^<>\n]*>|(?<!\S)[^\s/_]*[/_][^\s/]*/\S*|\b[0-9a-f]{7,}\b")
 _BLOCK = re.compile(r"\n[ \t]*\n|\n(?=[ \t]*(?:[-*+]|\d+[.)])[ \t])|(?:^|(?<=\n))[ \t]*#{1,6}[^\n]*\n?|(?:^|(?<=\n))[ \t]*(?:={3,}|-{3,}|\*{3,})[ \t]*(?:\n|$)")
 _MARK = re.compile(r"^[ \t>]*(?:(?:[-*+]|\d+[.)])[ \t]+)?")
 _END = re.compile(r"(?<=[.!?。！？])[\"')\]]*\s+(?=[^\Wa-z_]|[\"'(\[])|(?<=[。！？])")

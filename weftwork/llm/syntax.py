@@ -23,32 +23,81 @@ class Node:
 
 
 _WORD_FN = {
-    "kotlin": re.compile(r"\bfun\s+(?:<[^{}]*?>\s*)?(?:[\w.<>?, ]+\.)?`?(\w+)`?\s*\("),
     "rust": re.compile(r"\bfn\s+(?:r#)?(\w+)\s*(?:<|\()"),
     "swift": re.compile(r"\bfunc\s+`?(\w+|[^\w\s(<]+)`?\s*(?:<|\()"),
     "zig": re.compile(r"\bfn\s+(?:@\"[^\"]*\"|(\w+))\s*\("),
 }
-_JAVA_FN = re.compile(r"(?<![.\w])(\w+)\s*\((?:[^(){}]|\([^(){}]*\))*\)\s*(?:\[\]\s*)*(?:throws\s+[\w.,\s<>@]+)?\Z")
-_JAVA_TYPED = re.compile(r"[\w>\]]\s*\Z")
+_FUN = re.compile(r"\bfun\b\s*")
+_FUN_NAME = re.compile(r"(?:[\w.<>?, ]+\.)?`?(\w+)`?\s*")
+_ANGLES = re.compile(r"[<>]")
+_PARENS = re.compile(r"[()]")
+_AFTER_PARAMS = re.compile(r"\s*(?:\[\]\s*)*(?:throws\s[\w.,\s<>@]+)?")
+_ANNOTATION = re.compile(r"@\w[\w.]*\s*(?:\([^)]*\))?")
+_NEW = re.compile(r"\bnew\s+[\w.<>]*\Z")
 #: Words before a parenthesis that open a statement, not a method.
 _JAVA_NOT = frozenset("if for while switch catch synchronized try return new else do throw assert super this yield case".split())
 _TYPE = re.compile(r"\b(?:class|interface|enum|record|struct|trait|impl|object|protocol|extension|actor|union|mod|namespace)\b")
-#: Characters of a declaration looked at before its brace.
-_HEADER = 20_000
 _BRACES = re.compile(r"[{};]")
 
 
+def _called(header: str) -> tuple[str, int] | None:
+    """(name, its position) where a header ends in "name(...)" and what may follow a parameter list; one pass over the parentheses, whatever their length."""
+    last = header.rfind(")")
+    if last < 0 or not _AFTER_PARAMS.fullmatch(header, last + 1):
+        return None
+    open_, held = -1, []
+    for m in _PARENS.finditer(header, 0, last + 1):
+        if m[0] == "(":
+            held.append(m.start())
+        elif held:
+            open_ = held.pop()
+    if open_ < 0 or header[last] != ")":
+        return None
+    end = len(header[:open_].rstrip())
+    at = end
+    while at and (header[at - 1].isalnum() or header[at - 1] == "_"):
+        at -= 1
+    return (header[at:end], at) if at < end and (not at or header[at - 1] != ".") else None
+
+
+def _fun(header: str) -> tuple[str, int] | None:
+    """(name, where "fun" stands) of a header's last Kotlin function: type parameters are passed over by their brackets."""
+    found = None
+    for m in _FUN.finditer(header):
+        at = m.end()
+        if header.startswith("<", at):
+            depth = 0
+            for x in _ANGLES.finditer(header, at):
+                if x[0] == "<":
+                    depth += 1
+                elif header[x.start() - 1] != "-":  # not an arrow
+                    depth -= 1
+                if not depth:
+                    at = x.end()
+                    break
+            while header[at:at + 1].isspace():
+                at += 1
+        stop = header.find("(", at)
+        n = _FUN_NAME.fullmatch(header, at, stop) if stop >= 0 else None
+        if n:
+            found = n[1], m.start()
+    return found
+
+
 def _classify(header: str, language: str, in_code: bool) -> tuple[str, str | None, int]:
     """(kind, name, where the declaring word stands in the header)."""
     if language == "java":
-        m = _JAVA_FN.search(header)
-        if m and m[1] not in _JAVA_NOT and not in_code:
-            before = header[: m.start(1)]
+        m = _called(header)
+        if m and m[0] not in _JAVA_NOT and not in_code:
+            before = header[:m[1]].rstrip()
             first = before.split()
-            if first and first[0].strip("(") not in _JAVA_NOT and "=" not in re.sub(r"@\w[\w.]*\s*\([^)]*\)", "", before) and _JAVA_TYPED.search(before) and not re.search(r"\bnew\s+[\w.<>]*\s*\Z", before):
-                return "function", m[1], m.start(1)
+            if first and first[0].strip("(") not in _JAVA_NOT and "=" not in _ANNOTATION.sub("", before) and (before[-1].isalnum() or before[-1] in "_>]") and not _NEW.search(before, max(0, before.rfind("new"))):
+                return "function", m[0], m[1]
             if not first or all(w.startswith("@") or w in ("public", "protected", "private") for w in first):
-                return "function", m[1], m.start(1)  # a constructor
+                return "function", m[0], m[1]  # a constructor
+    elif language == "kotlin":
+        if m := _fun(header):
+            return "function", m[0], m[1]
     else:
         last = None
         for m in _WORD_FN[language].finditer(header):
@@ -69,7 +118,6 @@ def parse(text: str, language: str, found: list[Span] | None = None, plain: str
     for m in _BRACES.finditer(plain):
         c, at = m[0], m.start()
         if c == "{":
-            edge = max(edge, at - _HEADER)
             header = plain[edge:at]
             in_code = bool(stack) and stack[-1].kind != "type"
             kind, name, word = _classify(header, language, in_code)
