@@ -20,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: lines with this mark are passed over.
+#: Fixed value: lines with this mark are passed over, unless a call names another.
 ALLOW = "cosm:allow-secret"
 #: Lines made for training. The model sees no table.
-N_EXAMPLES = 6_000
+N_EXAMPLES = 8_000
 
 #: Published forms of service tokens.
-_VENDOR = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[\w-]{10,}|AIza[\w-]{20,}|ya29\.[\w-]{20,}|[sr]k_(?:live|test)_\w{16,}|SG\.[\w-]{10,}\.[\w-]{10,}|npm_\w{20,}|hf_\w{20,}")
+_VENDOR = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[\w-]{10,}|AIza[\w-]{20,}|ya29\.[\w-]{20,}|[sr]k_(?:live|test)_\w{16,}|SG\.[\w-]{10,}\.[\w-]{10,}|npm_\w{20,}|hf_\w{20,}|(?:https:)?(?://)?hooks\.slack\.com/services/T\w{6,}/B\w{6,}/\w{16,}")
 _VENDOR_HEAD = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|AIza|ya29\.|[sr]k_live_|SG\.)\w*")
-#: Words of keys that hold secrets; words after them that make a key harmless.
-_SECRET = re.compile(r"(?i)secret|passw|passphrase|passwd|pwd|pass(?![a-z])|token|api_?key|access_?key|private_?key|signing_?key|credential|auth(?!or)|bearer")
+#: Words of keys that hold secrets; words after them that make a key harmless; calls that take a password by position.
+_SECRET = re.compile(r"(?i)secret|passw|passphrase|passwd|pwd|pass(?![a-z])|token|(?:api|access|private|signing|encryption|decryption|client|account|master|storage|service|server|shared|license|licence|consumer|deploy|webhook|session|admin|root|aes|des|hmac|rsa|ssh|host|sas)[-_.]?key|credential|auth(?!or)|bearer|connection_?string")
+_LOGIN = re.compile(r"(?i)(?:^|[^a-z])(?:connect|log_?in|sign_?in|log_?on|authenticate|set_?credentials|basic_?auth|create_?user|http_?basic|open_?session)$|(?:connect|login|logIn|signIn|logon|authenticate|[cC]redentials|basicAuth|BasicAuth|createUser)$")
 _HARMLESS = re.compile(r"(?i)(?:length|len|label|table|path|file|name|url|uri|host|count|size|min|max|ttl|expiry|expires|policy|hint|field|column|type|title|placeholder|limit|digest|hash|checksum|regex|pattern|version|prompt|message|format)s?$")
 _PLACE = re.compile(r"(?i)^(?:\$\{?[\w.:-]*\}?|\$\([^)]*\)|<[^<>]*>|\{\{.*\}\}|%\w+%|#\{.*\}|\*+|x{3,}|\.{3,}|_+|-+|null|none|nil|undefined|true|false|\[?(?:redacted|masked|hidden|filtered|secret|removed)\]?)$|changeme|change[-_ ]?me|dummy|example|placeholder|redacted|your[-_ ]|^todo|^test(?:ing)?$|^(?:secret|password|token)(?:-(?:token|password|value|here))?$|^s3cr3t$|insert[-_ ]|sample|\bfake|xxxx|\*{4,}|not[-_ ]?set|not-a-")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?)(PRIVATE|PUBLIC) KEY(?: BLOCK)?-----|-----BEGIN (CERTIFICATE[A-Z ]*|[A-Z0-9 ]+)-----")
@@ -37,10 +38,12 @@ _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _USERINFO = re.compile(r"(?<=://)([^\s/@:'\"<>]*):([^\s/@'\"]+)@")
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|\\[nrt\"']|\S")
 _SEGMENT = re.compile(r'\\"((?:(?!\\").)*)\\"|"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\.)*)\'|`([^`]*)`|([^\s"\'`,;(){}=<>\[\]:]+(?:[=:]+(?=[^\s"\'`,;(){}<>\[\]]*:)[^\s"\'`,;(){}<>\[\]]*)?=*)')
-#: Every word of _SECRET, in any spelling, and those that name a secret without a key.
-_CAND_WORD = re.compile(_SECRET.pattern.replace("_?", "[-_]?") + "|signing|identified|basic ")
+#: Signs of which every line has one that the field is asked about: any word of _SECRET or _LOGIN in any spelling, and words that name a secret without a key.
+_CAND_WORD = re.compile(_SECRET.pattern.replace("_?", "[-_]?") + r"|signing|identified|basic |connect\w*[\"']?\(|log[-_]?(?:in|on)\b|sign[-_]?in\b|create_?user|authenticate|netrc|\bmachine |hooks\.slack\.com|(?:^|\s)(?:-u|--user)[ =]\S+:")
 _DIGIT = re.compile(r"\d")
-_CAND_SHAPE = re.compile(r"-----BEGIN|://[^\s/@:]*:[^\s/@]+@|[A-Za-z0-9+/_-]{16,}={0,2}|\b(?:AKIA|ASIA|AIza|xox[abeprs]-|gh[pousr]_|glpat-|ya29\.|[sr]k_live_|SG\.|eyJ)\w*")
+_CAND_SHAPE = re.compile(r"-----BEGIN|://[^\s/@:]*:[^\s/@]+@|[A-Za-z0-9+/_-]{16,}={0,2}|\b(?:AKIA|ASIA|AIza|xox[abeprs]-|gh[pousr]_|glpat-|ya29\.|[sr]k_live_|SG\.|eyJ)\w*|(?<![\w!#$%&*?@^~+-])(?=[\w!#$%&*?@^~+-]*[!#$%&*?@^~])(?=[\w!#$%&*?@^~+-]*\d)(?=[\w!#$%&*?@^~+-]*[A-Za-z])[\w!#$%&*?@^~+-]{8,}")
+#: Words that no passphrase of words is made of, but sentences are.
+_SENTENCE = frozenset("a an the is are was be to of for in on at by with and or not no your you my our this that it its must should can may will please enter use".split())
 
 
 def _turns(s: str) -> float:
@@ -72,6 +75,9 @@ def kind_of(s: str) -> str:
     if re.fullmatch(r"[-+]?[\d.,:]+", t):
         return "number"
     if " " in t:
+        words = t.split(" ")
+        if 3 <= len(words) <= 10 and all(w.isalpha() and w.islower() for w in words) and not _SENTENCE.intersection(words):
+            return "words"
         return "prose" if len(re.findall(r"[A-Za-z]{2,}", t)) >= 2 else "phrase"
     if "://" in t:
         return "url"
@@ -107,14 +113,76 @@ def _key_state(key: str | None) -> str:
 
 
 _ASSIGN = re.compile(r"\s*[=:]")
-_CALL = re.compile(r"([\w.]+)\s*\(\s*$")
-_LAST_KEY = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\\]*\s*(=>|:=|==|[=:,]|\bIS\b|\bBY\b)?\s*(?:[\"'\\({\[]|new\s+\w+\()*\s*$")
+#: Names of attributes that hold what another attribute names.
+_VALUE_NAMES = frozenset(("value", "Value", "val", "default", "text"))
+_KEY = frozenset(string.ascii_letters + string.digits + "_$.-")
+_DELIMS = ("=>", ":=", "==", "=", ":", ",")
 
 
-def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
-    """Tokens of a line and their features. ``context`` is the name the whole text is a value of; ``pem`` says which key block the line is in."""
+def _back(line: str, at: int, chars: frozenset | None) -> int:
+    """Where the run of ``chars`` (of word characters where None) that ends at ``at`` begins."""
+    if chars is None:
+        while at and (line[at - 1].isalnum() or line[at - 1] == "_"):
+            at -= 1
+    else:
+        while at and line[at - 1] in chars:
+            at -= 1
+    return at
+
+
+def _solid(line: str, at: int) -> int:
+    """``at`` without the white space in front of it."""
+    while at and line[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _lead(line: str, at: int) -> tuple[str | None, str, str]:
+    """(key, delimiter, call) in front of position ``at``: openers and constructors are passed over, then a delimiter, closing quotes and the key's name.
+
+    Reads backward over what it passes over only, so a line costs time in proportion to its length.
+    """
+    i = _solid(line, at)
+    call = ""
+    if line[i - 1:i] == "(":
+        j = _solid(line, i - 1)
+        call = line[_back(line, j, None):j]
+    while i:
+        c = line[i - 1]
+        if c in "\"'\\({[":
+            i -= 1
+            if c == "(":
+                w = _back(line, i, None)
+                v = _solid(line, w)
+                if w < i and v < w and line.endswith("new", 0, v):
+                    i = v - 3
+        elif c.isspace():
+            i -= 1
+        else:
+            break
+    delim = " "
+    for d in _DELIMS:
+        if line.endswith(d, 0, i):
+            delim, i = d, i - len(d)
+            break
+    else:
+        for d in ("IS", "BY"):
+            if line.endswith(d, 0, i) and line[i - 3:i - 2].isspace():
+                delim, i = d, i - 2
+                break
+    i = _solid(line, i)
+    while i and line[i - 1] in "\"'\\":
+        i -= 1
+    a = _back(line, i, _KEY)
+    while a < i and not (line[a].isalpha() or line[a] in "_$"):
+        a += 1
+    return (line[a:i] if a < i else None), delim if a < i else "", call
+
+
+def _segments(line: str, context: str | None) -> list[tuple[int, int, str, str, str, str, str]]:
+    """The literals and words of a line: start, stop, kind, key state, delimiter, call, word before."""
     segs: list[tuple[int, int, str, str, str, str, str]] = []  # start, stop, kind, key state, delimiter, call, word before
-    key, seen_key = None, False
+    key, seen_key, told = None, False, False
     prev_word = ""
     ctx = _key_state(context) if context else "none"
     for m in _SEGMENT.finditer(line):
@@ -124,16 +192,13 @@ def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
         if hi <= lo:
             continue
         quoted = g < 5
-        before = line[max(0, m.start() - 200):m.start()]
-        k = _LAST_KEY.search(before[-90:])
-        delim = (k[2] or " ") if k else ""
-        named = k[1] if k else None
-        call = _CALL.search(before)
+        named, delim, call = _lead(line, m.start())
         state = _key_state(named) if named else "none"
-        if state in ("none", "plain") and key and before.rstrip()[-1:] in ("=", ":", ",", "(", ">", "'", '"', "\\"):
-            state = _key_state(key) if _key_state(key) == "secret" and delim in (",", "(") else state
-        if not seen_key and state == "none" and ctx != "none" and not _SECRET.search(before):
+        if state in ("none", "plain") and key and line[(e := _solid(line, m.start())) - 1:e] in ("=", ":", ",", "(", ">", "'", '"', "\\"):
+            state = _key_state(key) if _key_state(key) == "secret" and (delim in (",", "(") or delim in ("=", ":") and named in _VALUE_NAMES) else state
+        if not seen_key and state == "none" and ctx != "none" and not told:
             state, delim = ctx, "ctx"
+        told = told or bool(_SECRET.search(s))
         parts = []
         for u in _USERINFO.finditer(s):
             sub = u[2]
@@ -167,36 +232,59 @@ def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
                     inner_key = None
         else:
             kd = kind_of(s)
-            segs.append((lo, hi, kd, state, delim, call[1].lower()[-12:] if call else "", prev_word))
+            segs.append((lo, hi, kd, state, delim, "login" if _LOGIN.search(call) else call.lower()[-12:], prev_word))
         if re.search(r"[A-Za-z]", s) and kind_of(s) in ("ident", "ident_digit", "dotted"):
             if _SECRET.search(s):
                 key = s
-            elif not quoted and _ASSIGN.match(line, m.end()):
+            elif not quoted and s not in _VALUE_NAMES and _ASSIGN.match(line, m.end()):
                 key = None
         seen_key = seen_key or state == "secret"
         prev_word = s.lower()[:12]
-    tokens, feats, j = [], [], 0
-    prev_tok = ""
+    return segs
+
+
+def _segment_features(kd: str, st: str, dl: str, call: str, pw: str, first: bool, n: int) -> list[str]:
+    return [f"k={kd}", f"k={kd}|st={st}", f"st={st}|d={dl}", f"k={kd}|pw={pw}", f"k={kd}|call={call}" if call else "nocall", f"k={kd}|st={st}|d={dl}", f"first={first}|k={kd}", f"n={n}|k={kd}"]
+
+
+def _token_features(shape: str, before: str, pem: str, b64: bool) -> list[str]:
+    fs = ["b", f"t={shape}", f"pt={before}"]
+    return fs + [f"pem={pem}", f"pem={pem}|b64={b64}"] if pem else fs
+
+
+_B64 = re.compile(r"[A-Za-z0-9+/=]+")
+
+
+def _cut(line: str, context: str | None, pem: str) -> tuple[list[tuple[int, int]], list[tuple], list[tuple]]:
+    """(tokens, what _segment_features takes of each, or the mark outside of segments; what _token_features takes)."""
+    segs, j = _segments(line, context), 0
+    tokens, of, forms, before = [], [], [], ""
     for m in _TOKEN.finditer(line):
         a, b = m.span()
         t = m[0]
         while j < len(segs) and segs[j][1] <= a:
             j += 1
-        seg = segs[j] if j < len(segs) and segs[j][0] <= a else None
-        fs = ["b"]
-        if seg:
-            lo, hi, kd, st, dl, call, pw = seg
-            fs += [f"k={kd}", f"k={kd}|st={st}", f"st={st}|d={dl}", f"k={kd}|pw={pw}", f"k={kd}|call={call}" if call else "nocall", f"k={kd}|st={st}|d={dl}", f"first={a == lo}|k={kd}", f"n={min((hi - lo) // 8, 6)}|k={kd}"]
+        word = t[0].isalnum()
+        if j < len(segs) and segs[j][0] <= a:
+            lo, hi, kd, st, dl, call, pw = segs[j]
+            of.append((kd, st, dl, call, pw, a == lo, min((hi - lo) // 8, 6)))
         else:
-            fs += ["out", f"out={t[:1] if not t[:1].isalnum() else 'w'}"]
-        if pem:
-            fs += [f"pem={pem}", f"pem={pem}|b64={bool(re.fullmatch(r'[A-Za-z0-9+/=]+', t))}"]
-        fs.append(f"t={t if not t[0].isalnum() else ('A' if t.isupper() else 'a' if t.islower() else 'd' if t.isdigit() else 'm') + str(min(len(t) // 4, 5))}")
-        fs.append(f"pt={prev_tok if not prev_tok[:1].isalnum() else 'w'}")
-        prev_tok = t
+            of.append(("w" if word else t[:1],))
+        shape = ("A" if t.isupper() else "a" if t.islower() else "d" if t.isdigit() else "m") + str(min(len(t) // 4, 5)) if word else t
+        forms.append((shape, "w" if before[:1].isalnum() else before, pem, bool(pem) and bool(_B64.fullmatch(t))))
+        before = t
         tokens.append((a, b))
-        feats.append(fs)
-    return Line(tokens, feats)
+    return tokens, of, forms
+
+
+def line_features(line: str, context: str | None = None, pem: str = "") -> Line:
+    """Tokens of a line and their features. ``context`` is the name the whole text is a value of; ``pem`` says which key block the line is in."""
+    tokens, of, forms = _cut(line, context, pem)
+    return Line(tokens, [_of_features(o) + _token_features(*x) for o, x in zip(of, forms, strict=True)])
+
+
+def _of_features(o: tuple) -> list[str]:
+    return _segment_features(*o) if len(o) > 1 else ["out", f"out={o[0]}"]
 
 
 # ---- the field -------------------------------------------------------------------------------------------------
@@ -209,21 +297,44 @@ class Field:
         self.w = np.zeros((0, 2))
         self.trans = np.zeros((2, 2))
         self.start = np.zeros(2)
+        self._held: tuple[dict, dict] = ({}, {})
+
+    def _weight(self, kind: int, key: tuple) -> float:
+        """What the features of a segment (0) or a token (1) speak for label 1 over 0, remembered."""
+        held = self._held[kind]
+        x = held.get(key)
+        if x is None:
+            if len(held) > 100_000:
+                held.clear()
+            at = [i for f in (_of_features(key) if not kind else _token_features(*key)) if (i := self.index.get(f)) is not None]
+            x = held[key] = float((self.w[at, 1] - self.w[at, 0]).sum())
+        return x
+
+    def path(self, weights: list[float]) -> list[int]:
+        """The best labels of a line, by Viterbi, from what every token speaks for label 1 over 0."""
+        if not weights:
+            return []
+        (t00, t01), (t10, t11) = self.trans.tolist()
+        back, x0, x1 = [], *self.start.tolist()
+        x1 += weights[0]
+        for d in weights[1:]:
+            a, b, c, z = x0 + t00, x1 + t10, x0 + t01, x1 + t11
+            back.append((b > a, z > c))
+            x0, x1 = b if b > a else a, (z if z > c else c) + d
+        y = [int(x1 > x0)]
+        for p in reversed(back):
+            y.append(int(p[y[-1]]))
+        return y[::-1]
+
+    def label(self, line: str, context: str | None, pem: str) -> tuple[list[tuple[int, int]], list[int]]:
+        """(tokens, labels) of a line."""
+        tokens, of, forms = _cut(line, context, pem)
+        return tokens, self.path([self._weight(0, o) + self._weight(1, f) for o, f in zip(of, forms, strict=True)])
 
     def viterbi(self, features: list[list[str]]) -> list[int]:
-        if not features:
-            return []
+        """The labels of a line given as features."""
         at = [[i for f in fs if (i := self.index.get(f)) is not None] for fs in features]
-        e = np.array([self.w[i].sum(0) for i in at])
-        v, back = self.start + e[0], []
-        for x in e[1:]:
-            s = v[:, None] + self.trans
-            back.append(s.argmax(0))
-            v = s.max(0) + x
-        y = [int(v.argmax())]
-        for b in reversed(back):
-            y.append(int(b[y[-1]]))
-        return y[::-1]
+        return self.path([float((self.w[i, 1] - self.w[i, 0]).sum()) for i in at])
 
     def fit(self, lines: list[tuple[list[list[str]], list[int]]], *, least: int = 3, epochs: int = 6, l2: float = 2e-6, batch: int = 128, seed: int = 3) -> Field:
         """Conditional likelihood by AdaGrad over batches of lines of like length."""
@@ -284,7 +395,8 @@ class Field:
 # ---- training lines ---------------------------------------------------------------------------------------------
 
 _NOUNS = "order invoice customer report ledger account stock basket session mail printer garden river engine market library ticket sensor camera profile folder calendar weather bridge harbor station planet copper silver basil maple".split()
-_KEYS = "password passwd pwd pass db_pass dbPass secret client_secret clientSecret api_key apiKey apikey access_token accessToken auth_token authToken secret_key secretKey private_key signing_secret signingSecret passphrase smtp_password smtpPassword access_key accessKey refresh_token token credential webhookSecret".split()
+_KEYS = "password passwd pwd pass db_pass dbPass secret client_secret clientSecret api_key apiKey apikey access_token accessToken auth_token authToken secret_key secretKey private_key signing_secret signingSecret passphrase smtp_password smtpPassword access_key accessKey refresh_token token credential webhookSecret encryption_key encryptionKey client_key clientKey account_key master_key storageKey".split()
+_PLAIN = "correct horse battery staple purple monkey dish window copper kettle lantern velvet marble rocket pepper shadow winter orange turtle cactus violin thunder meadow pocket".split()
 _SCHEMES = "postgres mysql mongodb redis amqp https http smtp ftp jdbc:postgresql jdbc:mysql kafka ldap".split()
 
 
@@ -317,6 +429,14 @@ def _secret_value(r: random.Random, bare_ok: bool = False) -> str:
     return _rand(r, string.ascii_lowercase, 3, 6) + r.choice("!#@$") + _rand(r, string.digits, 3, 6) + _rand(r, string.ascii_uppercase, 1, 3)
 
 
+def _positional(r: random.Random) -> str:
+    """A password as people make them: words with digits and marks in many orders."""
+    a, b = r.choice(_NOUNS), r.choice(_PLAIN)
+    leet = a.translate(str.maketrans("aeiot", "431o7"))
+    return r.choice([lambda: a.capitalize() + _rand(r, string.digits, 2, 4) + r.choice("!#$%&*?"), lambda: leet.capitalize() + "-" + b.capitalize() + "-" + _rand(r, string.digits, 2, 3), lambda: leet + "&" + _rand(r, string.digits, 1, 3) + r.choice("xyz") + "!",
+                     lambda: _rand(r, _B62, 10, 16), lambda: b.capitalize() + "_" + _rand(r, string.digits, 4, 4) + "!" + a, lambda: _rand(r, string.ascii_letters, 3, 4) + r.choice("!@#") + _rand(r, _B62, 5, 8), lambda: "".join(r.choice([a, b]).capitalize() + r.choice("0123456789!-") for _ in range(3))])()
+
+
 def examples(n: int = N_EXAMPLES, seed: int = 11) -> list[tuple[str, str | None, str, list[tuple[int, int]]]]:
     """Made lines: (line, context, pem state, secret spans). Values are random; forms are those of common code, configuration and logs."""
     r = random.Random(seed)
@@ -343,8 +463,11 @@ def examples(n: int = N_EXAMPLES, seed: int = 11) -> list[tuple[str, str | None,
 
     keyed = ['String {k} = "{v}";', 'var {k} = "{v}";', 'val {k} = "{v}"', 'let {k} = "{v}";', "const {k} = '{v}';", 'private static final String {k} = "{v}";', '{k} = "{v}"', "{k} = '{v}'", "{k}: {v}", "{k}={v}", '"{k}": "{v}",', "'{k}' => '{v}',",
              'props.put("{k}", "{v}");', 'config.set("{k}", "{v}")', "+ export {k}={v}", "export {k}='{v}'", "DEBUG config{retries={n}, {k}={v}, {a}={b}}", "login {a} --{k} {v}", "warn login {a} --{k} {v}", "// old {k}: {v}", "// prod {k}: {v}", "# staging {k}: {v}", "-- {k}={v}", "/* {k} = {v} */",
-             "INSERT INTO settings_{a} (skey, sval) VALUES ('{k}', '{v}');", "COMMENT ON TABLE {a}_{b} IS 'loaded with {k} {v}';", 'String {a}Cfg = "{\\"{k}\\":\\"{v}\\"}";', 'let body = "{\\"user\\":\\"{a}\\",\\"{k}\\":\\"{v}\\"}"', "<{k}>{v}</{k}>", 'client.{k}("{v}")', 'builder.with("{a}").{k}("{v}");', "set {k} {v}", 'if ({k} == "{v}") {', "UPDATE users SET {k} = '{v}' WHERE id = {n};"]
+             "INSERT INTO settings_{a} (skey, sval) VALUES ('{k}', '{v}');", "COMMENT ON TABLE {a}_{b} IS 'loaded with {k} {v}';", 'String {a}Cfg = "{\\"{k}\\":\\"{v}\\"}";', 'let body = "{\\"user\\":\\"{a}\\",\\"{k}\\":\\"{v}\\"}"', "<{k}>{v}</{k}>", '<add key="{k}" value="{v}" />', '<property name="{k}" value="{v}"/>', "- name: {k}, value: {v}", 'client.{k}("{v}")', 'builder.with("{a}").{k}("{v}");', "set {k} {v}", 'if ({k} == "{v}") {', "UPDATE users SET {k} = '{v}' WHERE id = {n};"]
     unkeyed = ["ALTER ROLE {a}_{b} WITH LOGIN PASSWORD '{v}';", "CREATE USER {a}_app IDENTIFIED BY '{v}';", 'req.header("Authorization", "Bearer {v}");', "> curl -H 'Authorization: Bearer {v}' https://{a}.example/v1/{b}", 'headers["Authorization"] = "Bearer {v}"', "Authorization: Bearer {v}"]
+    login = ['db.connect("{a}", "{v}");', 'client.login("{b}", "{v}")', '{a}.signIn("{b}_{a}", "{v}");', "session.authenticate('{a}', '{v}')", 'conn = connect("{a}-{b}.example", "{b}", "{v}")', 'new BasicCredentials("{a}", "{v}");', 'mail.login(user="{a}", "{v}")', "{a}_{b}.log_in('{a}', '{v}')", "{A}.createUser('{a}', '{v}')"]
+    harmless_login = ['db.connect("{a}", {n});', 'client.login({a}, {b})', 'session.authenticate("{a}")', '{a}.connect("{a}-{b}.example", {n});', 'log.info("login of {a} {}", {b}{A});', 'client.login("{a}", getPass("{b}"))', '{a}.connect("{b}_{h}")', 'signIn("{a}", token);', 'db.connect("{a}", "${DB_PASS}");', 'client.login("{a}", "<password>")', 'queue.connect("{a}", "{b}")']
+    phrased = ['{k} = "{v}"', "{k}: '{v}'", '"{k}": "{v}",', '{k}="{v}"', 'String {k} = "{v}";', "const {k} = '{v}';"]
     form = ['client.use("{v}");', "'{v}'", '"{v}"', 'connect("{a}", "{v}")', "using {v} for {a}", 'var {a}{n} = "{v}";', "-- {v}"]
     urls = ['conn.open("{s}://{a}_{b}:{v}@{a}-{b}.example:{n}/{b}");', "remote: {s}://{a}:{v}@{b}.test:{n}/{a}", "/* dsn {s}://{a}_{b}:{v}@{b}.example:{n}/{a} */", "'{s}://{a}:{v}@{b}.invalid/{a}'", "DATABASE_URL={s}://{a}:{v}@{b}:{n}/{a}", 'let dsn = "{s}://{a}:{v}@{b}.example/{a}"']
     place = lambda k: r.choice(["changeme", "${" + k + "}", "<" + k + ">", "<password>", "********", "***", "xxxxxxxx", "[redacted]", "dummy-password", "your-" + k + "-here", "null", "secret-token", "example", "$" + k.upper(), "${DB_PASS}", "{{ " + k + " }}", "TODO", "test", "none", ""])
@@ -354,7 +477,24 @@ def examples(n: int = N_EXAMPLES, seed: int = 11) -> list[tuple[str, str | None,
     while len(out) < n:
         k = styled(r.choice(_KEYS))
         x = r.random()
-        if x < 0.26:
+        if x < 0.02:
+            if r.random() < 0.6:
+                put(r.choice(login), _positional(r), True)
+            else:
+                put(r.choice(harmless_login), "", False)
+        elif x < 0.035:
+            if r.random() < 0.6:
+                put(r.choice(phrased), " ".join(r.choice(_PLAIN) for _ in range(r.randint(3, 6))), True, k=r.choice(["passphrase", "passPhrase", "password", "key_passphrase", "sshPassphrase"]))
+            else:
+                put(r.choice(['{a} = "{v}"', 'label("{k}", "{v}")', 'log.info("{v}")', '{a}Name: "{v}"', 'String {a} = "{v}";', 'say("{v}");']), " ".join(r.choice(_PLAIN) for _ in range(r.randint(3, 6))), False, k=k)
+        elif x < 0.05:
+            kv = ["Server={a};Database={b};User Id=sa;Password={v};", "Server=tcp:{a}.example,1433;Uid={b};Pwd={v};Encrypt=true", "host={a} dbname={b} user={a} password={v}", "jdbc:postgresql://{a}.example/{b}?user={a}&password={v}", "AccountName={a};AccountKey={v};EndpointSuffix={b}.example", "machine {a}.example login {b} password {v}", "//{a}.example/:_authToken={v}", "curl -u {a}:{v} https://{b}.example/", "curl --user {b}:{v} {a}.example/{b}", "wget --user={a} --password={v} {b}", "mysql -h {a} -u root --password={v} {b}", "sshpass -p {v} ssh {a}@{b}.example"]
+            q = r.choice(["{0}", '"{0}"', "'{0}'", 'String {a}Dsn = "{0}";', "DSN={0}", 'dsn: "{0}"'])
+            v = _rand(r, _B62, 8, 24) if r.random() < 0.5 else _positional(r)
+            while ";" in v or "&" in v or "'" in v:
+                v = _rand(r, _B62, 8, 24)
+            put(q.replace("{0}", r.choice(kv)), v, True)
+        elif x < 0.26:
             v = _secret_value(r)
             put(r.choice(keyed), v, True, k=k)
         elif x < 0.32:
@@ -374,7 +514,7 @@ def examples(n: int = N_EXAMPLES, seed: int = 11) -> list[tuple[str, str | None,
             a = line.find('" + "') + 5
             spans.append((a, a + len(v) - c))
         elif x < 0.47:
-            put(r.choice(urls), r.choice([_rand(r, _B62, 10, 22), _secret_value(r)]).replace("/", "x").replace("@", "x").replace("#", "x").replace("?", "x"), True, s=r.choice(_SCHEMES))
+            put(r.choice(urls), r.choice([_rand(r, _B62, 6, 22), _positional(r), _secret_value(r)]).replace("/", "x").replace("@", "x").replace("#", "x").replace("?", "x"), True, s=r.choice(_SCHEMES))
         elif x < 0.49:
             put(r.choice(urls), r.choice(["${" + k + "}", "$PASS", "<password>", "****", "changeme", "%s", "{pw}"]), False, s=r.choice(_SCHEMES))
         elif x < 0.54:
@@ -426,7 +566,11 @@ def fitted() -> Field:
 # ---- whole texts --------------------------------------------------------------------------------------------------
 
 def _worth(text: str, context: str | None) -> set[int]:
-    """Starts of the lines that show any sign the field could act on; all other lines are outside by construction."""
+    """Starts of the lines with any sign of a credential, all of which the field labels.
+
+    A sign is a word of secrets or of logging in, user information in an address, a key block, the head of a known token, a mixed
+    run of 16 or more, or a run of letters, digits and marks as passwords have. A line with none of them holds plain words, numbers and short ids only.
+    """
     if context and _CAND_WORD.search(context):
         return {0} | {m.end() for m in re.finditer("\n", text)}
     out = {text.rfind("\n", 0, m.start()) + 1 for m in _CAND_WORD.finditer(text)}
@@ -446,7 +590,7 @@ class Finding:
     begins: bool
 
 
-def scan(text: str, context: str | None, field: Field) -> list[Finding]:
+def scan(text: str, context: str | None, field: Field, allow: str = ALLOW) -> list[Finding]:
     """Secret spans of a whole text, line by line; key blocks are followed across lines. Lines with the allow mark are passed over."""
     out: list[Finding] = []
     worth = _worth(text, context)
@@ -469,19 +613,18 @@ def scan(text: str, context: str | None, field: Field) -> list[Finding]:
             pem = here if not e or (b and e.start() < b.start()) else ""
             if not b and here == "private" and not e and not re.search(r"[A-Za-z0-9+/]{16,}|=|DEK-Info|Proc-Type|^\W*$", line):
                 here = pem = ""  # the block was cut off
-        if ALLOW in line:
+        if allow and allow in line:
             at += len(line) + 1
             continue
         if here or at in worth:
-            f = line_features(line, context, here)
-            y = field.viterbi(f.features)
+            tokens, y = field.label(line, context, here)
             i = 0
             while i < len(y):
                 if y[i]:
                     j = i
                     while j + 1 < len(y) and y[j + 1]:
                         j += 1
-                    a, z = f.tokens[i][0], f.tokens[j][1]
+                    a, z = tokens[i][0], tokens[j][1]
                     out.append(Finding(no, at + a, at + z, not (here == "private" and not (b and a <= b.end()))))
                     i = j
                 i += 1
@@ -508,14 +651,14 @@ def redacted(text: str, found: list[Finding]) -> str:
     return "".join(out)
 
 
-def _places(field: Field):
+def _places(field: Field, allow: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, nos, starts, stops, begins = [], [], [], [], []
             for rid, ctx, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if not text:
                     continue
-                for f in scan(text, ctx, field):
+                for f in scan(text, ctx, field, allow):
                     ids.append(rid)
                     nos.append(f.line_no)
                     starts.append(f.start)
@@ -526,26 +669,27 @@ def _places(field: Field):
     return go
 
 
-def _redact(field: Field):
+def _redact(field: Field, allow: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if text is None else redacted(text, scan(text, ctx, field)) for ctx, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            out = [None if text is None else redacted(text, scan(text, ctx, field, allow)) for ctx, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["record_id", "text"])
 
     return go
 
 
-def credential_places(df: DataFrame, record_id: Column, text: Column, context: Column | None = None) -> DataFrame:
+def credential_places(df: DataFrame, record_id: Column, text: Column, context: Column | None = None, *, allow: str = ALLOW) -> DataFrame:
     """record_id, line_no (1-based, split at \\n), start, stop (code points in the text), begins.
 
     ``begins`` is false on the later lines of a key block. ``context`` is a name the text is the value of. Null and empty texts
-    have no places; every line of every text is read, and lines are independent but for key blocks.
+    have no places. Every line of every text is read, and every line with a sign of a credential (see _worth) is labelled; lines are
+    independent but for key blocks. Lines with the mark ``allow`` are passed over.
     """
     ctx = F.lit(None).cast("string") if context is None else context
-    return df.select(record_id.cast("bigint"), ctx.alias("c"), text.alias("t")).mapInArrow(_places(fitted()), "record_id bigint, line_no int, start int, stop int, begins boolean")
+    return df.select(record_id.cast("bigint"), ctx.alias("c"), text.alias("t")).mapInArrow(_places(fitted(), allow), "record_id bigint, line_no int, start int, stop int, begins boolean")
 
 
-def without_credentials(df: DataFrame, record_id: Column, text: Column, context: Column | None = None) -> DataFrame:
+def without_credentials(df: DataFrame, record_id: Column, text: Column, context: Column | None = None, *, allow: str = ALLOW) -> DataFrame:
     """record_id, text: the same texts, found values starred out and all else unchanged; null stays null."""
     ctx = F.lit(None).cast("string") if context is None else context
-    return df.select(record_id.cast("bigint").alias("record_id"), ctx.alias("c"), text.alias("t")).mapInArrow(_redact(fitted()), "record_id bigint, text string")
+    return df.select(record_id.cast("bigint").alias("record_id"), ctx.alias("c"), text.alias("t")).mapInArrow(_redact(fitted(), allow), "record_id bigint, text string")
