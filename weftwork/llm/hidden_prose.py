@@ -1,15 +1,16 @@
 """Natural language in comments, literals and documentation.
 
 Whole texts are segmented by the character-level hidden Markov model of ``language``; of its Viterbi
-spans only those inside comments and literals count. A sentence's language is the state most of its
-letters are in; it counts from five words, or ten characters of Japanese or Chinese.
+spans only those inside comments and literals count, and they tell prose from code. The prose words of a sentence are
+decoded once more, word by word, by a Viterbi path over the languages (and none of them) whose emissions are those of the words' characters
+and in which a change costs MARGIN. A language counts from five words, or ten characters of Japanese or Chinese.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +18,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm.docpairs import _language, guess_language
-from weftwork.llm.language import CODE_STATE, STATES, codes, fold, model, viterbi
+from weftwork.llm.language import CODE_STATE, OTHER_STATE, STATES, codes, viterbi, words_model
 from weftwork.llm.prose import needs_repair, repaired
 from weftwork.llm.seed_texts import PROSE
 from weftwork.llm.syntax import spans
 
 LEAST_WORDS = 5
 LEAST_CHARS = 10
-MARGIN = 20.0
-WORD = 4.0
+#: Nats for a change of language within a sentence, for a further language in place of a main one, and a character's log probability in no known language.
+MARGIN = 30.0
+FURTHER_COST = 12.0
+NONE = -3.3
 _CHUNK = 400_000
+#: Characters whose scores are held at once.
+_SCORED = 60_000
+#: Languages told by their script.
+_SCRIPTS = (("el", 0x370, 0x400), ("he", 0x590, 0x600), ("ar", 0x600, 0x780), ("hi", 0x900, 0x980), ("th", 0xE00, 0xE80), ("ko", 0x1100, 0x1200), ("ko", 0xAC00, 0xD7B0))
 
 #: Parts that are no prose, blanked in place: inline tags and code, markup, links, paths, references, hashes, tags with their names.
-_NO_PROSE = re.compile(r"""(?x) \{@\w+[^{}\n]*\} | `[^`\n]*` | <(?:code|pre|tt)>[^<]{0,400}</(?:code|pre|tt)> | </?\w[^<>\n]{0,80}> | https?://\S+ | \b\w+\#\w+(?:\([^()\n]*\))?
+_NO_PROSE = re.compile(r"""(?x) \{@\w+[^{}\n]*\} | `[^`\n]*` | </?\w[^<>\n]*> | https?://\S+ | \b\w+\#\w+(?:\([^()\n]*\))?
  | (?<![\w/])(?:/[\w.{}?=&-]+){2,}/? | @(?:param|throws|exception|see|since|author|version|tparam|property|arg)\b[ \t]*[\w.\#<>()]*(?:[ \t]+\d[\d.]*)? | @[A-Za-z]\w*(?:\.\w+)*
  | :\w+(?:[ ]\w+)?:(?=\s) | \b[0-9a-fA-F]{7,}\b | \[v[\d.]+\] | \(\#\d+\)""")
+_CODE_TAG = re.compile(r"<(/?)(?:code|pre|tt)>")
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*+/|/{2,}!?|\*(?!\*)|--(?=[ \t]))|\*+/")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SPLIT = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\n\s*\n|\n(?=[ \t]*(?:[-*+•]|\d+[.)])[ \t])|[ \t]+[/|][ \t]+|\n(?=\S*[=;{}(\[]\S*)|(?<=[;{}])\s*\n")
@@ -55,82 +63,155 @@ def _sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
-@lru_cache(1)
-def _vocabulary() -> list[frozenset[str]]:
-    """The words of each state's seeds, with and without diacritics."""
-    return [frozenset(w for t in ([] if x == "code" else [PROSE[x], fold(PROSE[x])]) for w in re.findall(r"[^\W\d_]+", t.lower())) for x in STATES]
+@dataclass
+class _Sentence:
+    """A sentence of five words or more: where it stands, its words, which of them look like prose, and their states (CODE_STATE or not)."""
 
+    lo: int
+    text: str
+    words: list[re.Match]
+    plain: list[bool]
+    prose: list[bool]
+    languages: list[int] = field(default_factory=list)  # indices into Words.names, -1 for none
 
-def _score(s: str, words: list[str]) -> np.ndarray:
-    """Evidence for each state: its characters' log probability, and WORD nats for every word its seeds hold."""
-    return model().sentence_scores(codes(s), np.array([0]))[0] + WORD * np.array([sum(w in v for w in words) for v in _vocabulary()])
 
-
-def _settled(s: str, words: list[re.Match], langs: list[int]) -> list[int]:
-    """Word states of a sentence: the sentence's language by _score; a run of another state keeps it if it has five words and speaks for it by MARGIN nats."""
-    if all(x == CODE_STATE for x in langs):
-        return langs
-    low = [m[0].lower() for m in words]
-    first, last = words[0].start(), words[-1].end()
-    main = int(_score(s[first:last], low)[1:].argmax()) + 1
-    out = [main if x != CODE_STATE else x for x in langs]
-    runs: list[list[int]] = []
-    for i, x in enumerate(langs):
-        if x != CODE_STATE:
-            if runs and langs[runs[-1][-1]] == x:
-                runs[-1].append(i)
-            else:
-                runs.append([i])
-    for r in runs:
-        x = langs[r[0]]
-        if x != main and len(r) >= LEAST_WORDS:
-            p = _score(s[words[r[0]].start():words[r[-1]].end()], low[r[0]:r[-1] + 1])
-            if p[x] - p[main] >= MARGIN:
-                for i in r:
-                    out[i] = x
-    return out
+def _script(s: str) -> tuple[str, int] | None:
+    """(language, words) of a sentence mostly in one of _SCRIPTS."""
+    n: dict[str, int] = {}
+    for w in s.split():
+        for name, lo, hi in _SCRIPTS:
+            k = sum(lo <= ord(c) < hi for c in w)
+            if k:
+                n[name] = n.get(name, 0) + (k // 2 if name == "th" else 1)
+                break
+    best = max(n, key=lambda k: n[k], default=None)
+    return (best, n[best]) if best else None
 
 
-def _phrases(text: str, states: np.ndarray) -> dict[str, list[tuple[int, int, int]]]:
-    """language -> spans (start, stop, letters) of its sentences, from the states of the characters."""
-    out: dict[str, list[tuple[int, int, int]]] = {}
+def _candidates(text: str, states: np.ndarray, out: dict[str, list[tuple[int, int, int]]]) -> list[_Sentence]:
+    """The sentences to name a language for. Those of scripts that tell it go to ``out`` at once."""
+    found = []
     for lo, hi in _sentences(text):
         s = text[lo:hi]
+        other = int((states[lo:hi] == OTHER_STATE).sum())
+        if other >= LEAST_CHARS and (x := _script(s)) and x[1] >= LEAST_WORDS:
+            out.setdefault(x[0], []).append((lo, hi, other))
+        words = list(_LETTERS.finditer(s))
         chars = len(_CJ.findall(s))
-        if chars:
-            at = states[lo:hi]
-            mine = np.isin(at, _CJ_STATES)
-            if chars >= LEAST_CHARS and mine.sum() >= 0.5 * chars:
-                kana = len(re.findall(r"[぀-ヿ]", s))
-                out.setdefault("ja" if kana >= max(1, chars // 20) else "zh", []).append((lo, hi, chars))
-        words = [m for m in _LETTERS.finditer(s) if not _CJ.search(m[0])]
+        if chars >= LEAST_CHARS and np.isin(states[lo:hi], _CJ_STATES).sum() >= 0.5 * chars:
+            mine = [m for m in words if _CJ.search(m[0])]
+            found.append(_Sentence(lo, s, mine, [], []))  # no words are told apart: all of it counts
+        words = [m for m in words if not _CJ.search(m[0])]
         if len(words) < LEAST_WORDS:
             continue
         plain = [not _IDENT.search(s[max(m.start() - 1, 0):m.end() + 1]) for m in words]
-        langs = []
-        for m, p in zip(words, plain, strict=True):
-            n = np.bincount(states[lo + m.start():lo + m.end()], minlength=len(STATES))
-            langs.append(int(n.argmax()) if p else CODE_STATE)
-        langs = _settled(s, words, langs)
-        if sum(x != CODE_STATE for x in langs) < 3:
+        prose = [p and int(np.bincount(states[lo + m.start():lo + m.end()], minlength=len(STATES)).argmax()) not in (CODE_STATE, OTHER_STATE) for m, p in zip(words, plain, strict=True)]
+        if sum(prose) >= 3:
+            found.append(_Sentence(lo, s, words, plain, prose))
+    return found
+
+
+def _weigh(sentences: list[_Sentence]) -> None:
+    """Names the languages of all words: one pass over the characters of many sentences, then a Viterbi path for each."""
+    m, at = words_model(), 0
+    n, cj = len(m.names), [m.names.index("ja"), m.names.index("zh")]
+    while at < len(sentences):
+        to, size = at, 0
+        while to < len(sentences) and size < _SCORED:
+            size += len(sentences[to].text) + 1
+            to += 1
+        some = sentences[at:to]
+        total = np.concatenate([np.zeros((1, n)), np.cumsum(m.scores(codes(" " + " ".join(x.text for x in some))), axis=0, dtype=float)])
+        start = 1
+        for x in some:
+            lo = np.array([start + w.start() - 1 for w in x.words])  # a word's blank or mark before it belongs to it
+            hi = np.array([start + w.end() for w in x.words])
+            e = total[hi] - total[lo]
+            if not x.plain:
+                x.languages = [cj[int(e[:, cj].sum(0).argmax())]]
+            else:
+                e[:, cj] = -1e3
+                e[:, len(PROSE):] -= FURTHER_COST / len(x.words)
+                x.languages = _path(np.concatenate([e, NONE * (hi - lo)[:, None]], axis=1)[np.array(x.prose)], n)
+            start += len(x.text) + 1
+        at = to
+
+
+def _path(e: np.ndarray, none: int) -> list[int]:
+    """The best language of every word: a change costs MARGIN. ``none`` becomes -1."""
+    whole = e.sum(0)
+    best = int(whole.argmax())
+    if e.max(1).sum() - MARGIN <= whole[best]:  # no path with a change can do better
+        return [best if best != none else -1] * len(e)
+    v, back = e[0], []
+    for x in e[1:]:
+        top = int(v.argmax())
+        stay = v >= v[top] - MARGIN
+        back.append((stay, top))
+        v = np.where(stay, v, v[top] - MARGIN) + x
+    y = [int(v.argmax())]
+    for stay, top in reversed(back):
+        y.append(y[-1] if stay[y[-1]] else top)
+    return [k if k != none else -1 for k in reversed(y)]
+
+
+def _named(sentences: list[_Sentence], out: dict[str, list[tuple[int, int, int]]]) -> None:
+    """Adds language -> spans (start, stop, letters) of the sentences whose words were weighed."""
+    names = words_model().names
+    for x in sentences:
+        s, words = x.text, x.words
+        if not x.plain:
+            out.setdefault(names[x.languages[0]], []).append((x.lo, x.lo + len(s), len(_CJ.findall(s))))
             continue
+        rest = iter(x.languages)
+        langs = [next(rest) if p else None for p in x.prose]
         # a change of state costs several characters: plain words between or next to a language's own belong to it
         for order in (range(1, len(words)), range(len(words) - 2, -1, -1)):
             for i in order:
                 k = i - 1 if order.step > 0 else i + 1
                 a, z = sorted((words[i], words[k]), key=lambda m: m.start())
-                if plain[i] and langs[i] == CODE_STATE and langs[k] != CODE_STATE and not re.search(r"[^\s\d,:\-–'’\"()]", s[a.end():z.start()]):
+                if x.plain[i] and langs[i] is None and langs[k] is not None and not re.search(r"[^\s\d,:\-–'’\"()]", s[a.end():z.start()]):
                     langs[i] = langs[k]
-        for lang in set(langs) - {CODE_STATE}:
-            mine = [m for m, x in zip(words, langs, strict=True) if x == lang]
-            if len(mine) >= LEAST_WORDS and not (chars and lang in _CJ_STATES):
-                out.setdefault(STATES[lang], []).append((lo + mine[0].start(), lo + mine[-1].end(), sum(m.end() - m.start() for m in mine)))
+        for lang in set(langs) - {None, -1}:
+            mine = [m for m, k in zip(words, langs, strict=True) if k == lang]
+            if len(mine) >= LEAST_WORDS:
+                out.setdefault(names[lang], []).append((x.lo + mine[0].start(), x.lo + mine[-1].end(), sum(m.end() - m.start() for m in mine)))
+
+
+def _phrases_of(texts: list[tuple[str, np.ndarray]]) -> list[dict[str, list[tuple[int, int, int]]]]:
+    """For each (text, states of its characters): language -> spans (start, stop, letters) of its sentences."""
+    out: list[dict] = [{} for _ in texts]
+    found = [_candidates(t, st, o) for (t, st), o in zip(texts, out, strict=True)]
+    _weigh([x for f in found for x in f])
+    for f, o in zip(found, out, strict=True):
+        _named(f, o)
     return out
 
 
+def _phrases(text: str, states: np.ndarray) -> dict[str, list[tuple[int, int, int]]]:
+    return _phrases_of([(text, states)])[0]
+
+
+def _without_code(text: str) -> str:
+    """Marked-up code blanked, whatever it holds; a tag that is never closed is left to the other patterns."""
+    if "<" not in text:
+        return text
+    out, at, opened = [], 0, -1
+    for m in _CODE_TAG.finditer(text):
+        if not m[1] and opened < 0:
+            opened = m.start()
+        elif m[1] and opened >= 0:
+            out += [text[at:opened], re.sub(r"[^\n]", " ", text[opened:m.end()])]
+            at, opened = m.end(), -1
+    return "".join([*out, text[at:]])
+
+
+def _no_prose(text: str) -> str:
+    return _NO_PROSE.sub(_blank, _without_code(_MARKS.sub(_blank, text)))
+
+
 def _doc_text(text: str) -> str:
-    t = repaired(text)
-    return _NO_PROSE.sub(_blank, _MARKS.sub(_blank, t))
+    return _no_prose(repaired(text))
 
 
 _OUT = "record_id bigint, nat_lang string, n_phrases int, n_chars int, share double"
@@ -167,8 +248,8 @@ def _from_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(_doc_text(t))
         for lo, hi in _groups(texts):
             out = []
-            for rid, t, st in zip(ids[lo:hi], texts[lo:hi], viterbi(texts[lo:hi]), strict=True):
-                out += _summary(rid, _phrases(t, st), len(t))
+            for rid, t, found in zip(ids[lo:hi], texts[lo:hi], _phrases_of(list(zip(texts[lo:hi], viterbi(texts[lo:hi]), strict=True))), strict=True):
+                out += _summary(rid, found, len(t))
             yield _emit(out)
 
 
@@ -198,9 +279,9 @@ def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in _groups(texts):
             out = []
             extra: list[tuple[int, str]] = []
-            found: list[dict] = []
+            whose: list[int] = []
+            parts: list[tuple[str, np.ndarray]] = []
             for k, ((_, lang, t), st) in enumerate(zip(rows[lo:hi], viterbi(texts[lo:hi]), strict=True)):
-                mine: dict[str, list[tuple[int, int, int]]] = {}
                 for pieces in _regions(t, lang or guess_language(t)):
                     joined = "\n".join(t[a:z] for a, z in pieces)
                     if not joined.strip():
@@ -208,15 +289,14 @@ def _from_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if needs_repair(joined):
                         extra.append((k, joined))  # the text changes with its repair, so it is segmented anew
                         continue
-                    states = np.concatenate([np.concatenate([st[a:z], [0]]) for a, z in pieces])[:-1]
-                    for x, v in _phrases(_NO_PROSE.sub(_blank, _MARKS.sub(_blank, joined)), states).items():
-                        mine.setdefault(x, []).extend(v)
-                found.append(mine)
-            if extra:
-                clean = [_doc_text(j) for _, j in extra]
-                for (k, _), t, st in zip(extra, clean, viterbi(clean), strict=True):
-                    for x, v in _phrases(t, st).items():
-                        found[k].setdefault(x, []).extend(v)
+                    parts.append((_no_prose(joined), np.concatenate([np.concatenate([st[a:z], [0]]) for a, z in pieces])[:-1]))
+                    whose.append(k)
+            clean = [_doc_text(j) for _, j in extra]
+            parts += zip(clean, viterbi(clean), strict=True)
+            found: list[dict] = [{} for _ in rows[lo:hi]]
+            for k, mine in zip([*whose, *(k for k, _ in extra)], _phrases_of(parts), strict=True):
+                for x, v in mine.items():
+                    found[k].setdefault(x, []).extend(v)
             for (rid, _, t), mine in zip(rows[lo:hi], found, strict=True):
                 out += _summary(rid, mine, len(t))
             yield _emit(out)

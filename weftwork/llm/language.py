@@ -1,21 +1,25 @@
 """Character-level hidden Markov model of code and natural languages.
 
-States are code and one per language. A state emits a character given the two before it, from smoothed
+States are code, one per language, and one for letters of scripts that no seed has. A state emits a character given the two before it, from smoothed
 trigram counts of seed text; all text is lower-cased, and Latin seeds are counted with and without
 diacritics. Leaving a state costs the same everywhere, so a Viterbi step needs one maximum over the states.
+
+``Words`` is the same kind of model with four characters of context and further languages, for decoding sentences word by word.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-from weftwork.llm.seed_texts import CODE, PROSE
+from weftwork.llm.seed_texts import CODE, FURTHER, PROSE
 
-STATES = ("code", *PROSE)
+STATES = ("code", *PROSE, "other")
 CODE_STATE = 0
+OTHER_STATE = len(STATES) - 1
 _BITS = 17
 _SWITCH = np.float32(9.0)  # nats for a change of state: about the evidence of a word or two
 
@@ -53,7 +57,7 @@ def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _kind(c: np.ndarray) -> np.ndarray:
-    """Scripts, for characters no seed holds: 0 other, 1 Latin letter, 2 Cyrillic, 3 kana, 4 Han, 5 blank, 6 digit, 7 punctuation of code."""
+    """Scripts, for characters no seed holds: 0 other, 1 Latin letter, 2 Cyrillic, 3 kana, 4 Han, 5 blank, 6 digit, 7 punctuation of code, 8 letters of further scripts."""
     k = np.zeros(len(c), np.int64)
     k[((c >= 97) & (c <= 122)) | ((c >= 0xC0) & (c < 0x250))] = 1
     k[(c >= 0x400) & (c < 0x530)] = 2
@@ -62,6 +66,7 @@ def _kind(c: np.ndarray) -> np.ndarray:
     k[c == 32] = 5
     k[c == 48] = 6
     k[np.isin(c, [ord(x) for x in "{}[]();=<>_/\\|#@$&*+\"^~"])] = 7
+    k[(c >= 0x370) & (c < 0x400) | (c >= 0x530) & (c < 0x1400) | (c >= 0xAC00) & (c < 0xD7B0)] = 8
     return k
 
 
@@ -72,8 +77,11 @@ class Model:
         n = len(STATES)
         size = 1 << _BITS
         t3, t2, t1 = (np.zeros((size, n), np.float32) for _ in range(3))
-        scripts = np.zeros((8, n))
+        scripts = np.zeros((9, n))
         for s, name in enumerate(STATES):
+            if name == "other":
+                scripts[[8, 5, 0], s] = 600, 120, 30
+                continue
             texts = [CODE] if name == "code" else [PROSE[name]]
             if name not in ("code", "ru", "ja", "zh", "en"):
                 texts.append(fold(PROSE[name]))
@@ -104,7 +112,7 @@ class Model:
         h3, h2, h1 = _hash(a, b, c), _hash(zero, b, c), _hash(zero, zero, c)
         c2, c1 = t2[_hash(zero, a, b)], t1[_hash(zero, zero, b)]
         # a script's share, spread over its characters, stands in for unseen characters
-        spread = np.array([60, 60, 40, 80, 2500, 1, 1, 20], np.float32)
+        spread = np.array([60, 60, 40, 80, 2500, 1, 1, 20, 60], np.float32)
         k = _kind(c)
         p0 = (self.script[k] / spread[k][:, None]).astype(np.float32)
         p1 = (t1[h1] + 2.0 * p0) / (self.total + 2.0)
@@ -118,7 +126,7 @@ class Model:
         if self._cache is None:
             t3, t2, t1 = self.counts
             out = np.full(t3.shape, np.log(2e-4), np.float32)
-            for name in STATES:
+            for name in STATES[:-1]:
                 for t in ([CODE] if name == "code" else [PROSE[name], fold(PROSE[name])]):
                     c = codes(t)
                     b = np.concatenate([[np.uint32(32)], c[:-1]])
@@ -133,7 +141,7 @@ class Model:
         a = np.concatenate([[np.uint32(32)], b[:-1]])
         han = _kind(c)
         e = self.table()[_hash(a, b, c)]
-        odd = (han >= 2) & (han <= 4)
+        odd = (han >= 2) & (han <= 4) | (han == 8)
         if odd.any():  # other scripts: the script decides
             e[odd] = np.log(self.script[han[odd]]).astype(np.float32)
         return np.add.reduceat(e, starts, axis=0)
@@ -144,6 +152,56 @@ def model() -> Model:
     return Model()
 
 
+class Words:
+    """Log probabilities of characters given the four before them, by language, the further ones included."""
+
+    names = (*PROSE, *FURTHER)
+    _bits, _order, _pull = 18, 5, (2.0, 3.0, 3.0, 2.5, 2.0)
+
+    def __init__(self) -> None:
+        n = len(self.names)
+        self.counts = [np.zeros((1 << self._bits, n), np.float32) for _ in range(self._order)]
+        scripts = np.zeros((9, n))
+        for s, name in enumerate(self.names):
+            seed = PROSE.get(name) or FURTHER[name]
+            texts = [seed] if name in ("ru", "uk", "ja", "zh", "en") else [seed, fold(seed), *([_umlauts(seed)] if name == "de" else [])]
+            for t in texts:
+                c = codes(t)
+                c = c[~((c == 32) & (np.concatenate([[0], c[:-1]]) == 32))]
+                for table, h in zip(self.counts, self._slots(c), strict=True):
+                    np.add.at(table, (h, s), 1)
+                np.add.at(scripts, (_kind(c), s), 1)
+        self.total = self.counts[0].sum(0)
+        self.script = (scripts + 0.02) / (scripts + 0.02).sum(0)
+
+    def _slots(self, c: np.ndarray) -> Iterator[np.ndarray]:
+        """For every order the slot of the n-gram that ends at each character."""
+        padded = np.concatenate([np.full(self._order, 32, np.uint64), c.astype(np.uint64)])
+        x = np.zeros(len(c), np.uint64)
+        for k in range(self._order):
+            x = x * np.uint64(0x9E3779B97F4A7C15) + padded[self._order - k:len(padded) - k] + np.uint64(k + 1)
+            y = x ^ (x >> np.uint64(29))
+            y = y * np.uint64(0xBF58476D1CE4E5B9)
+            yield (y >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def scores(self, c: np.ndarray) -> np.ndarray:
+        """[len(c), languages]."""
+        k = _kind(c)
+        spread = np.array([60, 60, 40, 80, 2500, 1, 1, 20, 60], np.float32)
+        p = (self.script[k] / spread[k][:, None]).astype(np.float32)
+        before = self.total
+        for table, h, a in zip(self.counts, self._slots(c), self._pull, strict=True):
+            t = table[h]
+            p = (t + np.float32(a) * p) / (before + np.float32(a))
+            before = np.concatenate([np.zeros_like(t[:1]), t[:-1]])
+        return np.log(p)
+
+
+@lru_cache(1)
+def words_model() -> Words:
+    return Words()
+
+
 #: Cells (characters by texts by states) whose emissions are held at once.
 _BLOCK_CELLS = 6_000_000
 

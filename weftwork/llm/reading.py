@@ -90,7 +90,7 @@ def _vocabulary() -> np.ndarray:
     """[slots, languages]: which languages' seeds hold a word."""
     out = np.zeros((1 << _BITS, len(STATES) - 1), np.int8)
     for k, name in enumerate(STATES[1:]):
-        for t in (PROSE[name], fold(PROSE[name])):
+        for t in (PROSE[name], fold(PROSE[name])) if name in PROSE else ():
             out[_word_slots(codes(t))[0], k] = 1
     return out
 

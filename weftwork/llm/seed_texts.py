@@ -21,6 +21,8 @@ Bitte stellen Sie sicher, dass alle Einstellungen geladen wurden, bevor Sie das
 Man hat beschlossen, dass die alten Namen mindestens zwei Jahre lang erhalten bleiben, obwohl sie von der neuen Schnittstelle nicht mehr benutzt werden. Die meisten Leute werden diese Warnung nie sehen. Was dann geschieht, wird unten beschrieben.
 Sie öffnete die Tür und sah die Briefe auf dem Tisch. Die Kinder spielten draußen, und niemand hatte ihnen von dem Sturm erzählt, der aus dem Norden kam. Er konnte sich nicht erinnern, wer ihm das Buch gegeben hatte.
 Erzeugt ein neues Objekt und fügt es der Liste hinzu, falls es noch nicht vorhanden ist. Entfernt alles, was seit der letzten Aktualisierung nicht verwendet wurde. Prüft, ob beide Seiten dieselbe Version haben. Liest die erste Zeile der Eingabe und wartet auf weitere.
+Der Abgleich durchsucht alle Verzeichnisse, überträgt fehlende Einträge und übergeht veraltete Stände. Ein übergeordneter Schlüssel sperrt jeden Zweig, bis die Prüfung abgeschlossen ist; danach läuft der Vergleich von der Wurzel zu den Blättern weiter. Jüngere Fassungen überschreiben ältere, sofern beide gültig sind.
+Während der Überprüfung bleiben übernommene Änderungen sichtbar. Das Gerät schreibt Zwischenstände in ein Protokoll, durchläuft sämtliche Knoten des Baumes und vergleicht ihre Prüfsummen. Fällt das Netz aus, verwirft der Empfänger unvollständige Blöcke und beginnt später von vorn.
 der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei gegen vom können schon wenn habe seine ihre dann unter wir soll ich eines jahr zwei diese dieser wieder keine uhr seiner worden will zwischen immer was sagte gibt alle seit muss doch jetzt waren drei mir damit bereits auch ob weil
 """,
     "fr": """
@@ -30,6 +32,8 @@ Veuillez vous assurer que tous les réglages ont été chargés avant de lancer
 On a décidé que les anciens noms seraient conservés pendant au moins deux ans, bien qu'ils ne soient plus utilisés par la nouvelle interface. La plupart des gens ne verront jamais cet avertissement. Ce qui se passe alors est décrit ci-dessous.
 Elle ouvrit la porte et regarda les lettres posées sur la table. Les enfants jouaient dehors, et personne ne leur avait parlé de la tempête qui venait du nord. Il ne se souvenait plus de celui qui lui avait donné le livre.
 Crée un nouvel objet et l'ajoute à la liste sauf s'il existe déjà. Retire tout ce qui n'a pas servi depuis la dernière mise à jour. Vérifie que les deux côtés ont la même version. Lit la première ligne de l'entrée, puis attend la suite.
+La configuration par défaut reste valable tant que la vérification des signatures n'a pas échoué. Les versions précédentes refusent toute demande invalide; sans autorisation explicite, une opération est rejetée et les informations restent masquées. Le gestionnaire accepte une extension, valide la structure puis applique la modification demandée.
+Chaque requête possède une durée maximale, une priorité et une destination; la fonction de comparaison ignore les différences de ponctuation. Sans réponse du service distant, la tâche refuse de continuer et signale une exception. Les notifications sont transmises dans l'ordre de création, même si une ancienne copie existe encore quelque part.
 de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la mais comme ou si leur y dont aux avec cette ces ses été être ont elle nous vous fait son sa même aussi entre bien peut tous après sans deux où tout ils encore autre depuis avant très sous donc contre jusque chez lors quand faire cela toute aucun chaque lorsque puis afin ainsi car moins
 """,
     "es": """
@@ -125,3 +129,55 @@ https://host-name.example/v2/items/8fa31c?page=3 /usr/local/share/data/config.js
 def load(path, limit=10): return [x for x in open(path) if len(x) > limit]  import os, sys  export PATH=/usr/bin:$PATH  $ make -j8 install
 pageStore.openSlot(cursor, 9) ReadBlockHandler WriteAheadLog getOrDefault setPageCount page_count_max block_index_of x1 y2 tmp3 i j k fn fun func let var val return if else while for struct impl match
 """
+
+#: Shorter seeds of further languages, told apart sentence by sentence only.
+FURTHER: dict[str, str] = {
+    "sv": """
+Den här funktionen returnerar antalet element som fortfarande väntar i kön. Om anslutningen stängs innan svaret kommer skickas begäran igen efter en kort paus. Användaren får inte ändra värdet medan tjänsten körs, eftersom andra delar av systemet beror på det.
+Vi behåller en kopia av varje meddelande så att ingenting går förlorat när servern stannar. Se till att alla inställningar har lästs in innan du startar programmet. Hon öppnade dörren och såg breven på bordet. Barnen lekte utanför och ingen hade berättat för dem om stormen.
+Skapar ett nytt objekt och lägger till det i listan om det inte redan finns. Filen låses inte när bara en process skriver till den. Läser första raden och väntar sedan på mer.
+och att det som en på är av för med den till inte om ett har de jag var men så från vi kan när han nu sig eller hur alla ska skulle mycket också bara under mot där efter någon något vara blir alltid innan mellan utan denna dessa
+""",
+    "da": """
+Denne funktion returnerer antallet af elementer, der stadig venter i køen. Hvis forbindelsen lukkes, før svaret kommer, sendes anmodningen igen efter en kort pause. Brugeren må ikke ændre værdien, mens tjenesten kører, fordi andre dele af systemet afhænger af den.
+Vi gemmer en kopi af hver besked, så intet går tabt, når serveren stopper. Sørg for, at alle indstillinger er blevet indlæst, før du starter programmet. Hun åbnede døren og så brevene på bordet. Børnene legede udenfor, og ingen havde fortalt dem om stormen.
+Opretter et nyt objekt og føjer det til listen, hvis det ikke allerede findes. Filen bliver ikke låst, når kun én proces skriver i den. Læser den første linje og venter derefter på mere.
+og at det er en til på som for med den af ikke der de har et jeg var han men fra vi kan når så sig eller hvor alle skal ville meget også kun under mod efter noget nogen være bliver altid før mellem uden denne disse hvad hvis
+""",
+    "fi": """
+Tämä funktio palauttaa jonossa vielä odottavien alkioiden määrän. Jos yhteys suljetaan ennen kuin vastaus saapuu, pyyntö lähetetään uudelleen lyhyen tauon jälkeen. Käyttäjä ei saa muuttaa arvoa palvelun ollessa käynnissä, koska muut järjestelmän osat riippuvat siitä.
+Säilytämme kopion jokaisesta viestistä, jotta mitään ei katoa palvelimen pysähtyessä. Varmista, että kaikki asetukset on ladattu ennen ohjelman käynnistämistä. Hän avasi oven ja katsoi pöydällä olevia kirjeitä. Lapset leikkivät ulkona eikä kukaan ollut kertonut heille myrskystä.
+Luo uuden olion ja lisää sen luetteloon, jos sitä ei vielä ole. Tiedostoa ei lukita, kun vain yksi prosessi kirjoittaa siihen. Lukee ensimmäisen rivin ja odottaa sitten lisää.
+ja on ei se että oli hän joka mutta kun niin myös tai sen ovat kuin voi mitä jos vain nyt hänen ole jo kaikki siitä sitä minun mukaan ennen jälkeen kanssa ilman aina vielä tämän tässä
+""",
+    "tr": """
+Bu işlev kuyrukta hâlâ bekleyen öğelerin sayısını döndürür. Yanıt gelmeden önce bağlantı kapanırsa istek kısa bir aradan sonra yeniden gönderilir. Hizmet çalışırken kullanıcı bu değeri değiştirmemelidir, çünkü sistemin diğer bölümleri ona bağlıdır.
+Sunucu durduğunda hiçbir şey kaybolmasın diye her iletinin bir kopyasını saklıyoruz. Programı başlatmadan önce bütün ayarların yüklendiğinden emin olun. Kapıyı açtı ve masanın üzerindeki mektuplara baktı. Çocuklar dışarıda oynuyordu ve kimse onlara fırtınadan söz etmemişti.
+Yeni bir nesne oluşturur ve henüz yoksa listeye ekler. Yalnızca tek bir süreç yazıyorsa dosyayı kilitlemek gerekmez. İlk satırı okur, sonra devamını bekler.
+ve bir bu da de için ile çok ne o daha gibi kadar olarak sonra ama var değil her en olan ya ki mi ben sen biz siz onlar şey önce bütün hiç nasıl neden çünkü ancak veya ise eğer yok olur oldu
+""",
+    "cs": """
+Tato funkce vrací počet prvků, které ještě čekají ve frontě. Pokud se spojení uzavře dříve, než přijde odpověď, požadavek se po krátké přestávce odešle znovu. Uživatel nesmí měnit hodnotu, když služba běží, protože na ní závisí jiné části systému.
+Uchováváme kopii každé zprávy, aby se nic neztratilo, když se server zastaví. Ujistěte se, že všechna nastavení byla načtena před spuštěním programu. Otevřela dveře a podívala se na dopisy na stole. Děti si hrály venku a nikdo jim neřekl o bouři.
+Vytvoří nový objekt a přidá jej do seznamu, pokud ještě neexistuje. Soubor není třeba zamykat, pokud do něj zapisuje jen jeden proces. Přečte první řádek a potom čeká na další.
+a se v na je že o s z do i to k ve pro za by ale si po jako byl jsou od nebo jeho tak který být bylo jen podle již než která jsem může až při když ještě před také mezi kde více však jejich není musí
+""",
+    "uk": """
+Ця функція повертає кількість елементів, які ще чекають у черзі. Якщо з'єднання закриється до того, як надійде відповідь, запит буде надіслано знову після короткої паузи. Користувач не повинен змінювати значення, поки служба працює, бо від нього залежать інші частини системи.
+Ми зберігаємо копію кожного повідомлення, щоб нічого не загубилося, коли сервер зупиниться. Переконайтеся, що всі налаштування завантажено, перш ніж запускати програму. Вона відчинила двері й подивилася на листи, що лежали на столі. Діти гралися надворі, і ніхто не розповів їм про бурю.
+Створює новий об'єкт і додає його до списку, якщо його там ще немає. Не потрібно блокувати файл, якщо в нього пише лише один процес. Читає перший рядок, а потім чекає на решту.
+і в не на що з та до як у це за від є його але вони який якщо для про був через лише ще або ми ви їх так вже коли після між без може щоб бути тому також під час цього всі
+""",
+    "ro": """
+Această funcție întoarce numărul elementelor care încă așteaptă în coadă. Dacă legătura se închide înainte să sosească răspunsul, cererea este trimisă din nou după o scurtă pauză. Utilizatorul nu trebuie să schimbe valoarea cât timp serviciul rulează, pentru că alte părți ale sistemului depind de ea.
+Păstrăm o copie a fiecărui mesaj ca să nu se piardă nimic atunci când serverul se oprește. Asigurați-vă că toate setările au fost încărcate înainte de a porni programul. Ea a deschis ușa și s-a uitat la scrisorile de pe masă. Copiii se jucau afară și nimeni nu le spusese despre furtună.
+Creează un obiect nou și îl adaugă în listă dacă nu există deja. Nu este nevoie să blocați fișierul când un singur proces scrie în el. Citește primul rând și apoi așteaptă restul.
+și de în a la cu nu pe care că o este să din se un mai pentru sunt fi ce au al fost dar sau ca după lui ei său prin dacă între fără această acest toate când doar foarte încă până
+""",
+    "hu": """
+Ez a függvény visszaadja a sorban még várakozó elemek számát. Ha a kapcsolat a válasz megérkezése előtt bezárul, a kérést egy rövid szünet után újra elküldjük. A felhasználó nem változtathatja meg az értéket, amíg a szolgáltatás fut, mert a rendszer más részei függnek tőle.
+Minden üzenetről megőrzünk egy másolatot, hogy semmi ne vesszen el, amikor a kiszolgáló leáll. Győződjön meg arról, hogy minden beállítás betöltődött, mielőtt elindítja a programot. Kinyitotta az ajtót, és megnézte az asztalon fekvő leveleket. A gyerekek kint játszottak, és senki sem beszélt nekik a viharról.
+Létrehoz egy új objektumot, és hozzáadja a listához, ha még nem létezik. Nem kell zárolni a fájlt, ha csak egyetlen folyamat ír bele. Beolvassa az első sort, majd vár a folytatásra.
+a az és hogy nem is egy meg ez van de csak mint már vagy volt ha még el ki be fel le azt ezt lehet kell így majd minden után között nélkül mert amikor ahol aki amely több első
+""",
+}
