@@ -40,8 +40,11 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+|\\[nrt\"']|\S")
 _SEGMENT = re.compile(r'\\"((?:(?!\\").)*)\\"|"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\.)*)\'|`([^`]*)`|([^\s"\'`,;(){}=<>\[\]:]+(?:[=:]+(?=[^\s"\'`,;(){}<>\[\]]*:)[^\s"\'`,;(){}<>\[\]]*)?=*)')
 #: Signs of which every line has one that the field is asked about: any word of _SECRET or _LOGIN in any spelling, and words that name a secret without a key.
 _CAND_WORD = re.compile(_SECRET.pattern.replace("_?", "[-_]?") + r"|signing|identified|basic |connect\w*[\"']?\(|log[-_]?(?:in|on)\b|sign[-_]?in\b|create_?user|authenticate|netrc|\bmachine |hooks\.slack\.com|(?:^|\s)(?:-u|--user)[ =]\S+:")
+#: What every match of _CAND_WORD holds in lower case; found by plain search, so that the pattern reads few lines.
+_CAND_PART = ("secret", "pass", "pwd", "token", "key", "credential", "auth", "bearer", "connection", "signing", "identified", "basic ", "connect", "login", "log_in", "log-in", "logon", "log_on", "log-on", "signin", "sign_in", "sign-in", "createuser", "create_user", "netrc", "machine ", "hooks.slack", "-u ", "-u=", "--user")
 _DIGIT = re.compile(r"\d")
-_CAND_SHAPE = re.compile(r"-----BEGIN|://[^\s/@:]*:[^\s/@]+@|[A-Za-z0-9+/_-]{16,}={0,2}|\b(?:AKIA|ASIA|AIza|xox[abeprs]-|gh[pousr]_|glpat-|ya29\.|[sr]k_live_|SG\.|eyJ)\w*|(?<![\w!#$%&*?@^~+-])(?=[\w!#$%&*?@^~+-]*[!#$%&*?@^~])(?=[\w!#$%&*?@^~+-]*\d)(?=[\w!#$%&*?@^~+-]*[A-Za-z])[\w!#$%&*?@^~+-]{8,}")
+_CAND_SHAPE = re.compile(r"-----BEGIN|://[^\s/@:]*:[^\s/@]+@|[A-Za-z0-9+/_-]{16,}={0,2}|\b(?:AKIA|ASIA|AIza|xox[abeprs]-|gh[pousr]_|github_pat_|glpat-|ya29\.|[sr]k_(?:live|test)_|npm_|hf_|SG\.|eyJ)\w*")
+_LOW_HEADS = ("npm_", "hf_", "github_pat_", "sk_", "rk_", "gh")
 #: Words that no passphrase of words is made of, but sentences are.
 _SENTENCE = frozenset("a an the is are was be to of for in on at by with and or not no your you my our this that it its must should can may will please enter use".split())
 
@@ -189,9 +192,11 @@ def _segments(line: str, context: str | None) -> list[tuple[int, int, str, str,
         g = next(i for i in range(1, 6) if m[i] is not None)
         lo, hi = m.span(g)
         s = m[g]
+        quoted = g < 5
+        if not quoted and s[0] in "!&*~?#@" and len(s) > 1:  # an operator or mark in front of a name
+            lo, s = lo + 1, s[1:]
         if hi <= lo:
             continue
-        quoted = g < 5
         named, delim, call = _lead(line, m.start())
         state = _key_state(named) if named else "none"
         if state in ("none", "plain") and key and line[(e := _solid(line, m.start())) - 1:e] in ("=", ":", ",", "(", ">", "'", '"', "\\"):
@@ -413,7 +418,7 @@ def _secret_value(r: random.Random, bare_ok: bool = False) -> str:
     if x < 0.30:
         return r.choice([lambda: "AKIA" + _rand(r, string.ascii_uppercase + string.digits, 16, 16), lambda: r.choice(["ghp_", "gho_", "ghs_", "ghu_"]) + _rand(r, _B62, 36, 36),
                          lambda: r.choice(["xoxb-", "xoxp-"]) + _rand(r, string.digits, 12, 12) + "-" + _rand(r, _B62, 24, 24), lambda: "AIza" + _rand(r, _B62 + "-_", 35, 35),
-                         lambda: "sk_live_" + _rand(r, _B62, 24, 24), lambda: "glpat-" + _rand(r, _B62 + "-_", 20, 20)])()
+                         lambda: "sk_live_" + _rand(r, _B62, 24, 24), lambda: "glpat-" + _rand(r, _B62 + "-_", 20, 20), *([lambda: "https://hooks.slack.com/services/T" + _rand(r, string.ascii_uppercase + string.digits, 8, 10) + "/B" + _rand(r, string.ascii_uppercase + string.digits, 8, 10) + "/" + _rand(r, _B62, 24, 24)] if bare_ok else [])])()
     if bare_ok:
         return "eyJ" + _rand(r, _B62, 30, 40) + ".eyJ" + _rand(r, _B62, 30, 60) + "." + _rand(r, _B62 + "-_", 40, 44) if x < 0.4 else _secret_value(r, True)
     if x < 0.38:
@@ -468,11 +473,11 @@ def examples(n: int = N_EXAMPLES, seed: int = 11) -> list[tuple[str, str | None,
     login = ['db.connect("{a}", "{v}");', 'client.login("{b}", "{v}")', '{a}.signIn("{b}_{a}", "{v}");', "session.authenticate('{a}', '{v}')", 'conn = connect("{a}-{b}.example", "{b}", "{v}")', 'new BasicCredentials("{a}", "{v}");', 'mail.login(user="{a}", "{v}")', "{a}_{b}.log_in('{a}', '{v}')", "{A}.createUser('{a}', '{v}')"]
     harmless_login = ['db.connect("{a}", {n});', 'client.login({a}, {b})', 'session.authenticate("{a}")', '{a}.connect("{a}-{b}.example", {n});', 'log.info("login of {a} {}", {b}{A});', 'client.login("{a}", getPass("{b}"))', '{a}.connect("{b}_{h}")', 'signIn("{a}", token);', 'db.connect("{a}", "${DB_PASS}");', 'client.login("{a}", "<password>")', 'queue.connect("{a}", "{b}")']
     phrased = ['{k} = "{v}"', "{k}: '{v}'", '"{k}": "{v}",', '{k}="{v}"', 'String {k} = "{v}";', "const {k} = '{v}';"]
-    form = ['client.use("{v}");', "'{v}'", '"{v}"', 'connect("{a}", "{v}")', "using {v} for {a}", 'var {a}{n} = "{v}";', "-- {v}"]
+    form = ["notify: {v}", 'client.use("{v}");', "'{v}'", '"{v}"', 'connect("{a}", "{v}")', "using {v} for {a}", 'var {a}{n} = "{v}";', "-- {v}"]
     urls = ['conn.open("{s}://{a}_{b}:{v}@{a}-{b}.example:{n}/{b}");', "remote: {s}://{a}:{v}@{b}.test:{n}/{a}", "/* dsn {s}://{a}_{b}:{v}@{b}.example:{n}/{a} */", "'{s}://{a}:{v}@{b}.invalid/{a}'", "DATABASE_URL={s}://{a}:{v}@{b}:{n}/{a}", 'let dsn = "{s}://{a}:{v}@{b}.example/{a}"']
     place = lambda k: r.choice(["changeme", "${" + k + "}", "<" + k + ">", "<password>", "********", "***", "xxxxxxxx", "[redacted]", "dummy-password", "your-" + k + "-here", "null", "secret-token", "example", "$" + k.upper(), "${DB_PASS}", "{{ " + k + " }}", "TODO", "test", "none", ""])
     harmless = ['String {a}Path = "/etc/{a}/{k}.txt";', 'form.label("{k}", "Enter the {k} of your {a}");', 'var {k} = vault.read("{a}/{k}");', 'String {k} = System.getenv("{K}");', "let {k} = env::var(\"{K}\")?;", "{k} = os.environ['{K}']", "missing variable {K}, using ${{K}}", "-- {k} is kept outside of this file", "COMMENT ON COLUMN {a}.{k} IS 'argon2 digest, never plain';", 'conn.open("amqp://" + user + ":" + {k} + "@{a}-{b}.example");', "if ({k}.size() > {n}) { {a}{A}(\"{h}\"); }", "return {k};", "this.{k} = {k};", "String {k};", "{k} VARCHAR(80) NOT NULL,", "int {k}MinLength = {n};", "// checks the {k} before the {a} is opened", 'throw new IllegalStateException("{k} is missing");', "validate{A}({k}, {n});", "'{a} {k}'", "{k}: [redacted]", "public void reset{A}(String {k}, int {a}) {", 'log.info("{k} {}", {a}{A});', "var {a} = {b}.{k}();", "Your {a} {k}"]
-    other = ['String {a}Id = "{u}";', 'String {a}Sha = "{x}";', "-- checksum {x}", "trace id {y} span {z}", "HEAD is now at {g}", 'var {a}{A} = {b}.join{A}({n}, "{a}-{h}");', '{a}Map.put("{h}{", {b}{A}.open{A}({n}));', "return {a}{A}{h};", "compiling {a}-{b} v0.{n}.2", "  at org.{a}.{b}.open{A}{A}({A}.java:{n})", "warning: unused {a} `{b}_{h}`", "if {a}_{b}.len() > {n} { self.close_{a}(b\"{h}\"); }", "const {a}_{b} = try self.{a}.open_{b}({n}, \"{a}-{h}\");", "CREATE TABLE {a}_{b} (", "    {a}_{b}{n} NUMERIC(12,2) DEFAULT 0,", "['{a}', '{b}']", "'{a}'", "{n}", "'{x}'", "https://{a}.example/{b}/{h}", "/// Used by {a}{A}{b}{h}.", "synchronized ({a}{A}{n}) {", "etag: \"{y}\"", "commit {g}", "sha256:{x}", "image: {a}/{b}@sha256:{x}", 'String integrity = "sha512-{q}";', "// {a} {b} {n}", "import org.{a}.{b}.{A};", '"{a}": "{u}",', "{x}  ./{a}/{b}.jar", "md5 = '{y}'"]
+    other = ["while ({a}{A} < {n} && !{b}{A}{h}.done()) {", "if (!{a}{h}.is{A}()) {", "    && !{a}{h}.ready_{b} || {b}&{h}", "let {a} = &{b}_{h};", "*{a}{h} = {n}", 'String {a}Id = "{u}";', 'String {a}Sha = "{x}";', "-- checksum {x}", "trace id {y} span {z}", "HEAD is now at {g}", 'var {a}{A} = {b}.join{A}({n}, "{a}-{h}");', '{a}Map.put("{h}{", {b}{A}.open{A}({n}));', "return {a}{A}{h};", "compiling {a}-{b} v0.{n}.2", "  at org.{a}.{b}.open{A}{A}({A}.java:{n})", "warning: unused {a} `{b}_{h}`", "if {a}_{b}.len() > {n} { self.close_{a}(b\"{h}\"); }", "const {a}_{b} = try self.{a}.open_{b}({n}, \"{a}-{h}\");", "CREATE TABLE {a}_{b} (", "    {a}_{b}{n} NUMERIC(12,2) DEFAULT 0,", "['{a}', '{b}']", "'{a}'", "{n}", "'{x}'", "https://{a}.example/{b}/{h}", "/// Used by {a}{A}{b}{h}.", "synchronized ({a}{A}{n}) {", "etag: \"{y}\"", "commit {g}", "sha256:{x}", "image: {a}/{b}@sha256:{x}", 'String integrity = "sha512-{q}";', "// {a} {b} {n}", "import org.{a}.{b}.{A};", '"{a}": "{u}",', "{x}  ./{a}/{b}.jar", "md5 = '{y}'"]
     pems = ["{p}-----BEGIN {t}PRIVATE KEY-----{s}", 'String keyText = "-----BEGIN {t}PRIVATE KEY-----\\n{d}\\n{d}"', "'-----BEGIN {t}PRIVATE KEY-----", 'String keyText = "-----BEGIN {t}PRIVATE KEY-----\\n"']
     while len(out) < n:
         k = styled(r.choice(_KEYS))
@@ -487,14 +492,14 @@ def examples(n: int = N_EXAMPLES, seed: int = 11) -> list[tuple[str, str | None,
                 put(r.choice(phrased), " ".join(r.choice(_PLAIN) for _ in range(r.randint(3, 6))), True, k=r.choice(["passphrase", "passPhrase", "password", "key_passphrase", "sshPassphrase"]))
             else:
                 put(r.choice(['{a} = "{v}"', 'label("{k}", "{v}")', 'log.info("{v}")', '{a}Name: "{v}"', 'String {a} = "{v}";', 'say("{v}");']), " ".join(r.choice(_PLAIN) for _ in range(r.randint(3, 6))), False, k=k)
-        elif x < 0.05:
+        elif x < 0.07:
             kv = ["Server={a};Database={b};User Id=sa;Password={v};", "Server=tcp:{a}.example,1433;Uid={b};Pwd={v};Encrypt=true", "host={a} dbname={b} user={a} password={v}", "jdbc:postgresql://{a}.example/{b}?user={a}&password={v}", "AccountName={a};AccountKey={v};EndpointSuffix={b}.example", "machine {a}.example login {b} password {v}", "//{a}.example/:_authToken={v}", "curl -u {a}:{v} https://{b}.example/", "curl --user {b}:{v} {a}.example/{b}", "wget --user={a} --password={v} {b}", "mysql -h {a} -u root --password={v} {b}", "sshpass -p {v} ssh {a}@{b}.example"]
             q = r.choice(["{0}", '"{0}"', "'{0}'", 'String {a}Dsn = "{0}";', "DSN={0}", 'dsn: "{0}"'])
             v = _rand(r, _B62, 8, 24) if r.random() < 0.5 else _positional(r)
             while ";" in v or "&" in v or "'" in v:
                 v = _rand(r, _B62, 8, 24)
             put(q.replace("{0}", r.choice(kv)), v, True)
-        elif x < 0.26:
+        elif x < 0.27:
             v = _secret_value(r)
             put(r.choice(keyed), v, True, k=k)
         elif x < 0.32:
@@ -506,7 +511,7 @@ def examples(n: int = N_EXAMPLES, seed: int = 11) -> list[tuple[str, str | None,
         elif x < 0.41:
             # a literal in two parts
             v = _secret_value(r, True)
-            while v.startswith("eyJ"):
+            while v.startswith(("eyJ", "https")):
                 v = _secret_value(r, True)
             c = r.randint(7, len(v) - 6)
             put('client.use("{v}" + "' + v[c:] + '");', v[:c], True)
@@ -573,11 +578,25 @@ def _worth(text: str, context: str | None) -> set[int]:
     """
     if context and _CAND_WORD.search(context):
         return {0} | {m.end() for m in re.finditer("\n", text)}
-    out = {text.rfind("\n", 0, m.start()) + 1 for m in _CAND_WORD.finditer(text)}
+    low, out = text.lower(), set()
+    if len(low) != len(text):  # a letter whose lower case is longer
+        out = {text.rfind("\n", 0, m.start()) + 1 for m in _CAND_WORD.finditer(text)}
+    else:
+        seen: set[int] = set()
+        for part in _CAND_PART:
+            at = low.find(part)
+            while at >= 0:
+                lo, hi = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+                hi = len(text) if hi < 0 else hi
+                if lo not in seen:
+                    seen.add(lo)
+                    if _CAND_WORD.search(text, lo, hi):
+                        out.add(lo)
+                at = low.find(part, hi)
     for m in _CAND_SHAPE.finditer(text):
         t = m[0]
         if t[0] in "-:" and (t.startswith("-----") or t.startswith("://")) or _VENDOR_HEAD.match(t) or t.startswith("eyJ") or (
-                _DIGIT.search(t) and kind_of(t.strip("-/_")) in ("opaque40", "vendor", "vendor_head", "jwt")):
+                _DIGIT.search(t) and (t[-1] == "=" or not (t.islower() or t.isupper()) or t.startswith(_LOW_HEADS)) and kind_of(t.strip("-/_")) in ("opaque40", "vendor", "vendor_head", "jwt")):
             out.add(text.rfind("\n", 0, m.start()) + 1)
     return out
 
