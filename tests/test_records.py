@@ -148,7 +148,7 @@ def test_many_queries_in_blocks_match_single_searches(spark):
     assert V.search_many(v, q.limit(0)).count() == V.search_many(v.limit(0), q).count() == 0
 
 
-def test_edge_diff_all_compares_every_edge_of_every_type(spark, tmp_path):
+def test_edge_diff_compares_every_edge_of_every_type(spark, tmp_path):
     from weftwork.plans import reference as RF
 
     tables = {"orders": ("o_orderkey, o_custkey", [(i, i % 4) for i in range(40)]), "customer": ("c_custkey, c_nationkey", [(i, i % 3) for i in range(40)]),
@@ -159,5 +159,5 @@ def test_edge_diff_all_compares_every_edge_of_every_type(spark, tmp_path):
         spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in cols.split(", "))).write.parquet(f"{tmp_path}/{name}.parquet")
         edges += [(f"{x}:{i}", f"{y}:{j}", kind, i) for i, j in set(rows)]
     want = {("removed", a, b, k) for a, b, k, n in edges if n % 7 == 0 or n % 5 == 0} | {("added", a, b + "~", k) for a, b, k, n in edges if n % 7 and n % 5 == 0}
-    got = [tuple(r) for r in RF.edge_diff_all(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in RF.edge_diff(spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {r[3] for r in got} == {"CALLS", "DEPLOYS_TO", "DEPENDS_ON", "CONSUMES_API"}

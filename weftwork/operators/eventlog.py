@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.functions.common import cut, ranked
+from weftwork.functions.common import carried, cut, in_order, ranked
 
 
 def events_from(log: DataFrame, start: int = 0, universe: str = "", limit: int = 0) -> DataFrame:
@@ -43,8 +43,8 @@ def heads_at(log: DataFrame, cutoff: int | None = None) -> DataFrame:
 
 def undo(log: DataFrame, n: int) -> DataFrame:
     """The state after taking back the last n events of all universes together."""
-    ids = [r[0] for r in log.select("event_id").orderBy(F.desc("event_id")).limit(n + 1).collect()]  # n + 1 ids
-    return state_at(log, ids[-1] if len(ids) > n else -1)
+    cut_at = log.select("event_id").orderBy(F.desc("event_id")).offset(n).limit(1).first()
+    return state_at(log, cut_at[0] if cut_at else -1)
 
 
 def commits(log: DataFrame, universe: str, limit: int = 20) -> DataFrame:
@@ -54,9 +54,8 @@ def commits(log: DataFrame, universe: str, limit: int = 20) -> DataFrame:
 
 def commit_parents(log: DataFrame) -> DataFrame:
     """event_id, universe_id, parent_event: each commit's predecessor in its universe."""
-    from pyspark.sql import Window as W
-
-    return log.filter("action = 'COMMIT'").select("event_id", "universe_id", F.lag("event_id").over(W.partitionBy("universe_id").orderBy("event_id")).alias("parent_event"))
+    c = in_order(log.filter("action = 'COMMIT'").select("event_id", "universe_id"), ["universe_id", "event_id"])
+    return carried(c, ["universe_id"], ["event_id"], {"parent_event": ("last", "event_id", False)}).select("event_id", "universe_id", "parent_event")
 
 
 def append(log: DataFrame, new: DataFrame, payload: list[str]) -> DataFrame:

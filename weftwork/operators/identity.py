@@ -62,9 +62,11 @@ def merkle_roots(leaves: DataFrame, group: str, leaf: str) -> DataFrame:
 
 
 def state_fingerprint(df: DataFrame, name: str, content: str) -> DataFrame:
-    """fingerprint: SHA-256 of name:hash pairs in name order. One row; the pairs of one deployment target."""
-    pairs = F.array_join(F.array_sort(F.collect_list(F.concat(F.col(name), F.lit(":"), F.col(content)))), ",")
-    return df.agg(F.sha2(pairs, 256).alias("fingerprint"))
+    """fingerprint: SHA-256 of the name:hash pairs in order, joined by commas; they pass as a sorted stream, never gathered in one row."""
+    from weftwork.operators.history import ordered_digest
+
+    pair = F.concat(F.col(name), F.lit(":"), F.col(content))
+    return ordered_digest(df, F.lit("all"), [pair], pair, "sha256", separator=",").select(F.col("digest").alias("fingerprint"))
 
 
 def git_blob_hash(text: Column) -> Column:

@@ -7,11 +7,17 @@ character n-grams of the shorter name, verified afterwards, so no pair is made w
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.functions.common import trim_white
+from weftwork.functions.common import staged, trim_white
 from weftwork.operators.identity import edge_hash, sorted_pairs
+from weftwork.operators.nested import Spans, pieces, valid_json
 
 #: Methods of endpoints and parameters of routes.
 ENDPOINT = r"\b(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD|ANY|GRPC)\s+([^\s]+)"
@@ -57,11 +63,15 @@ def consumes_api(callers: DataFrame, routes: DataFrame) -> DataFrame:
     return _edges(j, "CONSUMES_API", consumer_endpoint=F.col("cp"), backend_endpoint=F.col("rp"), http_method=F.col("rm"))
 
 
+#: Fixed value: the words of a query in front of a table's name.
+QUERY_TABLE = r"(?i)(?:FROM|JOIN|INTO|UPDATE)\s+([a-zA-Z0-9_]+)"
+
+
 def target_tables(metadata_table: Column, payload: Column) -> Column:
     """Tables a symbol names: in metadata, in table_name and sql_tables of its payload, and in its query text."""
     q = F.coalesce(F.get_json_object(payload, "$.jpa_query"), F.lit(""))
     listed = F.coalesce(F.from_json(F.get_json_object(payload, "$.sql_tables"), "array<string>"), F.array().cast("array<string>"))
-    found = F.concat(F.array(metadata_table, F.get_json_object(payload, "$.table_name")), F.regexp_extract_all(q, F.lit(r"(?i)(?:FROM|JOIN|INTO|UPDATE)\s+([a-zA-Z0-9_]+)"), F.lit(1)), listed)
+    found = F.concat(F.array(metadata_table, F.get_json_object(payload, "$.table_name")), F.regexp_extract_all(q, F.lit(QUERY_TABLE), F.lit(1)), listed)
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != "")))
 
 
@@ -77,18 +87,29 @@ def queries_table(accessors: DataFrame, tables: DataFrame) -> DataFrame:
     return _edges(j, "QUERIES_TABLE", table_name=F.col("name"), accessor=F.col("identifier")).dropDuplicates(["source_id", "target_id"])
 
 
-def _contains(big: DataFrame, small: DataFrame, text: str, part: str) -> DataFrame:
-    """Rows of big and small where ``text`` contains ``part``: joined on the first gram of the part, then verified."""
+def _grams(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - (n - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
+
+
+def _contains(big: DataFrame, small: DataFrame, text: str, part: str, key: str) -> DataFrame:
+    """Rows of big and small where ``text`` contains ``part``; ``key`` names big's rows.
+
+    Texts are split into grams that carry their key only. Every part is sought by the one of its grams that the fewest texts hold, so a common gram
+    joins nothing unless a part consists of common ones; the texts are fetched for the candidates alone and verified.
+    """
     n = 3
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - (n - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
-    long = small.filter(F.char_length(part) >= n).withColumn("_g", F.substr(F.col(part), F.lit(1), F.lit(n)))
-    hit = big.withColumn("_g", F.explode(grams(F.col(text)))).join(long, "_g").filter(F.contains(text, F.col(part))).drop("_g")
-    # parts shorter than a gram: their own grams of one or two characters
-    short = small.filter((F.char_length(part) < n) & (F.char_length(part) > 0))
-    ones = F.array_distinct(F.flatten(F.array(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(1))),
-                                              F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(2))))))
-    few = big.withColumn("_g", F.explode(ones)).join(short.withColumn("_g", F.col(part)), "_g").drop("_g")
-    return hit.unionByName(few)
+    parts = small.select(F.col(part).alias("_part")).filter(F.char_length("_part") > 0).distinct()
+    own = F.when(F.char_length("_part") >= n, _grams(F.col("_part"), n)).otherwise(F.array("_part"))
+    want = staged(parts.select("_part", F.explode(own).alias("_g")))
+    sizes = sorted(r[0] for r in want.select(F.char_length("_g")).distinct().collect())  # 1, 2 and 3 at most
+    if not sizes:
+        return big.join(small, F.col(text) == F.col(part)).filter("false")
+    grams = F.explode(F.flatten(F.array(*[_grams(F.col(text), k) for k in sizes])))
+    held = staged(big.select(key, text).distinct().select(key, grams.alias("_g")).join(want.select("_g").distinct(), "_g", "left_semi"))
+    often = want.join(held.groupBy("_g").agg(F.count("*").alias("_n")), "_g", "left")
+    rare = often.groupBy("_part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("r")).select("_part", F.col("r.g").alias("_g"))
+    found = rare.join(held, "_g").select(F.col(key).alias("_key"), "_part").distinct()
+    return big.join(found, big[key] == found._key).filter(F.contains(text, F.col("_part"))).drop("_key").join(small.withColumnRenamed(part, "_part2"), F.col("_part") == F.col("_part2")).drop("_part2").withColumnRenamed("_part", part)
 
 
 def implements_rpc(impls: DataFrame, protos: DataFrame) -> DataFrame:
@@ -97,7 +118,7 @@ def implements_rpc(impls: DataFrame, protos: DataFrame) -> DataFrame:
     i = impls.select(F.col("node_id").alias("source_id"), "identifier", own.alias("own"), F.lower("identifier").alias("_text"))
     p = protos.select(F.col("node_id").alias("target_id"), F.element_at(F.split(F.regexp_replace("identifier", "^(rpc:)?(service:)?", ""), r"\."), -1).alias("rpc")).withColumn("_part", F.lower("rpc"))
     same = i.withColumn("_part", F.lower("own")).join(p, "_part").select("source_id", "target_id", "identifier", "rpc")
-    within = _contains(i, p, "_text", "_part").select("source_id", "target_id", "identifier", "rpc")
+    within = _contains(i, p, "_text", "_part", "source_id").select("source_id", "target_id", "identifier", "rpc")
     return _edges(same.unionByName(within).dropDuplicates(["source_id", "target_id"]), "IMPLEMENTS_RPC", rpc_name=F.col("rpc"), implementor=F.col("identifier"))
 
 
@@ -106,21 +127,40 @@ def deploys_to(components: DataFrame, resources: DataFrame) -> DataFrame:
     clean = lambda c: F.lower(F.regexp_replace(c, "-", "_"))
     c = components.filter(F.col("type").isin("service", "database")).select(F.col("component_id").alias("source_id"), F.col("name"), clean(F.col("name")).alias("_part"))
     r = resources.select(F.col("node_id").alias("target_id"), "identifier", F.concat_ws("\n", clean(F.col("identifier")), clean(F.col("payload"))).alias("_text"))
-    return _edges(_contains(r, c, "_text", "_part").dropDuplicates(["source_id", "target_id"]), "DEPLOYS_TO", service_name=F.col("name"), resource_id=F.col("identifier"))
+    return _edges(_contains(r, c, "_text", "_part", "target_id").dropDuplicates(["source_id", "target_id"]), "DEPLOYS_TO", service_name=F.col("name"), resource_id=F.col("identifier"))
+
+
+def _env(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(k, t) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and '"env"' in t and valid_json(t)]
+        out: list[tuple[str, str, str | None]] = []
+        for lo, hi in pieces([t for _, t in rows]):
+            s = Spans([t for _, t in rows[lo:hi]])
+            kinds = np.flatnonzero((s.key_end - s.key_start == 12) & (s.end - s.start == 5))
+            at = np.array([s.parent[i] for i in kinds if s.key(i) == "block_type" and s.text(i) == '"env"'], np.int64)
+            block, attrs = s.member(at, "attributes")
+
+            def told(name: str, s: Spans = s, attrs: np.ndarray = attrs) -> dict[int, str]:
+                r, v = s.member(attrs, name)
+                q, v = s.member(v, "value")
+                return {int(r[i]): json.loads(s.text(k)).strip('"') for i, k in zip(q, v, strict=True) if s.kind[k] == 34}
+
+            names, values = told("name"), told("value")
+            out += [(rows[lo + int(s.doc[attrs[i]])][0], x, values.get(i, "")) for i, x in sorted(names.items()) if x]
+        cols = list(zip(*out, strict=True)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["key", "name", "value"])
 
 
-def env_names(payload: Column) -> Column:
-    """(name, value) of env blocks at any depth of a resource's JSON, by pattern over its text."""
-    block = r'\{[^{}]*"block_type"\s*:\s*"env"[^{}]*"attributes"\s*:\s*\{(?:[^{}]|\{[^{}]*\})*\}|"attributes"\s*:\s*\{(?:[^{}]|\{[^{}]*\})*\}[^{}]*"block_type"\s*:\s*"env"'
-    get = lambda b, k: F.regexp_replace(F.regexp_extract(b, rf'"{k}"\s*:\s*\{{[^{{}}]*"value"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), r'^(?:\\")|(?:\\")$', "")
-    return F.filter(F.transform(F.regexp_extract_all(payload, F.lit(f"({block})"), F.lit(1)), lambda b: F.struct(get(b, "name").alias("name"), get(b, "value").alias("value"))), lambda e: e["name"] != "")
+def env_bindings(df: DataFrame, key: Column, payload: Column) -> DataFrame:
+    """key, name, value of the env blocks at any depth of resources' JSON, walked by its structure, so values may hold braces. Invalid JSON gives none."""
+    return df.select(key.cast("string").alias("key"), payload.alias("payload")).mapInArrow(_env, "key string, name string, value string")
 
 
 def binds_env(resources: DataFrame, readers: DataFrame) -> DataFrame:
     """Resources that set a variable to symbols that read it."""
-    b = resources.select(F.col("node_id").alias("source_id"), F.explode(env_names(F.col("payload"))).alias("e")).select("source_id", F.col("e.name").alias("env"), F.col("e.value").alias("value"))
+    b = env_bindings(resources, F.col("node_id"), F.col("payload")).select(F.col("key").alias("source_id"), F.col("name").alias("env"), "value")
     r = readers.select(F.col("node_id").alias("target_id"), F.explode(F.array_distinct(F.from_json(F.get_json_object("payload", "$.env_vars_accessed"), "array<string>"))).alias("env"))
-    j = b.dropDuplicates(["source_id", "env"]).join(r, "env")
+    j = b.groupBy("source_id", "env").agg(F.max("value").alias("value")).join(r, "env")
     return _edges(j, "BINDS_ENV", env_var=F.col("env"), env_value=F.col("value"))
 
 

@@ -34,7 +34,23 @@ def _refuse(x: str) -> None:
     raise ValueError(x)
 
 
-def _valid(text: str) -> bool:
+#: Characters of text indexed at once; the index takes about eighty bytes a character. A longer text is indexed alone.
+CHUNK = 400_000
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK characters together."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        if n and n + len(t) > CHUNK:
+            yield at, i
+            at, n = i, 0
+        n += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def valid_json(text: str) -> bool:
     try:
         json.loads(text, parse_constant=_refuse)
     except (ValueError, RecursionError):
@@ -127,13 +143,13 @@ class Spans:
 def _decoded(text: str) -> str | None:
     """JSON text within a JSON string, plain or in base64; None where it is neither."""
     inner = json.loads(text)
-    if _valid(inner):
+    if valid_json(inner):
         return inner
     try:
         inner = base64.b64decode(inner, validate=True).decode()
     except (binascii.Error, UnicodeDecodeError, ValueError):
         return None
-    return inner if _valid(inner) else None
+    return inner if valid_json(inner) else None
 
 
 ELEMENTS = T.StructType([
@@ -153,12 +169,12 @@ def _elements(path: list[str], key_field: str | None, valid: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = [i for i, t in enumerate(texts) if t is not None and (valid or _valid(t))]
-            out: list[list] = [[] for _ in range(5)]
-            if ok:
-                _rows(Spans([texts[i] for i in ok]), [ids[i] for i in ok], out)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()], strict=True)],
-                                             names=[f.name for f in ELEMENTS])
+            ok = [i for i, t in enumerate(texts) if t is not None and (valid or valid_json(t))]
+            for lo, hi in pieces([texts[i] for i in ok]):
+                out: list[list] = [[] for _ in range(5)]
+                _rows(Spans([texts[i] for i in ok[lo:hi]]), [ids[i] for i in ok[lo:hi]], out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()], strict=True)],
+                                                 names=[f.name for f in ELEMENTS])
 
     def _rows(s: Spans, ids: list, out: list[list]) -> None:
         at = np.flatnonzero(s.parent < 0)
@@ -218,8 +234,8 @@ def nested_elements(df: DataFrame, row_id: Column, text: Column, path: list[str]
     else its position. Members on the way may hold JSON as text or base64 of text. Null, empty, truncated or otherwise
     invalid texts, absent members and null parents give no rows; ``valid`` says that every text is known to be valid JSON, as
     rendered columns are, and spares the check. A path that ends with "*" gives the parents themselves,
-    child_pos then being their position. child_value is the exact source text. Batches are cut by Arrow, so a task
-    holds a bounded number of texts.
+    child_pos then being their position. child_value is the exact source text. Texts are indexed CHUNK characters
+    at a time, so memory does not grow with a batch.
     """
     return df.select(row_id.cast("bigint").alias("row_id"), text.cast("string").alias("text")).mapInArrow(_elements(path, key_field, valid), ELEMENTS)
 

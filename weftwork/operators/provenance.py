@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftwork.functions.common import carried, in_order
 from weftwork.operators.graph import traverse
 
 
@@ -54,9 +54,11 @@ def node_blast(edges: DataFrame, node_id: str) -> DataFrame:
 
 def ancestry_hops(lineage: DataFrame) -> DataFrame:
     """node_id, hop, record_id, root_agent, final_model: each node's records numbered in time; first and last name its origin and its end."""
-    by = W.partitionBy("node_id").orderBy("ts", "record_id")
-    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return lineage.select("node_id", (F.row_number().over(by) - 1).alias("hop"), "record_id", F.first("agent").over(whole).alias("root_agent"), F.last("model").over(whole).alias("final_model"))
+    order = ["ts", "record_id"]
+    r = in_order(lineage.select("node_id", *order, F.lit(1).cast("bigint").alias("_one")), ["node_id", *order])
+    hops = carried(r, ["node_id"], order, {"_n": ("sum", "_one", False)})
+    ends = lineage.groupBy("node_id").agg(F.min_by("agent", F.struct(*order)).alias("root_agent"), F.max_by("model", F.struct(*order)).alias("final_model"))
+    return hops.join(ends, "node_id").select("node_id", F.coalesce("_n", F.lit(0)).cast("int").alias("hop"), "record_id", "root_agent", "final_model")
 
 
 def lineage_coverage(nodes: DataFrame, lineage: DataFrame) -> DataFrame:

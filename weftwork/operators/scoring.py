@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftwork.functions.common import carried, in_order
+
 
 def composite_score(test_rate: Column, security: Column, latency_ms: Column, tokens: Column) -> Column:
     return 0.5 * test_rate + 0.3 * security + 0.1 * F.greatest(F.lit(0.0), 1 - latency_ms / 1000) + 0.1 * F.greatest(F.lit(0.0), 1 - tokens / 10000)
@@ -36,14 +39,12 @@ def scorecard(findings: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def running_context(steps: DataFrame, key: str, order: str, size: str) -> DataFrame:
     """key, order, prompt_size, total: what stood before each step of its conversation, and all up to it."""
-    from pyspark.sql import Window as W
-
-    by = W.partitionBy(key).orderBy(order)
-    return steps.select(key, order, F.coalesce(F.sum(size).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("prompt_size"), F.sum(size).over(by.rowsBetween(W.unboundedPreceding, 0)).alias("total"))
+    both = carried(in_order(steps.select(key, order, size), [key, order]), [key], [order], {"prompt_size": ("sum", size, False), "total": ("sum", size, True)})
+    return both.select(key, order, F.coalesce("prompt_size", F.lit(0)).alias("prompt_size"), "total")
 
 
 def last_n(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     """The n newest rows of each key."""
-    from pyspark.sql import Window as W
-
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+    first = F.row_number().over(W.partitionBy("_t", key).orderBy(*order))  # the best of each task's own rows, then the best of those
+    few = df.withColumn("_t", F.pmod(F.xxhash64(*df.columns), F.lit(64))).withColumn("_r", first).filter(F.col("_r") <= n).drop("_r", "_t")
+    return few.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")

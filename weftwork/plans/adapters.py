@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.functions.common import table
+from weftwork.functions.common import norm_key, table
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -51,6 +51,20 @@ def oplog(s: SparkSession, d: str) -> DataFrame:
         "CASE WHEN event_type IN ('purchase', 'click') THEN concat('u', user_id % 8) ELSE concat('n', user_id) END AS entity_id", "props AS payload")
 
 
+def wide_oplog(s: SparkSession, d: str) -> DataFrame:
+    """event_id, universe_id, action, entity_id, payload: the events as a log of nodes, edges, heads and provenance."""
+    return table(s, d, "events").selectExpr(
+        "event_id", "concat('u', user_id % 8) AS universe_id",
+        "CASE event_type WHEN 'signup' THEN 'CREATE_NODE' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'UPDATE_NODE' ELSE 'ADD_EDGE' END WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'DELETE_NODE' ELSE 'REMOVE_EDGE' END WHEN 'purchase' THEN 'SET_UNIVERSE_HEAD' ELSE 'RECORD_LINEAGE' END AS action",
+        "CASE WHEN event_type = 'purchase' THEN concat('u', user_id % 8) WHEN event_type IN ('view', 'error') AND event_id % 2 = 1 THEN concat('n', user_id, '|n', user_id % 41, '|CALLS') WHEN event_type IN ('signup', 'view', 'error') THEN concat('n', user_id) ELSE concat('r', user_id % 97) END AS entity_id", "props AS payload")
+
+
+def commit_table(s: SparkSession, d: str) -> DataFrame:
+    """universe_id, at, entity_id, payload: git commits as manifests of universes."""
+    c = table(s, d, "git_commits").filter("universe_id is not null").select("universe_id", F.col("committed_at").alias("at"), norm_key("commit_hash").alias("entity_id"), F.coalesce(norm_key("tree_hash"), F.lit("")).alias("t")).filter("entity_id <> ''").distinct()
+    return c.select("universe_id", "at", "entity_id", F.concat(F.lit('{"commit":"'), "entity_id", F.lit('","tree":"'), "t", F.lit('"}')).alias("payload"))
+
+
 def manifests(s: SparkSession, d: str) -> DataFrame:
     """universe_id, component_id, component_name: two snapshots of the parts, b being a later branch of a."""
     p = table(s, d, "part")
@@ -85,6 +99,11 @@ LINEAGE = """SELECT o_orderkey AS record_id, 'C:' || o_custkey AS node_id, o_ord
 OPLOG = """SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, 'u' || (user_id % 8) AS universe_id,
 CASE event_type WHEN 'signup' THEN 'CREATE_NODE' WHEN 'view' THEN 'UPDATE_NODE' WHEN 'error' THEN 'DELETE_NODE' WHEN 'purchase' THEN 'SET_UNIVERSE_HEAD' ELSE 'COMMIT' END AS action,
 CASE WHEN event_type IN ('purchase', 'click') THEN 'u' || (user_id % 8) ELSE 'n' || user_id END AS entity_id, props AS payload FROM events"""
+WIDE_OPLOG = """SELECT event_id, 'u' || (user_id % 8) AS universe_id,
+CASE event_type WHEN 'signup' THEN 'CREATE_NODE' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'UPDATE_NODE' ELSE 'ADD_EDGE' END WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'DELETE_NODE' ELSE 'REMOVE_EDGE' END WHEN 'purchase' THEN 'SET_UNIVERSE_HEAD' ELSE 'RECORD_LINEAGE' END AS action,
+CASE WHEN event_type = 'purchase' THEN 'u' || (user_id % 8) WHEN event_type IN ('view', 'error') AND event_id % 2 = 1 THEN 'n' || user_id || '|n' || (user_id % 41) || '|CALLS' WHEN event_type IN ('signup', 'view', 'error') THEN 'n' || user_id ELSE 'r' || (user_id % 97) END AS entity_id, props AS payload FROM events"""
+_N = "lower(regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', ''))"
+COMMITS = f"""SELECT universe_id, t0, entity_id, '{{"commit":"' || entity_id || '","tree":"' || t || '"}}' AS payload FROM (SELECT DISTINCT universe_id, committed_at AS t0, {_N.format('commit_hash')} AS entity_id, coalesce({_N.format('tree_hash')}, '') AS t FROM git_commits WHERE universe_id IS NOT NULL) WHERE entity_id <> ''"""
 MANIFESTS = """SELECT 'a' AS universe_id, 'comp-' || p_partkey AS component_id, p_name || '-' || (p_partkey % 50) AS component_name FROM part WHERE p_partkey % 3 <> 0
 UNION ALL SELECT 'b', 'comp-' || p_partkey, p_name || '-' || (p_partkey % 50) FROM part WHERE p_partkey % 5 <> 0"""
 DESIRED = "SELECT s_name AS name, sha256(s_name) AS content_hash FROM supplier WHERE s_suppkey % 7 <> 0"

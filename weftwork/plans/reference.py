@@ -229,15 +229,15 @@ def link_deploys_to(s, d):
 def _env_sources(s, d):
     f = table(s, d, "php_fields").filter("field_name is not null")
     pay = "concat('{\"block_type\": \"resource\", \"nested_blocks\": [{\"block_type\": \"env\", \"attributes\": {\"name\": {\"value\": \"', upper(field_name), '\"}, \"value\": {\"value\": \"', class_name, '\"}}, \"nested_blocks\": []}]}')"
-    return _symbols(f.filter("field_id % 2 = 0"), "concat('env-', field_id)", "hcl", "ResourceBlock", "class_name", payload=pay)
+    return _symbols(f, "concat('env-', field_id)", "hcl", "ResourceBlock", "class_name", payload=pay)
 
 
 def _env_readers(s, d):
-    f = table(s, d, "php_fields").filter("field_name is not null and field_id % 2 = 1")
+    f = table(s, d, "php_fields").filter("field_name is not null")
     return _symbols(f, "concat('use-', field_id)", "php", "FunctionDecl", "field_name", payload="concat('{\"env_vars_accessed\": [\"', upper(field_name), '\"]}')")
 
 
-@query("SELECT DISTINCT 'env-' || a.field_id AS source_id, 'use-' || b.field_id AS target_id, upper(a.field_name) AS env_var FROM php_fields a JOIN php_fields b ON upper(a.field_name) = upper(b.field_name) WHERE a.field_id % 2 = 0 AND b.field_id % 2 = 1")
+@query("SELECT DISTINCT 'env-' || a.field_id AS source_id, 'use-' || b.field_id AS target_id, upper(a.field_name) AS env_var FROM php_fields a JOIN php_fields b ON upper(a.field_name) = upper(b.field_name)")
 def link_binds_env(s, d):
     e = L.binds_env(_env_sources(s, d), _env_readers(s, d))
     return e.select("source_id", "target_id", e.metadata["env_var"].alias("env_var")).distinct()
@@ -299,16 +299,10 @@ def universe_diff(s, d):
     return VS.set_diff(*_ab(s, d), ["component_id"])
 
 
-@query(_with("EDGES") + ", x AS (SELECT DISTINCT source_id, target_id, edge_type, CAST(split_part(source_id, ':', 2) AS BIGINT) AS n FROM edges WHERE edge_type <> 'CONSUMES_API') SELECT CASE WHEN n % 3 = 0 THEN 'added' ELSE 'removed' END AS change, source_id, target_id, edge_type FROM x WHERE (n % 3 = 0) <> (n % 4 = 0)")
-def edge_diff(s, d):
-    e = A.edges(s, d).filter("edge_type <> 'CONSUMES_API'").withColumn("n", F.split("source_id", ":")[1].cast("bigint"))
-    return VS.set_diff(e.filter("n % 4 = 0"), e.filter("n % 3 = 0"), ["source_id", "target_id", "edge_type"])
-
-
 @query(_with("EDGES") + """, a AS (SELECT DISTINCT source_id, target_id, edge_type, CAST(split_part(source_id, ':', 2) AS BIGINT) AS n FROM edges),
 b AS (SELECT source_id, CASE WHEN n % 5 = 0 THEN target_id || '~' ELSE target_id END AS target_id, edge_type FROM a WHERE n % 7 <> 0)
 SELECT 'added' AS change, * FROM (SELECT * FROM b EXCEPT SELECT source_id, target_id, edge_type FROM a) UNION ALL SELECT 'removed', * FROM (SELECT source_id, target_id, edge_type FROM a EXCEPT SELECT * FROM b)""")
-def edge_diff_all(s, d):
+def edge_diff(s, d):
     """All edges of all types against a later version: every seventh source has lost its edges, every fifth points elsewhere."""
     a, n = A.edges(s, d), F.split("source_id", ":")[1].cast("bigint")
     b = a.filter(n % 7 != 0).withColumn("target_id", F.when(n % 5 == 0, F.concat("target_id", F.lit("~"))).otherwise(F.col("target_id")))
@@ -543,16 +537,8 @@ def impact(s, d):
 _STACK = "SELECT k, max({'u': updated_at, 'i': ingested_at, 'p': p}).p AS p FROM (SELECT lower(trim(change_id)) AS k, lower(trim(parent_change_id)) AS p, updated_at, ingested_at FROM stacked_proposals) WHERE k <> '' GROUP BY 1"
 
 
-@query(f"WITH RECURSIVE s AS ({_STACK}), roots AS (SELECT p AS k FROM s WHERE p IN (SELECT k FROM s) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), t AS (SELECT k AS root, k FROM roots UNION SELECT t.root, s.k FROM t JOIN s ON s.p = t.k) SELECT root, k AS change_id FROM t WHERE root <> k")
-def stack_descendants(s, d):
-    links = H.proposal_links(table(s, d, "stacked_proposals"))
-    top = links.filter("parent_key is not null").groupBy(F.col("parent_key").alias("ancestor_key")).count().orderBy(F.desc("count"), "ancestor_key").limit(5).select("ancestor_key")
-    below = H.descendants(H.hierarchy(links))
-    return below.join(top, "ancestor_key", "left_semi").select(F.col("ancestor_key").alias("root"), F.col("descendant_key").alias("change_id"))
-
-
 @query(f"WITH RECURSIVE s AS ({_STACK}), l AS (SELECT k, p FROM s WHERE p IN (SELECT k FROM s) AND p NOT IN ('root', 'universe-main', repeat('0', 40))), t AS (SELECT p AS root, k FROM l UNION SELECT t.root, l.k FROM t JOIN l ON l.p = t.k) SELECT root, k AS change_id FROM t")
-def stack_descendants_all(s, d):
+def stack_descendants(s, d):
     """The descendants of every change that has any; on a loop a change is its own."""
     below = H.all_descendants(H.proposal_links(table(s, d, "stacked_proposals")))
     return below.select(F.col("ancestor_key").alias("root"), F.col("descendant_key").alias("change_id"))
@@ -601,7 +587,8 @@ def git_log(s, d):
 # ---- vectors -----------------------------------------------------------------------------------------------------
 
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE label % 2 = 0 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 10")
-def vector_topk(s, d):
+def vector_search(s, d):
+    """One vector's nearest of the even labels."""
     v = A.vectors(s, d)
     q = v.filter("vec_id = 0").first()
     return V.search(v, list(q.vector), where=F.substring("node_type", 2, 9).cast("int") % 2 == 0).select("vec_id", F.round("score", 6).alias("score"))
@@ -609,7 +596,7 @@ def vector_topk(s, d):
 
 @query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
 SELECT query, vec_id, round(score, 6) AS score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS pos FROM s) WHERE pos <= 10""")
-def vector_topk_all(s, d):
+def vector_topk(s, d):
     """Every row with an id divisible by 20 as a query against all rows."""
     v = A.vectors(s, d)
     return V.search_many(v, v.filter("vec_id % 20 = 0")).withColumn("score", F.round("score", 6))

@@ -222,15 +222,8 @@ def oplog_by_uuid(s, d):
     return A.oplog(s, d).filter(F.sha2(F.col("event_id").cast("string"), 256) == F.sha2(F.lit("77"), 256)).select("event_id", "universe_id", "action")
 
 
-@query("SELECT k AS change_id, o AS order_index FROM (SELECT lower(trim(change_id)) AS k, max({'u': updated_at, 'i': ingested_at, 'o': order_index, 'p': lower(trim(parent_change_id)), 'c': created_at}) AS r FROM stacked_proposals GROUP BY 1) t, LATERAL (SELECT t.r.o AS o) WHERE t.r.p = 'universe-main' ORDER BY o NULLS FIRST, t.r.c, k LIMIT 25")
-def stack_order(s, d):
-    p = table(s, d, "stacked_proposals").select(H.norm_key("change_id").alias("change_id"), "updated_at", "ingested_at", "order_index", H.norm_key("parent_change_id").alias("p"), "created_at")
-    one = VS.latest_by(p, ["change_id"], ["updated_at", "ingested_at"], ["order_index", "p", "created_at"])
-    return one.filter("p = 'universe-main'").orderBy(F.col("order_index").asc_nulls_first(), "created_at", "change_id").limit(25).select("change_id", "order_index")
-
-
 @query("SELECT k AS change_id, r.o AS order_index, row_number() OVER (ORDER BY r.o NULLS FIRST, r.c NULLS FIRST, k) - 1 AS pos FROM (SELECT lower(trim(change_id)) AS k, max({'u': updated_at, 'i': ingested_at, 'o': order_index, 'p': lower(trim(parent_change_id)), 'c': created_at}) AS r FROM stacked_proposals GROUP BY 1) WHERE k <> ''")
-def stack_order_all(s, d):
+def stack_order(s, d):
     """Every change with its place in the whole list; changes without an id are none."""
     return PR.stack_order(table(s, d, "stacked_proposals"))
 
@@ -384,8 +377,8 @@ def status_report(s, d):
 def hcl_env_collect(s, d):
     """Environment blocks two levels deep in resources made of the fields."""
     pay = F.expr("concat('{\"block_type\": \"resource\", \"nested_blocks\": [{\"block_type\": \"container\", \"nested_blocks\": [{\"block_type\": \"env\", \"attributes\": {\"name\": {\"value\": \"', upper(field_name), '\"}, \"value\": {\"value\": \"', class_name, '\"}}, \"nested_blocks\": []}]}]}')")
-    f = table(s, d, "php_fields").filter("field_name is not null and class_name is not null").select("field_id", F.explode(LK.env_names(pay)).alias("e"))
-    return f.select("field_id", F.col("e.name").alias("env_var"), F.col("e.value").alias("env_value")).distinct()
+    f = table(s, d, "php_fields").filter("field_name is not null and class_name is not null")
+    return LK.env_bindings(f, F.col("field_id"), pay).select(F.col("key").cast("bigint").alias("field_id"), F.col("name").alias("env_var"), F.col("value").alias("env_value")).distinct()
 
 
 @query("SELECT DISTINCT field_id, CASE WHEN field_id % 3 = 0 THEN true WHEN field_id % 3 = 1 THEN field_name = 'apiKey' ELSE false END AS suppressed FROM php_fields WHERE field_name IS NOT NULL")
