@@ -57,3 +57,20 @@ def test_empty_table_and_hot_group(spark):
     t = text()
     hot = [(i, t) for i in range(40)] + [(i, text()) for i in range(40, 100)]
     assert SS.shared_pairs(docs(spark, hot), min_chars=50).count() == 40 * 39 // 2
+
+
+def test_classes_have_a_row_a_record_and_compare_texts(spark, monkeypatch):
+    r = random.Random(5)
+    text = lambda k: "".join(r.choice(string.ascii_letters) for _ in range(k))
+    licence = text(120)
+    rows = [(i, licence + text(60)) for i in range(50)] + [(i, text(200)) for i in range(50, 80)]
+    got = SS.span_classes(docs(spark, rows), min_chars=50).collect()
+    size = {c: sum(x.class_id == c for x in got) for c in {x.class_id for x in got}}
+    assert {x.rid for x in got} == set(range(50)) and sorted(size.values())[-1] == 50 and len(got) < 200  # chance may lengthen a few spans by a letter
+    assert all(x.n_records == size[x.class_id] for x in got)
+    assert all(len({rows[x.rid][1][x.start:x.start + 50] for x in got if x.class_id == c}) == 1 for c in size)
+    # windows that share a hash but no text: a class of their own each, so no pair
+    clash = spark.createDataFrame([(1, 0, 7, 1), (2, 3, 7, 1)], "rid bigint, pos int, w bigint, first_rid bigint")
+    monkeypatch.setattr(SS, "_repeated", lambda marked, n: clash)
+    monkeypatch.setattr(SS, "_marked", lambda d, n: d.select("rid", "text"))
+    assert SS.shared_pairs(docs(spark, rows[50:52] + [(1, text(60)), (2, text(60))]), min_chars=50).count() == 0

@@ -32,6 +32,11 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
     return SS.shared_pairs(_bodies(s, d)).select(F.col("rid_a").alias("function_id_a"), F.col("rid_b").alias("function_id_b"))
 
 
+@query
+def p2_classes(s: SparkSession, d: str) -> DataFrame:
+    return SS.span_classes(_bodies(s, d)).withColumnRenamed("rid", "function_id")
+
+
 @query
 def p2_shares(s: SparkSession, d: str) -> DataFrame:
     return SS.shared_share(_bodies(s, d)).withColumnRenamed("rid", "function_id")

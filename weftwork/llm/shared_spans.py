@@ -157,35 +157,54 @@ def _windows(min_chars: int):
     return go
 
 
-def shared_windows(docs: DataFrame, *, min_chars: int = 150) -> DataFrame:
-    """rid, pos, w: every window of ``min_chars`` characters that occurs in more than one record.
-
-    ``docs`` has rid (bigint) and text. A row delivered again counts as the same record. Null texts and texts
-    shorter than ``min_chars`` share nothing. Characters are Unicode code points; nothing is normalised.
-    """
+def _marked(docs: DataFrame, min_chars: int) -> DataFrame:
+    """rid, text, marks: the records that hold a run whose hash occurs twice, with those hashes."""
     hashed = docs.select("rid", "text").mapInArrow(_run_hashes(min_chars), "h bigint, rid bigint")
     # a re-delivered row may let a hash through that is not shared; the windows settle it
     often = hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     marks = hashed.join(often, "h").groupBy("rid").agg(F.collect_set("h").alias("marks"))  # a text's own runs: bounded by the text
-    marked = docs.select("rid", "text").join(marks, "rid")
+    return docs.select("rid", "text").join(marks, "rid")
+
+
+def _repeated(marked: DataFrame, min_chars: int) -> DataFrame:
     found = staged(marked.mapInArrow(_windows(min_chars), "rid bigint, pos int, w bigint"))
     groups = found.groupBy("w").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo <> hi").select("w", F.col("lo").alias("first_rid"))
     return found.join(groups, "w").select("rid", "pos", "w", "first_rid").distinct()
 
 
-def shared_pairs(docs: DataFrame, *, min_chars: int = 150) -> DataFrame:
-    """rid_a < rid_b: pairs of records that share a run of at least ``min_chars`` characters.
+def shared_windows(docs: DataFrame, *, min_chars: int = 150) -> DataFrame:
+    """rid, pos, w: every window of ``min_chars`` characters that occurs in more than one record.
 
-    Windows with the same set of records (all windows of one long run, as a rule) are settled once: a set is known
-    by its size and two sums of hashes, so a run of any length costs one join row per record. What is left is as
-    large as the result asked for.
+    ``docs`` has rid (bigint) and text. A row delivered again counts as the same record. Null texts and texts
+    shorter than ``min_chars`` share nothing. Characters are Unicode code points; nothing is normalised. Windows are equal where their 64-bit
+    hashes are; see span_classes for a comparison of the texts.
     """
-    member = staged(shared_windows(docs, min_chars=min_chars).select("w", "rid").distinct())
+    return _repeated(_marked(docs, min_chars), min_chars)
+
+
+def span_classes(docs: DataFrame, *, min_chars: int = 150) -> DataFrame:
+    """class_id, rid, start, n_records: one row for each class of shared spans and record in it, so a text in n records takes n rows.
+
+    Windows with the same set of records (all windows of one long run, as a rule) are one class: a set is known by its size and two sums of
+    hashes. The window of least hash stands for its class; ``start`` is where it first stands in the record. The members' texts at that
+    window are compared, so what only shares a hash falls into classes of its own, and those of one record are dropped.
+    """
+    marked = staged(_marked(docs, min_chars))
+    member = staged(_repeated(marked, min_chars).groupBy("w", "rid").agg(F.min("pos").alias("pos")))
     sets = member.groupBy("w").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("x"))
     one = cut(sets.groupBy("n", "s", "x").agg(F.min("w").alias("w")).select("w"))
-    m = member.join(one, "w")
-    a, b = m.select("w", F.col("rid").alias("rid_a")), m.select("w", F.col("rid").alias("rid_b"))
-    return a.join(b, "w").filter("rid_a < rid_b").select("rid_a", "rid_b").distinct()
+    held = member.join(one, "w").join(marked.select("rid", "text").dropDuplicates(["rid"]), "rid")
+    text = held.select("w", "rid", F.col("pos").alias("start"), F.substr("text", F.col("pos") + 1, F.lit(min_chars)).alias("t"))
+    m = staged(text.select("rid", "start", F.sha2(F.concat(F.col("w").cast("string"), F.lit(":"), F.col("t")), 256).alias("class_id")))
+    n = m.groupBy("class_id").agg(F.count("*").alias("n_records")).filter("n_records > 1")
+    return m.join(n, "class_id").select("class_id", "rid", "start", "n_records")
+
+
+def shared_pairs(docs: DataFrame, *, min_chars: int = 150) -> DataFrame:
+    """rid_a < rid_b: pairs of records that share a run of at least ``min_chars`` characters: the pairs within span_classes, as many as are asked for."""
+    m = staged(span_classes(docs, min_chars=min_chars).select("class_id", "rid"))
+    a, b = m.withColumnRenamed("rid", "rid_a"), m.withColumnRenamed("rid", "rid_b")
+    return a.join(b, "class_id").filter("rid_a < rid_b").select("rid_a", "rid_b").distinct()
 
 
 def _merge(windows: DataFrame, min_chars: int) -> DataFrame:
