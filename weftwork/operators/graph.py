@@ -22,26 +22,31 @@ def scan_edges(edges: DataFrame, source: str = "", target: str = "", edge_type:
     return edges
 
 
-def traverse(edges: DataFrame, starts: DataFrame, *, backward: bool = False, max_depth: int = 0, edge_types: list[str] | None = None) -> DataFrame:
+def traverse(edges: DataFrame, starts: DataFrame, *, backward: bool = False, max_depth: int = 0, edge_types: list[str] | None = None, with_path: bool = True) -> DataFrame:
     """node_id, depth, path of every node reached from ``starts`` (node_id), the starts included at depth 0.
 
     One join per level: the frontier meets the edges on its node, and what was seen before is dropped, so a
     level costs its own edges and one shuffle of the visited keys. depth is the shortest distance, path the least
     shortest path in array order (so ties do not depend on row order). ``max_depth`` of 0 is no limit. Loops end
     by themselves; starts need not be nodes. Null ids are dropped; repeated edges and starts count once.
+    Without ``with_path`` all paths are null and a level carries keys only.
     """
     frm, to = ("target_id", "source_id") if backward else ("source_id", "target_id")
     e = edges.filter(F.col("edge_type").isin(edge_types)) if edge_types else edges
     e = e.filter(F.col(frm).isNotNull() & F.col(to).isNotNull()).select(F.col(frm).alias("_f"), F.col(to).alias("_t"))
     if max_depth != 1:
         e = staged(e)  # every level reads it again: two columns, whatever the edges are made from
-    frontier = cut(starts.select("node_id").filter("node_id is not null").distinct().select("node_id", F.array("node_id").alias("path")))
+    frontier = cut(starts.select("node_id").filter("node_id is not null").distinct().select("node_id", (F.array("node_id") if with_path else F.lit(None).cast("array<string>")).alias("path")))
     levels = [frontier.withColumn("depth", F.lit(0))]
     seen = frontier.select("node_id")
     depth = 0
     while not max_depth or depth < max_depth:
         depth += 1
-        step = frontier.join(e, frontier.node_id == e._f).groupBy("_t").agg(F.min(F.concat("path", F.array("_t"))).alias("path")).withColumnRenamed("_t", "node_id")
+        met = frontier.join(e, frontier.node_id == e._f)
+        if with_path:
+            step = met.groupBy("_t").agg(F.min(F.concat("path", F.array("_t"))).alias("path")).withColumnRenamed("_t", "node_id")
+        else:
+            step = met.select(F.col("_t").alias("node_id")).distinct().withColumn("path", F.lit(None).cast("array<string>"))
         frontier = cut(step.join(seen, "node_id", "left_anti").select("node_id", "path"))
         if frontier.isEmpty():
             break

@@ -40,7 +40,7 @@ def summary(nodes: DataFrame, lineage: DataFrame, by: str, other: str) -> DataFr
 def blast_report(nodes: DataFrame, edges: DataFrame, lineage: DataFrame, *, max_depth: int = 0, **criteria: str) -> DataFrame:
     """direct, downstream, total, n_languages, risk = direct + 1.5 downstream + 2 languages, over the forward reach of the matching nodes."""
     hit = audit_filter(nodes, lineage, **criteria).select("node_id")
-    reach = traverse(edges, hit, max_depth=max_depth).join(nodes.select("node_id", "language"), "node_id", "left")
+    reach = traverse(edges, hit, max_depth=max_depth, with_path=False).join(nodes.select("node_id", "language"), "node_id", "left")
     n = reach.agg(F.count_if(F.col("depth") == 0).alias("direct"), F.count_if(F.col("depth") > 0).alias("downstream"), F.count("*").alias("total"),
                   F.countDistinct(F.when(F.col("language") != "", F.col("language"))).alias("n_languages"))
     return n.select("direct", "downstream", "total", "n_languages", (F.col("direct") * 1.0 + F.col("downstream") * 1.5 + F.col("n_languages") * 2.0).alias("risk"))
@@ -49,7 +49,7 @@ def blast_report(nodes: DataFrame, edges: DataFrame, lineage: DataFrame, *, max_
 def node_blast(edges: DataFrame, node_id: str) -> DataFrame:
     """visited and risk = min(1, 0.1 visited) for one start node."""
     start = edges.sparkSession.createDataFrame([(node_id,)], "node_id string")
-    return traverse(edges, start).agg(F.count("*").alias("visited")).select("visited", F.least(F.lit(1.0), F.col("visited") * 0.1).alias("risk"))
+    return traverse(edges, start, with_path=False).agg(F.count("*").alias("visited")).select("visited", F.least(F.lit(1.0), F.col("visited") * 0.1).alias("risk"))
 
 
 def ancestry_hops(lineage: DataFrame) -> DataFrame:

@@ -505,13 +505,13 @@ def _starts(s, d):
 
 @query("WITH RECURSIVE edges AS (" + A.LOOPS + f"), t AS (SELECT node_id, 0 AS depth FROM ({_STARTS}) UNION SELECT e.target_id, t.depth + 1 FROM t JOIN edges e ON e.source_id = t.node_id WHERE t.depth < 8) SELECT node_id, min(depth) AS depth FROM t GROUP BY 1")
 def traverse_forward(s, d):
-    return G.traverse(A.edges(s, d, loops=True), _starts(s, d)).select("node_id", "depth")
+    return G.traverse(A.edges(s, d, loops=True), _starts(s, d), with_path=False).select("node_id", "depth")
 
 
 @query("WITH RECURSIVE edges AS (" + A.LOOPS + "), t AS (SELECT 'R:1' AS node_id, 0 AS depth UNION SELECT e.source_id, t.depth + 1 FROM t JOIN edges e ON e.target_id = t.node_id WHERE t.depth < 2) SELECT node_id, min(depth) AS depth FROM t GROUP BY 1")
 def traverse_backward(s, d):
     start = s.createDataFrame([("R:1",)], "node_id string")
-    return G.traverse(A.edges(s, d, loops=True), start, backward=True, max_depth=2).select("node_id", "depth")
+    return G.traverse(A.edges(s, d, loops=True), start, backward=True, max_depth=2, with_path=False).select("node_id", "depth")
 
 
 @query("WITH RECURSIVE edges AS (" + A.LOOPS + f"), t AS (SELECT node_id, 0 AS depth FROM ({_STARTS}) UNION SELECT e.target_id, t.depth + 1 FROM t JOIN edges e ON e.source_id = t.node_id WHERE t.depth < 2 AND e.edge_type IN ('CALLS', 'DEPLOYS_TO')), b AS (SELECT node_id, min(depth) AS depth FROM t GROUP BY 1) SELECT DISTINCT e.source_id, e.target_id, e.edge_type FROM edges e JOIN b ON b.node_id = e.source_id AND b.depth < 2 WHERE e.edge_type IN ('CALLS', 'DEPLOYS_TO')")
