@@ -69,9 +69,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None,
     goal = staged(targets.select(source_name("source_name").alias("source_name"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
                   .filter("source_name is not null").groupBy("source_name").agg(F.max(F.struct("target_share", "max_repeats")).alias("r")).select("source_name", "r.*"))
     w = default_weight(F.col("text")) if weight is None else weight
-    w = F.when(w.isNotNull() & ~F.isnan(w) & (w > 0), w).otherwise(F.lit(1e-9))
     named = docs.withColumn("_s", source_name("source")).join(goal.select(F.col("source_name").alias("_g")), F.col("_s") == F.col("_g"), "left_semi")
     facts = named.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_s").alias("source_name"), w.cast("double").alias("w"))
+    facts = facts.withColumn("w", F.when(F.col("w").isNotNull() & ~F.isnan("w") & (F.col("w") > 0), F.col("w")).otherwise(F.lit(1e-9)))  # of its own, so the weight is worked out once
     # two narrow passes over the texts: tokens in Python, weights in the JVM
     have = staged(facts.join(token_counts(named.select("doc_id", "text"), vocabulary=vocabulary), "doc_id").filter("n_tokens > 0"))
     live = staged(goal.filter("target_share > 0 and max_repeats > 0").join(have.groupBy("source_name").agg(F.sum("n_tokens").cast("double").alias("a")), "source_name"))
